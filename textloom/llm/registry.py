@@ -1,11 +1,11 @@
 """The corpus operators' queries, and the SQL of those that SQL can express."""
 
+from .anchor_dedup import op9_difference_cover
 from .fingerprint import op3_quartile_digest
 from .langid import op7_word_first_backoff
+from .neardup import op10_bottom_k
 from .quality import op5_quadratic_discriminant
+from .suffix_dedup import op2_column_wise_suffixes
 
-QUERIES = {
-    f.__name__: f
-    for f in (op3_quartile_digest, op5_quadratic_discriminant, op7_word_first_backoff)
-}
+QUERIES = {f.__name__: f for f in (op2_column_wise_suffixes, op3_quartile_digest, op5_quadratic_discriminant, op7_word_first_backoff, op9_difference_cover, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {}
