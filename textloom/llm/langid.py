@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE_ROWS = 20_000
-MODEL_WORDS = 300_000
-MODEL_GRAMS = 200_000
+MODEL_WORDS = 60_000
+MODEL_GRAMS = 60_000
 LONGEST = 5
 STEP_BACK = math.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")

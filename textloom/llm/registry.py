@@ -1,11 +1,21 @@
 """The corpus operators' queries, and the SQL of those that SQL can express."""
 
+from . import decontam, linededup
 from .anchor_dedup import op9_difference_cover
+from .decontam import op6_winnowing
 from .fingerprint import op3_quartile_digest
 from .langid import op7_word_first_backoff
+from .linededup import op8_distinct_site_spread
+from .mixing import op1_multinomial_blocks
 from .neardup import op10_bottom_k
 from .quality import op5_quadratic_discriminant
 from .suffix_dedup import op2_column_wise_suffixes
 
-QUERIES = {f.__name__: f for f in (op2_column_wise_suffixes, op3_quartile_digest, op5_quadratic_discriminant, op7_word_first_backoff, op9_difference_cover, op10_bottom_k)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_multinomial_blocks, op2_column_wise_suffixes, op3_quartile_digest, op5_quadratic_discriminant, op6_winnowing,
+        op7_word_first_backoff, op8_distinct_site_spread, op9_difference_cover, op10_bottom_k,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op6_winnowing": decontam.SQL, "op8_distinct_site_spread": linededup.SQL}
