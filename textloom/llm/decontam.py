@@ -54,12 +54,21 @@ def window_minima(g: Column, size: int) -> Column:
     return F.when(F.size(g) >= size, F.transform(at, lambda i: F.least(*[g[i + k] for k in range(size)])))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, wherever the optimiser moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fingerprints(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """docs (…, ws) with a row for each run of windows of one fingerprint: `fp` and `s`, the run's first window."""
-    docs = docs.withColumn("h", hashed(F.col("ws"))).withColumn("g", gram_hashes(F.col("h"), gram)).withColumn("m", window_minima(F.col("g"), span - gram + 1)).filter("m is not null")
-    m = F.col("m")
-    run = F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (x != m[F.greatest(i - 1, F.lit(0))]), F.struct(x.alias("fp"), i.alias("s")))), lambda r: r.isNotNull())
-    return docs.withColumn("run", run).drop("h", "g", "m").withColumn("r", F.explode("run")).withColumn("fp", F.col("r.fp")).withColumn("s", F.col("r.s")).drop("run", "r")
+
+    def runs(m: Column) -> Column:
+        first = lambda x, i: F.when((i == 0) | (x != m[F.greatest(i - 1, F.lit(0))]), F.struct(x.alias("fp"), i.alias("s")))
+        return F.filter(F.transform(m, first), lambda r: r.isNotNull())
+
+    run = let(hashed(F.col("ws")), lambda h: let(gram_hashes(h, gram), lambda g: let(window_minima(g, span - gram + 1), runs)))
+    # an outer explode: for an inner one the optimiser would compute the whole expression twice, to filter empty arrays
+    return docs.withColumn("r", F.explode_outer(run)).withColumn("fp", F.col("r.fp")).withColumn("s", F.col("r.s")).drop("r")
 
 
 def hits(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame:
@@ -125,7 +134,7 @@ WITH d AS (
   SELECT doc_id, s, n, array_to_string(ws[s : s + n - 1], ' ') AS win
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, lengths WHERE len(ws) >= n)
 ), hit AS (SELECT dw.doc_id, dw.s, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n
-), words AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM hit) GROUP BY doc_id
+), words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY doc_id
 ), items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -71,12 +71,12 @@ def op8_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id IS NOT NULL
 ), spread AS (
   SELECT line FROM lines WHERE trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES}
 ), marked AS (
-  SELECT l.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY l.line ORDER BY doc_id, at) > 1 AS gone FROM lines l LEFT JOIN spread s ON l.line = s.line
+  SELECT l.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY l.line ORDER BY doc_id, pos) > 1 AS gone FROM lines l LEFT JOIN spread s ON l.line = s.line
 )
-SELECT d.doc_id, count(m.at) AS n_lines, count(m.at) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+SELECT d.doc_id, count(m.pos) AS n_lines, count(m.pos) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id
 """
