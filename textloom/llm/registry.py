@@ -8,13 +8,14 @@ from .langid import op7_word_first_backoff
 from .linededup import op8_distinct_site_spread
 from .mixing import op1_multinomial_blocks
 from .neardup import op10_bottom_k
+from .pii import op4_weak_supervision
 from .quality import op5_quadratic_discriminant
 from .suffix_dedup import op2_column_wise_suffixes
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_multinomial_blocks, op2_column_wise_suffixes, op3_quartile_digest, op5_quadratic_discriminant, op6_winnowing,
+        op1_multinomial_blocks, op2_column_wise_suffixes, op3_quartile_digest, op4_weak_supervision, op5_quadratic_discriminant, op6_winnowing,
         op7_word_first_backoff, op8_distinct_site_spread, op9_difference_cover, op10_bottom_k,
     )
 }
