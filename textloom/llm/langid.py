@@ -31,6 +31,8 @@ SAMPLE_ROWS = 20_000
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 60_000
 LONGEST = 5
+#: scores of so many words that training has not seen are kept in each task
+RECENT = 400_000
 STEP_BACK = math.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -59,40 +61,54 @@ def grams_of(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams."""
+    """Log frequencies by language: words and n-grams name rows of one table, whose row 0 is all zero."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
-        self.floor = np.zeros(len(langs))
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray):
+        self.langs, self.words, self.grams, self.table = langs, words, grams, table
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        marked = f"<{word[:200]}>"
+    def known_grams(self, word: str) -> tuple[list[int], int]:
+        """Rows of the word's longest known n-grams, and the steps back that they cost; row 0 if there are none."""
+        marked = f"<{word}>"
         for size in range(LONGEST, 0, -1):
-            known = [g for i in range(len(marked) - size + 1) if (g := self.grams.get(marked[i : i + size])) is not None]
-            if known:
-                return np.mean(known, axis=0) + STEP_BACK * (LONGEST + 1 - size)
-        return self.floor
+            found = [r for i in range(len(marked) - size + 1) if (r := self.grams.get(marked[i : i + size]))]
+            if found:
+                return found, LONGEST + 1 - size
+        return [0], LONGEST
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Scores of words that training has not seen."""
+        found = [self.known_grams(w) for w in words]
+        sizes = np.array([len(rows) for rows, _ in found])
+        sums = np.add.reduceat(self.table[[r for rows, _ in found for r in rows]], np.cumsum(sizes) - sizes)
+        return sums / sizes[:, None] + STEP_BACK * np.array([steps for _, steps in found])[:, None]
 
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
-        kept: dict[str, np.ndarray] = {}
+        kept = dict(self.words)
+        scores = np.zeros((RECENT + len(self.table), len(self.langs)))
+        scores[: len(self.table)] = self.table
+        used = len(self.table)
 
         def predict(text: str | None) -> tuple[str, float]:
+            nonlocal used
             counts = Counter(LETTERS.findall((text or "").lower()))
             if not counts or not self.langs:
                 return "und", 0.0
-            if len(kept) > 200_000:
+            new = [w for w in counts if w not in kept]
+            if used + len(new) > len(scores):
                 kept.clear()
-            rows = []
-            for w in counts:
-                row = kept.get(w)
-                if row is None:
-                    row = kept[w] = self.word(w)
-                rows.append(row)
+                kept.update(self.words)
+                used = len(self.table)
+                new = [w for w in counts if w not in kept]
             n = np.fromiter(counts.values(), float, len(counts))
-            total = n @ np.array(rows)
+            if len(new) > RECENT:  # a text of more new words than there is room for
+                fresh = dict(zip(new, self.backed_off(new), strict=True))
+                total = n @ np.array([fresh[w] if w in fresh else scores[kept[w]] for w in counts])
+            else:
+                if new:
+                    scores[used : used + len(new)] = self.backed_off(new)
+                    kept.update(zip(new, range(used, used + len(new)), strict=True))
+                    used += len(new)
+                total = n @ scores[np.fromiter(map(kept.__getitem__, counts), np.int64, len(counts))]
             best = int(total.argmax())
             odds = np.exp((total - total[best]) / max(1.0, n.sum() / 20))
             return self.langs[best], float(1.0 / odds.sum())
@@ -110,25 +126,20 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     found = tops[0].unionByName(tops[1]).toPandas()
     langs = sorted(found["lang"].unique())
     place = {x: i for i, x in enumerate(langs)}
-    tables = []
-    for kind in "wg":
+    names: list[dict[str, int]] = [{}, {}]
+    parts = [np.zeros((1, len(langs)))]
+    for known, kind in zip(names, "wg", strict=True):
         part = found[found["kind"] == kind]
-        sums = np.ones(len(langs))
-        for lang, n in part.groupby("lang")["n"].sum().items():
-            sums[place[lang]] += n
-        unseen = np.log(0.5 / sums)
-        known: dict[str, np.ndarray] = {}
-        for lang, item, n in zip(part["lang"], part["item"], part["n"], strict=True):
-            if item not in known:
-                known[item] = unseen.copy()
-            known[item][place[lang]] = math.log(n / sums[place[lang]])
-        tables.append(known)
-    return Model(langs, *tables)
+        known.update((item, sum(map(len, parts)) + i) for i, item in enumerate(part["item"].unique()))
+        counts = np.zeros((len(known), len(langs)))
+        np.add.at(counts, ([known[x] - sum(map(len, parts)) for x in part["item"]], part["lang"].map(place).to_numpy(int)), part["n"].to_numpy())
+        parts.append(np.log(np.maximum(counts, 0.5) / (1 + counts.sum(0))))
+    return Model(langs, *names, np.concatenate(parts))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """lang_pred and score for each row of docs (doc_id, text), other columns dropped."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Model(*shared.value).predictor()
