@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from textloom.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "listening_analytics"
+for _topic in ("listening", "measures"):
+    import_module(f"textloom.plans.{_topic}")
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
