@@ -109,8 +109,8 @@ def repeated_words(docs: DataFrame) -> list[DataFrame]:
     marks = by_document(open_, "pos", "reach", "least")
     text = bare(docs)
     windows = marks.withColumnRenamed("doc_id", "of").join(text, F.col("of") == text.doc_id).select("doc_id", "text", "marks").mapInArrow(cut_windows, WINDOWS)
-    windows = stage(windows)
-    later = stage(later_windows(windows, WINDOW).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    windows = stage(windows, heavy=True)
+    later = stage(later_windows(windows, WINDOW).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), heavy=True)
     unstage(open_, windows)
     return [gone, later]
 

@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -36,18 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Frees shuffle files of finished steps now, instead of at the driver's next chance collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Frees shuffle files of finished steps now, instead of at the driver's next chance collection.
+
+    The first collection ends the Python handles of finished plans, the second the plans and their shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    heavy: its plan shuffled a share of the whole input, which is freed at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     df.write.parquet(path)
-    release(spark)
+    if heavy:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out

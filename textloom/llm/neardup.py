@@ -129,14 +129,14 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     member = stage(member)
     reps = scanned.alias("s").join(classes.alias("c"), [F.col(f"s.{c}") == F.col(f"c.{c}") for c in ("n", "s1", "s2")]).filter("s.doc_id = c.rep").select("s.doc_id", "s.n", "s.sketch")
     reps = stage(reps.dropDuplicates(["doc_id"]))
-    lists = stage(inverted_lists(reps))
+    lists = stage(inverted_lists(reps), heavy=True)
     crowded = lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1").select("v")
     lists_ = stage(lists.join(crowded, "v"))
     unstage(lists)
     lists = lists_
     known = lists.select(F.col("doc").alias("node")).distinct()
     sets = known.join(text, known.node == text.doc_id).join(reps.filter(F.col("n") > K).select(F.col("doc_id").alias("big")), F.col("node") == F.col("big"), "left_semi")
-    sets = stage(sets.select("doc_id", "text").mapInArrow(set_maker(size), "doc_id long, items binary").dropDuplicates(["doc_id"]))
+    sets = stage(sets.select("doc_id", "text").mapInArrow(set_maker(size), "doc_id long, items binary").dropDuplicates(["doc_id"]), heavy=True)
     sketches = reps.join(known, reps.doc_id == known.node, "left_semi")
     sketches = stage(sketches)
     labels = stage(known.withColumn("label", F.col("node")))
@@ -156,7 +156,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs)
-        links = stage(linked(pairs, sketches, sets, percent))
+        links = stage(linked(pairs, sketches, sets, percent), heavy=True)
         labels_ = merged(labels, links)
         if labels_ is not labels:
             unstage(labels)

@@ -59,10 +59,10 @@ def decided(docs: DataFrame, scan: Callable[[Batches], Batches], window: int) ->
     text = bare(docs)
     anchors = text.mapInArrow(scan, ANCHORS)
     counts = anchors.filter("not again").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    repeated = stage(counts.filter("n > 1").select(F.col("h").alias("rh"), "first_doc", (F.col("c0") != F.col("c1")).alias("differ")))
+    repeated = stage(counts.filter("n > 1").select(F.col("h").alias("rh"), "first_doc", (F.col("c0") != F.col("c1")).alias("differ")), heavy=True)
     back = anchors.join(repeated, anchors.h == repeated.rh, "left").filter("again or rh is not null")
     back = back.withColumn("gone", F.col("again") | (~F.col("differ") & (F.col("doc_id") != F.col("first_doc")))).filter("gone or differ")
-    back = stage(back.select("h", "doc_id", "pos", "reach", "least", "ctx", "gone"))
+    back = stage(back.select("h", "doc_id", "pos", "reach", "least", "ctx", "gone"), heavy=True)
     span = (F.col("doc_id"), (F.col("pos") - F.col("reach")).alias("lo"), (F.col("pos") - F.col("least") + window).alias("hi"))
     open_ = back.filter("not gone")
     firsts = open_.groupBy("h", "ctx").agg(F.min("doc_id").alias("rep"))
@@ -71,7 +71,7 @@ def decided(docs: DataFrame, scan: Callable[[Batches], Batches], window: int) ->
     marked = marked.select("o.h", "o.ctx", "o.doc_id", "o.pos", "o.reach", "o.least", (F.col("o.doc_id") != F.col("f.rep")).alias("gone"))
     marked = stage(marked)
     gone = back.filter("gone").select(*span).unionByName(marked.filter("gone").select(*span))
-    gone = stage(gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    gone = stage(gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), heavy=True)
     kept = stage(marked.filter("not gone").drop("gone"))
     unstage(repeated, back, firsts, marked)
     return gone, kept

@@ -216,14 +216,14 @@ def repeated_bytes(docs: DataFrame) -> list[DataFrame]:
     marks = by_document(open_, "h", "pos", "reach", "least")
     text = bare(docs)
     contexts = marks.withColumnRenamed("doc_id", "of").join(text, F.col("of") == text.doc_id).select("doc_id", "text", "marks").mapInArrow(cut_contexts, CONTEXTS)
-    contexts = stage(contexts)
+    contexts = stage(contexts, heavy=True)
     sizes = contexts.groupBy("h").agg(F.count("*").alias("n"))
     hot = stage(sizes.filter(F.col("n") > MANY).select(F.col("h").alias("hot")))
     few = contexts.join(hot, contexts.h == hot.hot, "left_anti")
     few = few.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "doc_id long, lo long, hi long")
     windows = stage(contexts.join(hot, contexts.h == hot.hot, "left_semi").mapInArrow(cut_windows, WINDOWS))
     later = few.unionByName(later_windows(windows, WINDOW))
-    later = stage(later.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    later = stage(later.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), heavy=True)
     unstage(open_, contexts, hot, windows)
     return [gone, later]
 
