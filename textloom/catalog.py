@@ -7,7 +7,7 @@ from importlib import import_module
 from textloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "listening_analytics"
-for _topic in ("listening", "measures", "ordering", "sampling"):
+for _topic in ("listening", "measures", "ordering", "sampling", "joining", "trees", "vectors"):
     import_module(f"textloom.plans.{_topic}")
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
