@@ -32,7 +32,9 @@ from .repeats import Batches, bare
 from .suffix_dedup import _pair
 
 K, SHARED = 64, 36
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: lists of more documents than this are split by full sets before their pairs are formed
+FEW = 32
 #: an estimate this far below the threshold, over four standard errors, rules a pair out
 MARGIN = 0.22
 
@@ -149,9 +151,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         if turn < PIVOT_ROUNDS:
             pairs = at.join(pivots, "v").filter((F.col("label") != F.col("pl")) & alike(F.col("n"), F.col("pn"))).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         else:
-            open_ = at.join(pivots.select("v"), "v", "left_semi")
-            other = open_.select(F.col("v").alias("w"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-            pairs = open_.join(other, (F.col("v") == F.col("w")) & (F.col("label") != F.col("bl")) & (F.col("doc") < F.col("b")) & alike(F.col("n"), F.col("bn"))).select(F.col("doc").alias("a"), "b")
+            pairs = crossing_pairs(at.join(pivots.select("v"), "v", "left_semi"), sets, sketches, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -169,6 +169,35 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     return out
 
 
+def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one list of lists (v, doc, n, label) that are in different components and can be alike.
+
+    Lists of more than FEW documents mostly hold documents that share a passage and nothing else. Their documents
+    are listed anew under the rarest fifth of their full sets, which two sets at the threshold can't fail to share.
+    """
+    lists = stage(lists)
+    size = lists.groupBy("v").agg(F.count("*").alias("m"))
+    short = lists.join(size.filter(F.col("m") <= FEW), "v", "left_semi").select("v", "doc", "n", "label", F.lit(0).alias("rank"))
+    long = lists.join(size.filter(F.col("m") > FEW), "v", "left_semi").select("doc", "n", "label").distinct()
+    long = stage(long)
+    small = sketches.filter(F.col("n") <= K).select("doc_id", F.col("sketch").alias("small"))
+    items = sets.unionByName(small.mapInArrow(_packed, "doc_id long, items binary"))
+    items = items.join(long, items.doc_id == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long")
+    common = items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
+    held = items.join(common, items.v == common.cv).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    held = long.join(held, F.col("doc") == F.col("id")).filter(room > 0)
+    anew = held.select("doc", "n", "label", alone.alias("alone"), F.posexplode(F.slice("shared", 1, room.cast("int"))).alias("at", "p"))
+    anew = anew.select(F.col("p.v").alias("v"), "doc", "n", "label", (F.col("alone") + F.col("at")).alias("rank"))
+    both = stage(short.unionByName(anew))
+    other = both.select(F.col("v").alias("w"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("rank").alias("br"))
+    alike = 100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")
+    # at the first value that a pair shares, what is left of both sets must suffice
+    enough = F.least(F.col("n") - F.col("rank"), F.col("bn") - F.col("br")) * (100 + percent) >= percent * (F.col("n") + F.col("bn"))
+    return both.join(other, (F.col("v") == F.col("w")) & (F.col("label") != F.col("bl")) & (F.col("doc") < F.col("b")) & alike & enough).select(F.col("doc").alias("a"), "b")
+
+
 def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -193,6 +222,15 @@ def full_sets(pairs: DataFrame, sets: DataFrame, small: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b")
 
 
+def _unpacked(batches: Batches) -> Batches:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["items"]]
+        for first in range(0, len(sets), 500):
+            part = sets[first : first + 500]
+            ids = np.repeat(np.asarray(batch["doc_id"])[first : first + 500], [len(s) for s in part])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], ["id", "v"])
+
+
 def _packed(batches: Batches) -> Batches:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([np.array(s, np.int64).tobytes() for s in batch["small"].to_pylist()], pa.binary())], ["doc_id", "items"])
