@@ -6,8 +6,8 @@ from importlib import import_module
 
 from textloom.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "listening_analytics"
-for _topic in ("listening", "measures", "ordering", "sampling", "joining", "trees", "vectors"):
+FLAGSHIP = "quality_report"
+for _topic in ("listening", "measures", "ordering", "sampling", "joining", "trees", "vectors", "quality", "textual", "sequences", "streams"):
     import_module(f"textloom.plans.{_topic}")
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -7,14 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and reread: iteration without growing plans, safe from lost executors."""
-    spark = df.sparkSession
+def staged_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder of our own only where the cluster names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         key = spark.sparkContext.applicationId
@@ -22,6 +21,11 @@ def staged(df: DataFrame) -> DataFrame:
             _OWN[key] = tempfile.mkdtemp(prefix="textloom-")
             atexit.register(shutil.rmtree, _OWN[key], ignore_errors=True)
         root = f"file://{_OWN[key]}"
-    path = f"{root.rstrip('/')}/textloom/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and reread: iteration without growing plans, safe from lost executors."""
+    path = f"{staged_root(df.sparkSession)}/textloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
