@@ -4,7 +4,7 @@ A document's set is its distinct word shingles, and its sketch the K least of th
 function. Documents of equal sets form classes first. Between class representatives,
 
 1. inverted lists of retained values bring candidates together. Two sets at or above the threshold share, but for
-   a chance of about one in a million, at least SHARED of K values, so each sketch enters only the lists of its
+   a chance of one in two million, at least SHARED of K values, so each sketch enters only the lists of its
    K - SHARED + 1 values that fewest sketches hold: very common passages make no lists;
 2. in each list every document meets a pivot, not every other document. Links merge documents into components,
    lists with documents of several components get other pivots, and at last all pairs across components that are
@@ -31,12 +31,12 @@ from .common import UPPER_TO_LOWER, WordHashes, mixed, stage, table, unstage
 from .repeats import Batches, bare
 from .suffix_dedup import _pair
 
-K, SHARED = 64, 36
+K, SHARED = 64, 34
 PIVOT_ROUNDS = 2
 #: lists of more documents than this are split by full sets before their pairs are formed
 FEW = 32
-#: an estimate this far below the threshold, over four standard errors, rules a pair out
-MARGIN = 0.22
+#: an estimate this far below the threshold, six standard errors, rules a pair out
+MARGIN = 0.3
 
 
 def shingles(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
