@@ -163,10 +163,9 @@ def finished_since(t: Tables):
     return t.events.filter(F.col("event_type").isin("error", "purchase") & (F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))).orderBy(F.desc("ts")).select("event_id", "user_id", "event_type")
 
 
-@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS slot FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00'),
+@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS slot FROM events),
 s AS (SELECT event_type, unnest(range(1, 5)) AS slot FROM (SELECT DISTINCT event_type FROM events)) SELECT s.event_type, s.slot, r.event_id FROM s LEFT JOIN r USING (event_type, slot)""")
 def lane_occupancy(t: Tables):
-    recent = t.events.filter(F.col("ts") >= F.lit("2024-01-30 12:00:00").cast("timestamp"))
-    taken = recent.select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")).cast("long").alias("slot"))
+    taken = t.events.select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")).cast("long").alias("slot"))
     lanes = t.events.select("event_type").distinct().withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))))
     return lanes.join(taken, ["event_type", "slot"], "left").select("event_type", "slot", "event_id")

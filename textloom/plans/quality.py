@@ -57,10 +57,10 @@ def token_profile(t: Tables):
     return w.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("w").rlike(r"@|://|^/|[0-9]+[.][0-9]+[.]")).alias("identifiers"), F.count_distinct("w").alias("forms"), F.round(F.avg(F.length("w")), 4).alias("mean_length"))
 
 
-@query("""WITH v AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) SELECT word, count(*) AS n FROM v GROUP BY word HAVING count(*) >= 5""")
+@query("""WITH v AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) SELECT word, count(*) AS n FROM v GROUP BY word""")
 def vocabulary_count(t: Tables):
     v = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
-    return v.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5")
+    return v.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z]- ?[\\n]?[a-z]')) * 1000.0 / greatest(1, len(regexp_extract_all(text, '[A-Za-z]+'))), 4) AS split_rate FROM documents""".replace("\\\\", "\\"))

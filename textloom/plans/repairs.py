@@ -36,12 +36,12 @@ def token_edges(t: Tables):
     return w.groupBy("doc_id").agg(F.count_if(R.bare_edges(F.col("w")) != F.col("w")).alias("edged"), F.count_distinct(R.bare_edges(F.col("w"))).alias("forms"))
 
 
-@query("""WITH v AS (SELECT doc_id, text AS ocr, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN upper(text) WHEN 2 THEN replace(text, '.', ' . ') ELSE text || 'x' END AS truth FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
+@query("""WITH v AS (SELECT doc_id, text AS ocr, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN lower(text) WHEN 2 THEN replace(text, '.', ' . ') ELSE text || 'x' END AS truth FROM documents)
 SELECT doc_id, CASE WHEN ocr = truth THEN NULL WHEN lower(ocr) = lower(truth) THEN 'case' WHEN regexp_replace(lower(ocr), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(truth), '[^a-z0-9]+', '', 'g') THEN 'typography' END AS lie FROM v""".replace("\\\\", "\\"))
 def inverted_lies(t: Tables):
     c, k = F.col("text"), F.col("doc_id") % 4
-    truth = F.when(k == 0, c).when(k == 1, F.upper(c)).when(k == 2, F.replace(c, F.lit("."), F.lit(" . "))).otherwise(F.concat(c, F.lit("x")))
-    return t.documents.filter(~c.rlike(r"[^\x00-\x7F]")).select("doc_id", R.lie(c, truth).alias("lie"))
+    truth = F.when(k == 0, c).when(k == 1, F.lower(c)).when(k == 2, F.replace(c, F.lit("."), F.lit(" . "))).otherwise(F.concat(c, F.lit("x")))
+    return t.documents.select("doc_id", R.lie(c, truth).alias("lie"))
 
 
 @query("""WITH v AS (SELECT doc_id, text AS ocr, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '^([^ ]*) ', '\\1') ELSE text || '.' END AS truth FROM documents) SELECT doc_id, md5(CASE WHEN replace(ocr, ' ', '') = replace(truth, ' ', '') AND length(truth) < length(ocr) THEN ocr ELSE truth END) AS digest FROM v""")

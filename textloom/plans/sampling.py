@@ -68,9 +68,9 @@ def _reason():
     return F.when(text.isNull() | (text == ""), "empty").when(F.col("n_chars") < 100, "short").when(text.contains("|"), "table").when(text.contains("!!"), "shouting").when(F.col("lang") != "en", "language")
 
 
-@query(f"SELECT doc_id, {_LADDER} AS dropped FROM documents WHERE n_chars > 50")
+@query(f"SELECT doc_id, {_LADDER} AS dropped FROM documents")
 def unit_gates(t: Tables):
-    return t.documents.filter("n_chars > 50").select("doc_id", _reason().alias("dropped"))
+    return t.documents.select("doc_id", _reason().alias("dropped"))
 
 
 @query("SELECT doc_id, twin FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(lower(text))) AS twin FROM documents) WHERE doc_id <> twin")

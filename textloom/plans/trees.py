@@ -78,10 +78,10 @@ def record_merge(t: Tables):
     return e.groupBy("user_id").agg(F.count_if(fresh).alias("heard"), F.max_by(F.when(click, F.col("event_id")), F.when(click, F.col("ts"))).alias("bookmark"))
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n FROM a FULL JOIN b USING (user_id)""")
+@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('error', 'signup', 'purchase') GROUP BY user_id) SELECT user_id, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n FROM a FULL JOIN b USING (user_id)""")
 def store_merge(t: Tables):
-    part = lambda k, name: t.events.filter(F.col("event_id") % k == 0).groupBy("user_id").agg(F.count("*").alias(name))
-    return part(2, "left_n").join(part(3, "right_n"), "user_id", "full").na.fill(0)
+    part = lambda kinds, name: t.events.filter(F.col("event_type").isin(*kinds)).groupBy("user_id").agg(F.count("*").alias(name))
+    return part(("click", "view", "purchase"), "left_n").join(part(("error", "signup", "purchase"), "right_n"), "user_id", "full").na.fill(0)
 
 
 @query(f"WITH {STEPS} SELECT c.id, c.action AS consumes, p.action AS produces, c.action = p.action AS sound FROM steps c JOIN steps p ON c.parent = p.id")
@@ -91,12 +91,12 @@ def lineage_check(t: Tables):
     return s.join(p, "parent").select("id", F.col("action").alias("consumes"), "produces", (F.col("action") == F.col("produces")).alias("sound"))
 
 
-@query("""WITH q AS (SELECT o_orderkey, o_orderpriority AS resource, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 = 1), d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'),
+@query("""WITH q AS (SELECT o_orderkey, o_orderpriority AS resource, o_orderdate FROM orders WHERE o_orderstatus = 'O'), d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'),
 r AS (SELECT q.* FROM q JOIN d ON d.o_orderkey = q.o_orderkey - 1) SELECT o_orderkey, resource FROM r QUALIFY row_number() OVER (PARTITION BY resource ORDER BY o_orderdate, o_orderkey) <= CASE WHEN resource = '1-URGENT' THEN 1 ELSE 2 END""")
 def ready_set(t: Tables):
     o = t.orders
     done = o.filter("o_orderstatus = 'F'").select((F.col("o_orderkey") + 1).alias("o_orderkey"))
-    ready = o.filter("o_orderstatus = 'O' and o_orderkey % 4 = 1").join(done, "o_orderkey", "left_semi").withColumnRenamed("o_orderpriority", "resource")
+    ready = o.filter("o_orderstatus = 'O'").join(done, "o_orderkey", "left_semi").withColumnRenamed("o_orderpriority", "resource")
     place = F.row_number().over(Window.partitionBy("resource").orderBy("o_orderdate", "o_orderkey"))
     return ready.withColumn("place", place).filter(F.col("place") <= F.when(F.col("resource") == "1-URGENT", 1).otherwise(2)).select("o_orderkey", "resource")
 
