@@ -56,7 +56,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs with `_kept`, the array of lines that stay (null for a null text), and `_n_gone`; all columns stay."""
     gone = boilerplate(docs, sites)
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone_from"), "left")
+    # what goes grows with the input: a merge join at every size, not a broadcast while it happens to be small
+    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone_from"), "left")
     all_ = lines_of(F.col("text"))
     kept = F.when(F.col("_gone").isNull(), all_).otherwise(F.filter(all_, lambda x, i: ~F.array_contains("_gone", i)))
     out = out.withColumn("_kept", kept)
