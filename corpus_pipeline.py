@@ -16,8 +16,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; rows without a doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs but for those whose doc_id is in ids, by a merge join at every size; rows without a doc_id stay."""
+    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

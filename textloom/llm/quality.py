@@ -144,4 +144,5 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     stats, model = trained(spark, docs, sf_dir)
     bad = stage(scored(stats, model).filter("predicted = 0").select("doc_id").distinct())
     unstage(stats)
-    return docs.join(bad, "doc_id", "left_anti")
+    # the rejected ones grow with the input: a merge join at every size
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti")
