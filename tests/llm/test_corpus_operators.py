@@ -180,6 +180,28 @@ def test_contamination(spark, docs, none, rows):
     assert not any(r["contaminated"] for r in decontam.contamination(docs, benchmark.limit(0)).collect())
 
 
+def test_contamination_of_repeated_words(spark):
+    """Grams that recur inside a window: each window is compared, however long one least hash lasts."""
+    texts = ["la " * 50, "ha ho hi " * 40, "one one one", "One, one two one ONE", "la " * 7 + "end of this", "la " * 30 + "end of this " + "la " * 9, "a b a b a b a b a b a b c d", "x " + "ab cd " * 20 + "y"]
+    items = [(1, "la " * 10), (2, "ha ho hi " * 4), (3, "one"), (4, "la " * 7 + "end of this"), (5, "b a b a b a b a b c"), (6, "la la"), (7, "cd ab cd"), (8, "ab cd " * 5 + "y")]
+    windows = set()
+    for i, t in items:
+        w = t.lower().split()
+        n = min(10, len(w))
+        windows |= {(i, tuple(w[k : k + n])) for k in range(len(w) - n + 1)}
+    wanted = {}
+    for i, t in enumerate(texts):
+        w, hit, met = t.replace(",", "").lower().split(), set(), set()
+        for item_id, win in windows:
+            for s in range(len(w) - len(win) + 1):
+                if tuple(w[s : s + len(win)]) == win:
+                    hit |= set(range(s, s + len(win)))
+                    met.add(str(item_id))
+        wanted[i] = (len(w), len(hit), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest())
+    found = decontam.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert by_id(found, "n_words", "n_hit", "items_sha256") == wanted
+
+
 def test_contamination_without_broadcast(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(1, "boilerplate line here"), (2, "the same line other")], "item_id long, text string")
     usual = by_id(decontam.contamination(docs, benchmark), "n_hit", "items_sha256")

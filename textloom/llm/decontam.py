@@ -60,13 +60,18 @@ def let(value: Column, body) -> Column:
 
 
 def fingerprints(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """docs (…, ws) with a row for each run of windows of one fingerprint: `fp` and `s`, the run's first window."""
+    """docs (…, ws) with a row for each run of windows whose least gram is the same one: `fp` and `s`, the run's first window.
 
-    def runs(m: Column) -> Column:
-        first = lambda x, i: F.when((i == 0) | (x != m[F.greatest(i - 1, F.lit(0))]), F.struct(x.alias("fp"), i.alias("s")))
+    The leftmost of equal least grams counts. Where it opens a window, it leaves with that window and the next starts
+    a new run, also if the same hash stands there again: no run is longer than a window has grams.
+    """
+
+    def runs(m: Column, g: Column) -> Column:
+        before = lambda x, i: x[F.greatest(i - 1, F.lit(0))]
+        first = lambda x, i: F.when((i == 0) | (x != before(m, i)) | (x == before(g, i)), F.struct(x.alias("fp"), i.alias("s")))
         return F.filter(F.transform(m, first), lambda r: r.isNotNull())
 
-    run = let(hashed(F.col("ws")), lambda h: let(gram_hashes(h, gram), lambda g: let(window_minima(g, span - gram + 1), runs)))
+    run = let(hashed(F.col("ws")), lambda h: let(gram_hashes(h, gram), lambda g: let(window_minima(g, span - gram + 1), lambda m: runs(m, g))))
     # an outer explode: for an inner one the optimiser would compute the whole expression twice, to filter empty arrays
     return docs.withColumn("r", F.explode_outer(run)).withColumn("fp", F.col("r.fp")).withColumn("s", F.col("r.s")).drop("r")
 
@@ -77,7 +82,7 @@ def hits(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame
     wanted, wins = stage(wanted), windows
     if wanted.count() <= BROADCAST_ROWS:
         wanted, wins = F.broadcast(wanted), F.broadcast(windows)
-    reach = span - gram + 1  # a run of windows of one fingerprint is no longer
+    reach = span - gram + 1  # a run of windows of one least gram is no longer
     found = fingerprints(docs.select("doc_id", "ws"), span, gram).join(wanted, F.col("fp") == F.col("wfp"))
     near = found.select("doc_id", "s", lowered(F.slice("ws", F.col("s") + 1, span + reach - 1)).alias("near"))
     each = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("near") - span))).select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.slice("near", F.col("k") + 1, span).alias("near"))
