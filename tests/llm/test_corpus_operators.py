@@ -326,6 +326,31 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(asked, "doc_id long, held_out boolean, text string"), nothing).collect()} == {"und"}
 
 
+def test_small_languages_are_learned(spark):
+    """A language of few rows trains on all of them beside a hot one, and what no language has seen favours none."""
+    rows = [(i, "en", f"the house of number {'abcdefghij'[i % 10]}") for i in range(3000)] + [(5000 + i, "eu", "etxea handia da") for i in range(3)] + [(6000 + i, "fr", "la maison") for i in range(40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3), 150)
+    assert model.langs == ["en", "eu", "fr"]
+    asked = [(1, True, "etxea"), (2, True, "the house"), (3, True, "maison")]
+    found = by_id(langid.identify(spark.createDataFrame(asked, "doc_id long, held_out boolean, text string"), model), "lang_pred")
+    assert [found[i][0] for i in range(1, 4)] == ["eu", "en", "fr"]
+    en, eu, fr = model.table[model.words["etxea"]]
+    assert en == fr < eu
+    en, eu, fr = model.table[model.words["house"]]
+    assert eu == fr < en
+
+
+def test_the_whole_vocabulary_is_kept(spark):
+    many = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(100_000, 161_000)]
+    rows = [(1, "en", " ".join(many * 2)), (2, "fr", "xylophone " + " ".join(many[:5])), (3, "de", "xylophone zwei drei")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.langs == ["de", "en", "fr"] and set(model.words) == {*many, "xylophone", "zwei", "drei"}
+    de, en, fr = model.table[model.words["xylophone"]]
+    assert en < fr < de
+    de, en, fr = model.table[model.words[many[0]]]
+    assert de < en < fr
+
+
 def test_language_of_held_out_documents(spark):
     from pyspark.sql import functions as F
 

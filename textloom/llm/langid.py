@@ -4,9 +4,12 @@ Known words are scored by their log frequency in each language. A word that trai
 its longest known character n-grams, from five letters down to one, each step back at a fixed cost. A text's
 language is the one of the highest total.
 
-The model is fitted on a sample of at most about SAMPLE_ROWS labelled rows, picked by a hash of doc_id, and keeps
-the MODEL_WORDS most frequent words and MODEL_GRAMS n-grams in all: those two bound what is broadcast. Scores
-read whole texts of all rows.
+The model is fitted on a sample of about SAMPLE_ROWS labelled rows, picked by a hash of doc_id, and keeps every word
+and n-gram of it with its counts in all languages: the sample bounds what is broadcast. Languages share the sample
+evenly; those of fewer rows than their share train on all of them, and none gets under LEAST_ROWS of its rows. Each
+language's counts are scaled to one total, and half a count is added for every item of the vocabulary of all
+languages, so what a language has not seen costs the same in each, however small it is. Scores read whole texts of
+all rows.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows with a null lang train nothing; if
 nothing can be learned every text is `und`; ties go to the language that sorts first. Rows without a doc_id are
@@ -22,14 +25,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SAMPLE_ROWS = 20_000
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 60_000
+LEAST_ROWS = 100
+SLOTS = 10**12
 LONGEST = 5
 #: scores of so many words that training has not seen are kept in each task
 RECENT = 400_000
@@ -83,7 +87,7 @@ class Model:
         return sums / sizes[:, None] + STEP_BACK * np.array([steps for _, steps in found])[:, None]
 
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
-        kept = dict(self.words)
+        words, recent = self.words, {}
         scores = np.zeros((RECENT + len(self.table), len(self.langs)))
         scores[: len(self.table)] = self.table
         used = len(self.table)
@@ -93,22 +97,23 @@ class Model:
             counts = Counter(LETTERS.findall((text or "").lower()))
             if not counts or not self.langs:
                 return "und", 0.0
-            new = [w for w in counts if w not in kept]
+            n = np.fromiter(counts.values(), float, len(counts))
+            rows = [words.get(w) or recent.get(w, 0) for w in counts]
+            new = [w for w, row in zip(counts, rows, strict=True) if not row]
             if used + len(new) > len(scores):
-                kept.clear()
-                kept.update(self.words)
+                recent.clear()
                 used = len(self.table)
-                new = [w for w in counts if w not in kept]
-            n = np.fromiter(counts.values(), float, len(counts))
+                new = [w for w in counts if w not in words]
             if len(new) > RECENT:  # a text of more new words than there is room for
                 fresh = dict(zip(new, self.backed_off(new), strict=True))
-                total = n @ np.array([fresh[w] if w in fresh else scores[kept[w]] for w in counts])
+                total = n @ np.array([fresh[w] if w in fresh else scores[words[w]] for w in counts])
             else:
                 if new:
                     scores[used : used + len(new)] = self.backed_off(new)
-                    kept.update(zip(new, range(used, used + len(new)), strict=True))
+                    recent.update(zip(new, range(used, used + len(new)), strict=True))
                     used += len(new)
-                total = n @ scores[np.fromiter(map(kept.__getitem__, counts), np.int64, len(counts))]
+                    rows = [words.get(w) or recent[w] for w in counts]
+                total = n @ scores[rows]
             best = int(total.argmax())
             odds = np.exp((total - total[best]) / max(1.0, n.sum() / 20))
             return self.langs[best], float(1.0 / odds.sum())
@@ -116,24 +121,36 @@ class Model:
         return predict
 
 
+def share_of(sizes: list[int], most: int) -> float:
+    """Rows that a language may give so that all give `most`, LEAST_ROWS at least; without bound if all rows do."""
+    left = most
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return max(left / (len(sizes) - k), LEAST_ROWS)
+        left -= size
+    return math.inf
+
+
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the model on rows (doc_id, lang, text), on a hashed sample if there are more than sample_rows."""
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    counts = rows.select("lang", "text").mapInArrow(_tally, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    tops = [counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item", "lang").limit(most) for kind, most in (("w", MODEL_WORDS), ("g", MODEL_GRAMS))]
-    found = tops[0].unionByName(tops[1]).toPandas()
-    langs = sorted(found["lang"].unique())
-    place = {x: i for i, x in enumerate(langs)}
+    """Fits the model on rows (doc_id, lang, text), on a hashed sample of each language if there are more than sample_rows."""
+    sizes = dict(rows.groupBy("lang").count().collect())
+    share = share_of(list(sizes.values()), sample_rows)
+    limits = [F.lit(x) for lang, n in sizes.items() if lang is not None and n > share for x in (lang, int(SLOTS * share / n))]
+    if limits:
+        rows = rows.filter(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SLOTS)) < F.create_map(*limits)[F.col("lang")], F.lit(True)))
+    found = rows.select("lang", "text").mapInArrow(_tally, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(found["lang"].unique().to_pylist())
     names: list[dict[str, int]] = [{}, {}]
     parts = [np.zeros((1, len(langs)))]
     for known, kind in zip(names, "wg", strict=True):
-        part = found[found["kind"] == kind]
-        known.update((item, sum(map(len, parts)) + i) for i, item in enumerate(part["item"].unique()))
+        part = found.filter(pc.equal(found["kind"], kind))
+        items = part["item"].combine_chunks().dictionary_encode()
+        first = sum(map(len, parts))
+        known.update((item, first + i) for i, item in enumerate(items.dictionary.to_pylist()))
         counts = np.zeros((len(known), len(langs)))
-        np.add.at(counts, ([known[x] - sum(map(len, parts)) for x in part["item"]], part["lang"].map(place).to_numpy(int)), part["n"].to_numpy())
-        parts.append(np.log(np.maximum(counts, 0.5) / (1 + counts.sum(0))))
+        counts[items.indices.to_numpy(), pc.index_in(part["lang"], pa.array(langs, pa.string())).to_numpy()] = part["n"].to_numpy()
+        totals = counts.sum(0)
+        parts.append(np.log((counts * (totals.mean() / totals) + 0.5) / (totals.mean() + 0.5 * len(known))) if len(known) else counts)
     return Model(langs, *names, np.concatenate(parts))
 
 
