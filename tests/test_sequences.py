@@ -36,6 +36,15 @@ def test_changes_round_trip(spark):
         assert r["old"] == r["a"].split()
 
 
+def test_long_texts_have_changes(spark):
+    a = [f"w{i}" for i in range(1200)]
+    b = [*a[:500], "new", *a[503:], "end"]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").withColumn("c", S.changes(F.col("a"), F.col("b")))
+    found = df.withColumn("old", S.hydrated(F.col("b"), F.col("c"))).first()
+    assert [tuple(c) for c in found["c"]] == [(500, 1, "new", "w500 w501 w502"), (1198, 1, "end", "")]
+    assert found["old"] == a
+
+
 def test_kept_cues_look_at_kept_ones_only(spark):
     df = spark.createDataFrame([("g", 1, 0.0, 10.0), ("g", 2, 5.0, 30.0), ("g", 3, 12.0, 14.0), ("h", 4, 1.0, 2.0)], "k string, id long, lo double, hi double")
     assert sorted(r["id"] for r in S.kept_cues(df, "k").collect()) == [1, 3, 4]
