@@ -6,7 +6,7 @@ distinct count. Of a line that goes, one copy stays, at its first place (smalles
 that no text leaves the corpus altogether.
 
 Lines are split at newlines and compared unchanged; lines of white space only never count. A site is a document's
-`source`; a null one is no site.
+`source`; a null one is no site. SITES does not depend on the number of sources: a corpus of fewer sites loses no line.
 
 Defined cases: a null text stays null and has no lines; an empty text is one blank line; rows without a doc_id are
 kept as they are in the operator and left out of the query; rows that share a doc_id lose what any of them would.
