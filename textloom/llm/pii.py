@@ -11,8 +11,9 @@ Only DataFrame functions touch rows. The driver sees counts of vote combinations
 numbers are fixed by this code.
 
 Defined cases: a null text is empty and has no spans; offsets count code points; spans of different kinds may
-overlap; with no candidates nothing is trained and only the patterns' spans are returned. Repeated rows are each
-reported.
+overlap; with no candidates nothing is trained and only the patterns' spans are returned. Repeated rows, and rows
+that share a doc_id, are each reported; the query leaves out rows without a doc_id. Columns other than doc_id and
+text are not read. Time and memory grow in proportion to a text's length and its number of matches.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 from .decontam import let
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: a match starts where its run of local characters does, or where the match before ended inside that run
-EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-SECRET = r"[A-Za-z0-9_+/=-]{16,}+"
+SECRET = r"[A-Za-z0-9_+/-]{16,}+={0,2}"
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 #: fixed values: words that announce a secret, or a number that identifies a person
 GAZETTEER = {
@@ -40,28 +41,94 @@ GAZETTEER = {
     "id": ("ssn", "social security", "passport", "iban", "account", "tax", "insurance", "licence", "license", "id", "card", "visa", "mastercard", "tel", "phone", "mobile", "fax"),
 }
 NEAR = 24
+BLOCK = 24
+#: a match: its place in code points, its text, up to NEAR characters before it and one after it
+SPAN = "struct<start:int,end:int,found:string,lead:string,after:string>"
 LABELERS = ("regex", "gazetteer", "context")
 SMOOTH, PRIOR, STEPS = 1.0, 0.2, 50
 
 
+def scanned(array: Column, state: Column, step, form: str) -> Column:
+    """Array of what step(state, item) = (next state, value) gives for each item of array in order; form: the values' type.
+
+    Appending to an array copies it, so values gather in blocks of BLOCK items, and these in blocks of BLOCK blocks:
+    the work stays near linear.
+    """
+    none = F.array().cast(f"array<{form}>")
+    nested = F.array().cast(f"array<array<{form}>>")
+
+    def begun(acc: Column, empty: Column) -> Column:
+        return F.struct(acc["state"].alias("state"), empty.alias("out"))
+
+    def item(acc: Column, x: Column) -> Column:
+        after, value = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+    def block(items: Column, acc: Column, k: Column) -> Column:
+        part = F.slice(items, k * BLOCK + 1, F.lit(BLOCK))
+        add = lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out"))
+        return let(F.aggregate(part, begun(acc, none), item), add)
+
+    def blocks(items: Column, acc: Column, j: Column) -> Column:
+        last = F.least((j + 1) * BLOCK - 1, F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+        add = lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(F.flatten(d["out"]))).alias("out"))
+        return let(F.aggregate(F.sequence(j * BLOCK, last), begun(acc, nested), lambda a, k: block(items, a, k)), add)
+
+    def whole(items: Column) -> Column:
+        start = F.struct(state.alias("state"), nested.alias("out"))
+        all_ = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK**2).cast("int"))
+        done = F.aggregate(all_, start, lambda acc, j: blocks(items, acc, j))
+        return F.when(F.size(items) == 0, none).otherwise(F.flatten(done["out"]))
+
+    return let(array, whole)
+
+
 def matches(text: Column, pattern: str, guard: str) -> Column:
-    """(start, end, found) of all leftmost matches: the pieces between them give the offsets."""
+    """SPAN structs of all leftmost matches: the pieces between them give the offsets and what stands around."""
 
     def place(found: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-
-        def add(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(between[i])
+        def add(at: Column, i: Column) -> tuple[Column, Column]:
+            begin = at + F.length(between[i])
             end = begin + F.length(found[i])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), found[i].alias("found")))).alias("out"))
+            before = F.when(i > 0, F.concat(F.right(between[F.greatest(i - 1, F.lit(0))], F.lit(NEAR)), found[F.greatest(i - 1, F.lit(0))])).otherwise("")
+            lead = F.right(F.concat(F.right(before, F.lit(NEAR)), F.right(between[i], F.lit(NEAR))), F.lit(NEAR))
+            after = F.left(F.concat(F.left(between[i + 1], F.lit(1)), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(1))
+            values = (begin.alias("start"), end.alias("end"), found[i].alias("found"), lead.alias("lead"), after.alias("after"))
+            return end, F.struct(*values)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add)["out"]
+        return scanned(F.sequence(F.lit(0), F.size(found) - 1), F.lit(0), add, SPAN)
 
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    some = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda between: place(found, between))))
+    none = F.array().cast(f"array<{SPAN}>")
+    pieces = lambda found: let(F.split(text, pattern, -1), lambda between: place(found, between))
+    some = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(pieces(found)))
     return F.when(text.rlike(guard), some).otherwise(none)
 
 
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans (SPAN structs) that overlap none of others (arrays of start and end), in order of start.
+
+    One pass over both in order of start knows the farthest end before each span, one in reverse the nearest start
+    after it.
+    """
+    far, row = F.lit(1 << 30), f"struct<start:int,end:int,own:boolean,x:{SPAN},free:boolean>"
+    plain = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("own"), F.lit(None).cast(SPAN).alias("x"), F.lit(True).alias("free"))
+    own = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("own"), x.alias("x"), F.lit(True).alias("free"))
+
+    def marked(x: Column, free: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["own"].alias("own"), x["x"].alias("x"), (x["free"] & free).alias("free"))
+
+    def forth(ended: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["own"], ended).otherwise(F.greatest(ended, x["end"])), marked(x, ended <= x["start"])
+
+    def back(begins: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["own"], begins).otherwise(F.least(begins, x["start"])), marked(x, begins >= x["end"])
+
+    all_ = F.sort_array(F.concat(F.transform(others, plain), F.transform(spans, own)))
+    passed = let(let(all_, lambda a: F.reverse(scanned(a, F.lit(-1), forth, row))), lambda a: F.reverse(scanned(a, far, back, row)))
+    kept = F.transform(F.filter(passed, lambda x: x["own"] & x["free"]), lambda x: x["x"])
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(kept)
+
+
 def digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -83,13 +150,12 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
-def described(text: Column, spans: Column, kind: str) -> Column:
+def described(spans: Column, kind: str) -> Column:
     """Candidates with their votes (1, 0, -1 for an abstention) and the features that the classifier reads."""
 
     def one(x: Column) -> Column:
         found, start = x["found"], x["start"]
-        lead = F.lower(F.substring(text, F.greatest(F.lit(1), start - NEAR + 1), F.least(start, F.lit(NEAR))))
-        after = F.substring(text, x["end"] + 1, F.lit(1))
+        lead, after = F.lower(x["lead"]), x["after"]
         announced = lead.rlike("(?:^|[^a-z])(?:" + "|".join(GAZETTEER[kind]) + ")[^a-z]")
         assigned = lead.rlike(r"[=:#][\s\"']*$")
         inside = lead.rlike(r"[/@&?%\w]$") | after.rlike(r"[/@\w]")
@@ -98,7 +164,7 @@ def described(text: Column, spans: Column, kind: str) -> Column:
             mixed = found.rlike("[0-9]") & found.rlike("[A-Za-z]")
             shape = F.when(mixed & found.rlike("^(?:[0-9a-f]{24,}|[A-Za-z0-9_-]{24,}|[A-Za-z0-9+/]{22,}={1,2})$"), 1).when(~mixed, 0).otherwise(-1)
         else:
-            shape = F.when(found.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})$"), 1).when(length < 7, 0).otherwise(-1)
+            shape = F.when(found.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})$"), 1).when(F.length(digits(found)) < 9, 0).otherwise(-1)
         votes = [shape, F.when(announced, 1).otherwise(-1), F.when(assigned, 1).when(inside, 0).otherwise(-1)]
         many = lambda pattern: F.floor(4 * F.length(F.regexp_replace(found, pattern, "")) / length)
         features = [
@@ -120,14 +186,16 @@ def examined(docs: DataFrame) -> DataFrame:
     arrays = base_spans(F.col("text"))
     of_kind = lambda k: lambda x: F.struct(F.lit(k).alias("k"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.concat(*[F.transform(a, of_kind(k)) for k, a in enumerate(arrays)])
-    rows = rows.withColumn("base", base)
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    tokens = F.filter(matches(F.col("text"), SECRET, r"[A-Za-z0-9_+/=-]{16}"), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))
+    tokens = F.filter(matches(F.col("text"), SECRET, r"[A-Za-z0-9_+/-]{16}"), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))
     numbers = F.filter(matches(F.col("text"), CARD, r"[0-9](?:[\x20-]?[0-9]){5}"), lambda x: F.length(digits(x["found"])) >= 6)
-    numbers = F.filter(numbers, lambda x: ~F.exists("tokens", lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])))
-    rows = rows.withColumn("tokens", F.filter(tokens, clear)).withColumn("numbers", F.filter(numbers, clear))
-    candidates = F.concat(described(F.col("text"), F.col("tokens"), "secret"), described(F.col("text"), F.col("numbers"), "id"))
-    return stage(rows.select("doc_id", "base", candidates.alias("candidates")))
+    rows = stage(rows.select("doc_id", base.alias("base"), tokens.alias("tokens"), numbers.alias("numbers")))
+    place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    taken = F.concat(F.transform("base", place), F.transform("tokens", place))
+    secrets = let(F.transform("base", place), lambda b: clear_of(F.col("tokens"), b))
+    ids = let(taken, lambda t: clear_of(F.col("numbers"), t))
+    out = stage(rows.select("doc_id", "base", F.concat(described(secrets, "secret"), described(ids, "id")).alias("candidates")))
+    unstage(rows)
+    return out
 
 
 def reliabilities(counts: dict[tuple[int, ...], int]) -> tuple[dict[tuple[int, ...], float], list[float]]:
@@ -193,6 +261,6 @@ def as_text(spans: str) -> Column:
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = found_spans(table(spark, sf_dir, "documents"))
+    out = found_spans(table(spark, sf_dir, "documents").filter("doc_id is not null"))
     n = lambda k: F.size(F.filter("base", lambda b: b["k"] == k)).cast("long")
     return out.select("doc_id", *[n(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
