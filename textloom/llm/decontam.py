@@ -6,7 +6,8 @@ document shares with a benchmark item also shares a fingerprint. Fingerprints of
 hit extends to the windows around it, and those that equal an item's window, word by word, count.
 
 An item of fewer words is one window of its own; for each such length the windows of that length are their own
-fingerprints. Benchmark fingerprints are broadcast only while there are at most BROADCAST_ROWS of them.
+fingerprints, made in the same scan. Fingerprints and windows of the benchmark are each counted, and broadcast only
+up to BROADCAST_ROWS of them and BROADCAST_BYTES.
 
 Defined cases: a null text has no words; an item without words never occurs; repeated items each count; rows
 without a doc_id are left out; rows that share a doc_id are reported alike, with the hits of all. Null item_ids
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 
 SPAN, GRAM = 10, 5
-BROADCAST_ROWS = 200_000
+#: more fingerprints or windows than this are joined by shuffles
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,34 +61,60 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fingerprints(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """docs (…, ws) with a row for each run of windows whose least gram is the same one: `fp` and `s`, the run's first window.
+def gram_of(span: int) -> int:
+    """Words of the strings that windows of span words are winnowed by."""
+    return GRAM if span == SPAN else span
+
+
+def fingerprints(docs: DataFrame, spans: list[int]) -> DataFrame:
+    """docs (…, ws) with a row for each run of windows whose least gram is the same one: `span`, `fp` and `s`, the run's first window.
 
     The leftmost of equal least grams counts. Where it opens a window, it leaves with that window and the next starts
-    a new run, also if the same hash stands there again: no run is longer than a window has grams.
+    a new run, also if the same hash stands there again: no run is longer than a window has grams. The words are
+    hashed once, whatever the number of spans.
     """
 
-    def runs(m: Column, g: Column) -> Column:
+    def runs(m: Column, g: Column, span: int) -> Column:
         before = lambda x, i: x[F.greatest(i - 1, F.lit(0))]
-        first = lambda x, i: F.when((i == 0) | (x != before(m, i)) | (x == before(g, i)), F.struct(x.alias("fp"), i.alias("s")))
-        return F.filter(F.transform(m, first), lambda r: r.isNotNull())
+        row = lambda x, i: F.struct(F.lit(span).alias("span"), x.alias("fp"), i.alias("s"))
+        first = lambda x, i: F.when((i == 0) | (x != before(m, i)) | (x == before(g, i)), row(x, i))
+        none = F.array().cast("array<struct<span:int,fp:bigint,s:int>>")
+        return F.coalesce(F.filter(F.transform(m, first), lambda r: r.isNotNull()), none)
 
-    run = let(hashed(F.col("ws")), lambda h: let(gram_hashes(h, gram), lambda g: let(window_minima(g, span - gram + 1), lambda m: runs(m, g))))
-    # an outer explode: for an inner one the optimiser would compute the whole expression twice, to filter empty arrays
-    return docs.withColumn("r", F.explode_outer(run)).withColumn("fp", F.col("r.fp")).withColumn("s", F.col("r.s")).drop("r")
+    def of(h: Column, span: int) -> Column:
+        gram = gram_of(span)
+        return let(gram_hashes(h, gram), lambda g: let(window_minima(g, span - gram + 1), lambda m: runs(m, g, span)))
 
-
-def hits(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame:
-    """(doc_id, s, span, win): occurrences in docs (doc_id, ws) of windows (win, arrays of span words)."""
-    wanted = fingerprints(windows.withColumn("ws", F.col("win")), span, gram).select(F.col("fp").alias("wfp")).distinct()
-    wanted, wins = stage(wanted), windows
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted, wins = F.broadcast(wanted), F.broadcast(windows)
-    reach = span - gram + 1  # a run of windows of one least gram is no longer
-    found = fingerprints(docs.select("doc_id", "ws"), span, gram).join(wanted, F.col("fp") == F.col("wfp"))
-    near = found.select("doc_id", "s", lowered(F.slice("ws", F.col("s") + 1, span + reach - 1)).alias("near"))
-    each = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("near") - span))).select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.slice("near", F.col("k") + 1, span).alias("near"))
-    return each.join(wins, F.col("near") == F.col("win")).select("doc_id", "s", F.lit(span).alias("span"), "win").distinct()
+    run = let(hashed(F.col("ws")), lambda h: F.concat(*[of(h, span) for span in spans]))
+    # an outer explode: for an inner one the optimiser would compute the whole expression twice, to filter empty arrays
+    rows = docs.withColumn("r", F.explode_outer(run))
+    return rows.withColumn("span", F.col("r.span")).withColumn("fp", F.col("r.fp")).withColumn("s", F.col("r.s")).drop("r")
+
+
+def small(rows: DataFrame, bytes_: Column) -> bool:
+    """Whether all of rows may be broadcast, by their number and the sum of bytes_."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, s, span, win): occurrences in docs (doc_id, ws) of windows (span, win: arrays of span words); one scan of docs."""
+    spans = sorted(r[0] for r in windows.select("span").distinct().collect())  # SPAN lengths at most
+    if not spans:
+        return docs.select("doc_id", F.lit(0).alias("s"), F.lit(0).alias("span"), F.col("ws").alias("win")).limit(0)
+    wins = stage(windows.select("span", "win").distinct())
+    prints = fingerprints(wins.select("win", F.col("span").alias("own"), F.col("win").alias("ws")), spans).filter("span = own")
+    wanted = stage(prints.select(F.col("span").alias("wspan"), F.col("fp").alias("wfp")).distinct())
+    few_prints, few_wins = small(wanted, F.lit(12)), small(wins, 8 * F.size("win") + F.octet_length(F.array_join("win", " ")))
+    wanted_ = F.broadcast(wanted) if few_prints else wanted
+    wins_ = F.broadcast(wins) if few_wins else wins
+    found = fingerprints(docs.select("doc_id", "ws"), spans).join(wanted_, (F.col("fp") == F.col("wfp")) & (F.col("span") == F.col("wspan")))
+    # a run of windows of one least gram is no longer than reach
+    reach = F.when(F.col("span") == SPAN, SPAN - GRAM + 1).otherwise(1)
+    near = found.select("doc_id", "s", "span", lowered(F.slice("ws", F.col("s") + 1, F.col("span") + reach - 1)).alias("near"))
+    each = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("near") - F.col("span"))))
+    each = each.select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.col("span").alias("ns"), F.slice("near", F.col("k") + 1, F.col("span")).alias("near"))
+    return each.join(wins_, (F.col("near") == F.col("win")) & (F.col("ns") == F.col("span"))).select("doc_id", "s", "span", "win").distinct()
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -109,17 +137,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def hit_documents(text: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_hit, n_items, items) of the documents (doc_id, ws) that any benchmark window occurs in; staged."""
     windows = benchmark_windows(benchmark)
-    found = None
-    for (span,) in sorted(windows.select("span").distinct().collect()):  # at most SPAN lengths
-        of = stage(windows.filter(F.col("span") == span).select("win").distinct())
-        part = stage(hits(text, of, span, GRAM if span == SPAN else span))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return text.sparkSession.createDataFrame([], "doc_id long, n_hit int, n_items int, items string")
+    found = stage(hits(text, windows))
     covered = found.select("doc_id", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("span") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = found.select("doc_id", "win").distinct().join(windows.select("item_id", "win"), "win").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return stage(covered.join(items, "doc_id").select("doc_id", "n_hit", F.size("items").alias("n_items"), F.concat_ws(",", "items").alias("items")))
+    out = stage(covered.join(items, "doc_id").select("doc_id", "n_hit", F.size("items").alias("n_items"), F.concat_ws(",", "items").alias("items")))
+    unstage(windows, found)
+    return out
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
