@@ -9,8 +9,9 @@ Lines are split at newlines and compared unchanged; lines of white space only ne
 `source`; a null one is no site. SITES does not depend on the number of sources: a corpus of fewer sites loses no line.
 
 Defined cases: a null text stays null and has no lines; an empty text is one blank line; rows without a doc_id are
-kept as they are in the operator and left out of the query; rows that share a doc_id lose what any of them would.
-An empty table gives an empty result. Only DataFrame functions run.
+kept as they are in the operator and left out of the query; rows that share a doc_id lose the lines at the places
+where any of them would lose one. An empty table gives an empty result. All other columns are carried, whatever
+their names. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
+from .decontam import let
 
 SITES = 10
 #: estimates within this share of SITES are checked exactly; sketches of 2^9 registers err by 5 % or less as a rule
@@ -35,11 +37,13 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     spread = stage(sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("about")).filter(F.col("about") >= sites * (1 - BAND)))
     near = spread.filter(F.col("about") <= sites * (1 + BAND)).select("h1", "h2")
     exact = lines.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= sites)
-    return stage(spread.filter(F.col("about") > sites * (1 + BAND)).select("h1", "h2").unionByName(exact.select("h1", "h2")))
+    out = stage(spread.filter(F.col("about") > sites * (1 + BAND)).select("h1", "h2").unionByName(exact.select("h1", "h2")))
+    unstage(spread)
+    return out
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """(_gone_from, _gone): doc_id and numbers, from 0, of the lines that go from each document that loses any; staged."""
+    """(gone_from, gone): doc_id and numbers, from 0, of the lines that go from each document that loses any; staged."""
     lines = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("site"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     lines = lines.filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
     lines = stage(lines.select("doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
@@ -50,24 +54,31 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     first = first_doc.join(own, ["h1", "h2"]).filter(F.col("doc_id") == F.col("first_doc")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first_doc", "first_at")
     kept = (F.col("doc_id") == F.col("first_doc")) & (F.col("at") == F.col("first_at"))
     gone = found.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).filter(~kept)
-    return stage(gone.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_gone_from"))
+    out = stage(gone.groupBy("doc_id").agg(F.collect_set("at").alias("gone")).withColumnRenamed("doc_id", "gone_from"))
+    unstage(lines, bad, found)
+    return out
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with `_kept`, the array of lines that stay (null for a null text), and `_n_gone`; all columns stay."""
+    """(row, kept, n_gone): row is a struct of all of docs' columns, kept the array of lines that stay (null for a null text)."""
     gone = boilerplate(docs, sites)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("of"))
     # what goes grows with the input: a merge join at every size, not a broadcast while it happens to be small
-    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone_from"), "left")
-    all_ = lines_of(F.col("text"))
-    kept = F.when(F.col("_gone").isNull(), all_).otherwise(F.filter(all_, lambda x, i: ~F.array_contains("_gone", i)))
-    out = out.withColumn("_kept", kept)
-    return out.withColumn("_n_gone", F.coalesce(F.size(all_) - F.size("_kept"), F.lit(0))).drop("_gone", "_gone_from")
+    out = rows.join(gone.hint("merge"), F.col("of") == F.col("gone_from"), "left")
+    all_ = lines_of(F.col("row.text"))
+    # places by a set difference, lines by their place: linear in the lines
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "gone")
+    rest = let(all_, lambda x: F.transform(left(x), lambda i: x[i]))
+    out = out.withColumn("kept", F.when(F.col("gone").isNull() | F.col("row.text").isNull(), all_).otherwise(rest))
+    return out.select("row", "kept", F.coalesce(F.size(all_) - F.size("kept"), F.lit(0)).alias("n_gone"))
 
 
 def op8_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").filter("doc_id is not null")
     out = without_boilerplate(docs)
-    return out.select("doc_id", F.coalesce(F.size("_kept") + F.col("_n_gone"), F.lit(0)).cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.concat_ws("\n", "_kept"), F.lit("")), 256).alias("kept_sha256"))
+    kept = F.sha2(F.coalesce(F.concat_ws("\n", "kept"), F.lit("")), 256).alias("kept_sha256")
+    n_lines = F.when(F.col("kept").isNull(), 0).otherwise(F.size("kept") + F.col("n_gone")).cast("long")
+    return out.select("row.doc_id", n_lines.alias("n_lines"), F.col("n_gone").cast("long").alias("n_removed"), kept)
 
 
 SQL = f"""
