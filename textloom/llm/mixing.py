@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, running_total, stage, table
+from .common import SPACE, n_parts, running_total, stage, table, unstage
 
 BLOCK, SHARD, CAP, SEED = 64, 1024, 3, 20240607
 WEIGHTS = (5, 2, 1)
@@ -88,7 +88,7 @@ def slots(plan: DataFrame) -> DataFrame:
     mean = F.col("want") / F.lit(max(1, shards))
     upto = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = plan.filter("blocks > 0").withColumn("whole", F.floor(mean)).withColumn("part", mean - F.floor(mean)).withColumn("upto", F.sum("part").over(upto))
-    share = stage(share.select("id", "source", "blocks", "whole", "part", "upto"))
+    share = stage(share.select("id", "source", "blocks", "whole", "part", "upto"))  # read by the result
     left = share.agg(F.max("upto")).first()[0] or 0.0
     # the shard's draws: as many as fractional parts add up to, rounded at random so as to keep the mean
     draws = F.lit(int(left)) + (unit("shard", F.lit("n")) < (left - int(left))).cast("int")
@@ -103,7 +103,8 @@ def slots(plan: DataFrame) -> DataFrame:
     start = sure + F.col("before")
     extra = extra.join(share, "id").withColumn("slot", F.explode(F.sequence(start, start + F.col("drawn") - 1)))
     run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((sure - 1) / 4096)))
-    even = share.filter(sure > 0).withColumn("run", run)
+    # one row for each run of 4096 slots, dealt to all tasks before the slots are made
+    even = share.filter(sure > 0).withColumn("run", run).repartition(n_parts(spark), "id", "run")
     even = even.withColumn("slot", F.explode(F.sequence(F.col("run") * 4096, F.least((F.col("run") + 1) * 4096, sure) - 1)))
     out = even.select("source", "blocks", "slot").unionByName(extra.select("source", "blocks", "slot")).filter(F.col("slot") < CAP * F.col("blocks"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
