@@ -13,13 +13,14 @@ all rows.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows with a null lang train nothing; if
 nothing can be learned every text is `und`; ties go to the language that sorts first. Rows without a doc_id are
-left out of training only.
+left out; rows that share a doc_id are each reported. A letter is a character of Unicode category L.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -35,10 +36,12 @@ SAMPLE_ROWS = 20_000
 LEAST_ROWS = 100
 SLOTS = 10**12
 LONGEST = 5
-#: scores of so many words that training has not seen are kept in each task
-RECENT = 400_000
+#: scores of words that training has not seen are kept in each task, up to so many words and bytes
+RECENT, RECENT_BYTES = 400_000, 32 << 20
 STEP_BACK = math.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
+#: word characters that are numbers, not letters (category L): fractions, superscripts, circled and Roman numerals
+NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -47,7 +50,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in counts.items():
             grams: Counter = Counter()
             for word, n in words.items():
@@ -57,6 +60,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([kind] * len(found)), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "kind", "item", "n"])
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    low = (text or "").lower()
+    return LETTERS.findall(low if low.isascii() else NUMERALS.sub(" ", low))
+
+
 def grams_of(word: str) -> Iterator[str]:
     marked = f"<{word}>"
     for size in range(1, LONGEST + 1):
@@ -88,13 +97,14 @@ class Model:
 
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
         words, recent = self.words, {}
-        scores = np.zeros((RECENT + len(self.table), len(self.langs)))
+        room = max(1000, min(RECENT, RECENT_BYTES // (8 * max(1, len(self.langs)))))
+        scores = np.zeros((room + len(self.table), len(self.langs)))
         scores[: len(self.table)] = self.table
         used = len(self.table)
 
         def predict(text: str | None) -> tuple[str, float]:
             nonlocal used
-            counts = Counter(LETTERS.findall((text or "").lower()))
+            counts = Counter(words_of(text))
             if not counts or not self.langs:
                 return "und", 0.0
             n = np.fromiter(counts.values(), float, len(counts))
@@ -104,7 +114,7 @@ class Model:
                 recent.clear()
                 used = len(self.table)
                 new = [w for w in counts if w not in words]
-            if len(new) > RECENT:  # a text of more new words than there is room for
+            if len(new) > room:  # a text of more new words than there is room for
                 fresh = dict(zip(new, self.backed_off(new), strict=True))
                 total = n @ np.array([fresh[w] if w in fresh else scores[words[w]] for w in counts])
             else:
@@ -168,6 +178,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0).withColumn("doc_id", F.col("doc_id").cast("long"))
     model = train(docs.filter("not held_out and lang is not null and text is not null").select("doc_id", "lang", "text"))
     return identify(docs, model)
