@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,8 +118,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = n_parts(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    part = sum([F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts], F.lit(0)) if len(cuts) < 64 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id")))
-    dealt = docs.withColumn("part", part.cast("int"))
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "left").astype(np.int32))
+
+    dealt = docs.withColumn("part", part_of("doc_id"))
     firsts = sorted((first, part) for part, first in dealt.groupBy("part").agg(F.min("doc_id")).collect())
     if not firsts:
         return spark.createDataFrame([], OUT)
