@@ -7,8 +7,14 @@ with equal contexts are settled by counting, and the windows around the others a
 words (see repeats).
 
 Defined cases: a null text has no words; a document of under 20 words loses nothing; equal documents all lose
-everything but the first, if 20 words long or longer; rows without a doc_id are left out; of rows that share a
-doc_id each loses what any of them would. An empty table gives an empty result.
+everything but the first, if 20 words long or longer; rows without a doc_id are left out. Rows that share a doc_id
+stand at the same places of one document: none of them is earlier than another, and the ranges that one loses go from
+each. An empty table gives an empty result. Columns other than doc_id and text are not read.
+
+Exactness: words, anchors and windows are compared by hashes, contexts by 64 bits within groups of one 64-bit anchor
+hash, windows by two words of 64 bits. Among m contexts of an anchor, two that differ pass for equal with a chance of
+about m^2 / 2^65 (a million: 3e-8), and of w distinct words in the corpus two share a hash with w^2 / 2^65, if the text
+is not made to defeat the hash.
 """
 
 from __future__ import annotations

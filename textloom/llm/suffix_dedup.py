@@ -9,12 +9,19 @@ remaining ones are the collection: one task takes the contexts of many anchors i
 one column, updating the contexts' sorted order (the positional transform) and where each context's match with
 its neighbour in that order began. Wherever the match has reached 100 bytes, the windows are equal.
 
-Anchors with more than MANY differing contexts would gather in one task; their windows are hashed and counted
-across tasks instead, with the same result.
+Anchors with more than MANY differing contexts would gather in one task. Such a group is split: windows that begin
+far before the anchor all hold the bytes left of it, the others those right of it, so each half is grouped by the
+longer string that its windows share. What has become equal as a whole is settled by its first row, what is still
+crowded is split again, and the columns run over the parts.
+
+Exactness: contexts are first settled by 64-bit hashes within groups of one 64-bit anchor hash. Among m contexts of
+an anchor, two that differ pass for equal with a chance of about m^2 / 2^65 (a million: 3e-8), if the text is not made
+to defeat the hash. The columns, and the halves of crowded groups, compare bytes.
 
 Defined cases: a null text is empty; a text of under 100 bytes loses nothing; equal documents all lose everything
-but the first, if 100 bytes long or longer; rows without a doc_id are left out; of rows that share a doc_id each
-loses what any of them would. An empty table gives an empty result.
+but the first, if 100 bytes long or longer; rows without a doc_id are left out. Rows that share a doc_id stand at the
+same places of one document: none of them is earlier than another, and the ranges that one loses go from each. An
+empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, slices, stage, table, text_bytes, unstage
-from .repeats import WINDOWS, Batches, anchor_batch, bare, by_document, decided, later_windows, removed_units, sha256, window_batch, with_removals
+from .repeats import Batches, anchor_batch, bare, by_document, decided, removed_units, sha256, with_removals
 
 WINDOW, GRAM = 100, 24
 SPREAD = WINDOW - GRAM
@@ -184,18 +191,6 @@ def compare(batches: Batches) -> Batches:
         yield settle(held)
 
 
-def cut_windows(batches: Batches) -> Batches:
-    """Hashes of the single windows of contexts, for anchors with very many differing contexts."""
-    for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "pos", "reach", "context")), strict=True):
-            doc_id, pos, reach, raw = row
-            g = grams(np.frombuffer(raw, np.uint8))
-            n = len(raw) - WINDOW + 1
-            w1 = _pair(g[64][:n], g[64][WINDOW - 64 :], 0)
-            w2 = _pair(g[64][WINDOW - 64 :], g[64][:n], 4)
-            yield window_batch([doc_id], np.zeros(n, np.int64), pos - reach + np.arange(n), mixed(w1), mixed(w2))
-
-
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -210,21 +205,51 @@ def removal_report(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
 
+GROUP = ("h", "a", "b", "key")
+
+
+def halved(rows: DataFrame) -> DataFrame:
+    """Contexts of crowded groups, each cut into the windows of the nearer and of the farther half of its group's offsets.
+
+    All windows of offsets a to b hold the bytes from a before the anchor to 100 - b after it; these name the new group.
+    """
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    part = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b"))))
+    rows = rows.withColumn("part", part).withColumn("most", F.least("reach", "part.b")).withColumn("fewest", F.greatest("least", "part.a")).filter("fewest <= most")
+    cut = lambda first, n: F.expr(f"substring(context, {first}, {n})")
+    core = F.xxhash64(cut("reach - part.a + 1", f"{WINDOW} - part.b + part.a"))
+    context = cut("reach - most + 1", f"most - fewest + {WINDOW}")
+    return rows.select("h", "part.a", "part.b", core.alias("key"), "doc_id", "pos", F.col("most").alias("reach"), F.col("fewest").alias("least"), context.alias("context"))
+
+
 def repeated_bytes(docs: DataFrame) -> list[DataFrame]:
     """Staged tables (doc_id, spans) of the byte ranges that repeated strings cover."""
     gone, open_ = decided(docs, scan, WINDOW)
     marks = by_document(open_, "h", "pos", "reach", "least")
     text = bare(docs)
     contexts = marks.withColumnRenamed("doc_id", "of").join(text, F.col("of") == text.doc_id).select("doc_id", "text", "marks").mapInArrow(cut_contexts, CONTEXTS)
-    contexts = stage(contexts, heavy=True)
-    sizes = contexts.groupBy("h").agg(F.count("*").alias("n"))
-    hot = stage(sizes.filter(F.col("n") > MANY).select(F.col("h").alias("hot")))
-    few = contexts.join(hot, contexts.h == hot.hot, "left_anti")
-    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "doc_id long, lo long, hi long")
-    windows = stage(contexts.join(hot, contexts.h == hot.hot, "left_semi").mapInArrow(cut_windows, WINDOWS))
-    later = few.unionByName(later_windows(windows, WINDOW))
+    contexts = stage(contexts.select("h", F.lit(0).alias("a"), F.lit(SPREAD).alias("b"), F.lit(0).cast("long").alias("key"), "doc_id", "pos", "reach", "least", "context"), heavy=True)
+    rows, used = contexts, [open_, contexts]
+    few = later = None
+    while True:  # offsets halve each time: seven times at most
+        hot = stage(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > MANY).drop("n"))
+        used.append(hot)
+        part = rows.join(hot, list(GROUP), "left_anti").select(F.xxhash64(*GROUP).alias("h"), "doc_id", "pos", "reach", "least", "context")
+        few = part if few is None else few.unionByName(part)
+        if hot.isEmpty():
+            break
+        halves = stage(halved(rows.join(hot, list(GROUP), "left_semi")))
+        same = [*GROUP, "reach", "least", "context"]
+        first = halves.groupBy(*same).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+        marked = stage(halves.join(first, same).withColumn("gone", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).drop("first"))
+        used += [halves, marked]
+        found = marked.filter("gone").select("doc_id", (F.col("pos") - F.col("reach")).alias("lo"), (F.col("pos") - F.col("least") + WINDOW).alias("hi"))
+        later = found if later is None else later.unionByName(found)
+        rows = marked.filter("not gone").drop("gone")
+    compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "doc_id long, lo long, hi long")
+    later = compared if later is None else compared.unionByName(later)
     later = stage(later.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), heavy=True)
-    unstage(open_, contexts, hot, windows)
+    unstage(*used)
     return [gone, later]
 
 
