@@ -15,13 +15,21 @@ function. Documents of equal sets form classes first. Between class representati
 Pairs inside one component need no further test, so a group of n copies costs about n tests, not n squared, and
 no link between different components is lost.
 
+Shingles are compared by 64-bit hashes (two of w distinct ones agree with a chance of about w^2 / 2^65); equal sets
+are told by a 128-bit digest of the whole set, other links by the whole sets. A list that stays crowded after its
+documents were listed anew forms all pairs that can still be alike: documents put together from few common passages
+are the worst case, and Spark splits such lists over tasks.
+
 Defined cases: null texts and texts without words have an empty set, no links and are kept; equal texts are linked;
-rows without a doc_id are left out; rows that share a doc_id count as one document with the links of all. An empty
-table gives an empty result.
+rows without a doc_id are left out; rows that share a doc_id count as one document with the links of all, each
+reported with its own set's size. An empty table gives an empty result. Columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,26 +59,38 @@ def shingles(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
     return np.unique(mixed(x).view(np.int64))
 
 
+def whole(items: np.ndarray) -> bytes:
+    """A digest of a full sorted set: equal for equal sets only."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def scanner(size: int):
     def scan(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(t, hashes, size) for t in batch["text"].to_pylist()]
-            sums = [s.view(np.uint64) for s in sets]
             columns = [
-                batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sums], pa.int64()),
-                pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sums], pa.int64()), pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
+                batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([whole(s) for s in sets], pa.binary()),
+                pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "same", "sketch"])
 
     return scan
 
 
 def set_maker(size: int):
+    """Full sets of rows (node, same, text) whose text has the set that `same` names."""
+
     def make(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([shingles(t, hashes, size).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "items"])
+            nodes, items = [], []
+            for node, same, text in zip(batch["node"].to_pylist(), batch["same"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                found = shingles(text, hashes, size)
+                if whole(found) == same:
+                    nodes.append(node)
+                    items.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
     return make
 
@@ -109,8 +129,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(v, doc, n): documents under the rarest values of their sketches, values of one document left out."""
-    postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("v"))
+    """(v, doc, n): nodes under the rarest values of their sketches, values of one document left out."""
+    postings = reps.select(F.col("node").alias("doc"), "n", F.explode("sketch").alias("v"))
     common = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
     ranked = postings.join(common, postings.v == common.cv, "left")
     # values of a single document come first in the order, so only their number matters
@@ -120,29 +140,43 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     return held.filter(room > 0).select("doc", "n", F.explode(F.slice("shared", 1, room.cast("int"))).alias("p")).select(F.col("p.v").alias("v"), "doc", "n")
 
 
+def shared_ids(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with the labels of rows that share a doc_id made one."""
+    twice = stage(member.groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 != r1").select("doc_id", "r0"))
+    if twice.isEmpty():
+        unstage(twice)
+        return labels
+    links = stage(member.join(twice, "doc_id").filter("rep != r0").select(F.col("r0").alias("a"), F.col("rep").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    new = ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))
+    out = merged(stage(labels.unionByName(new)), links)
+    unstage(twice, links)
+    return out
+
+
 def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     text = bare(docs)
-    scanned = stage(text.mapInArrow(scanner(size), "doc_id long, n long, s1 long, s2 long, sketch array<long>"))
-    classes = stage(scanned.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    # rows that share a doc_id make its classes one
-    own = [F.col(c) for c in ("n", "s1", "s2")]
-    member = scanned.select("doc_id", *own).join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    rows = text.withColumn("row", F.monotonically_increasing_id())  # fixed once staged
+    scanned = stage(rows.mapInArrow(scanner(size), "row long, doc_id long, n long, same binary, sketch array<long>"))
+    classes = stage(scanned.filter("n > 0").groupBy("same").agg(F.min("row").alias("rep")))
+    member = scanned.select("row", "doc_id", "same", "n").join(classes, "same", "left").select("doc_id", "n", F.coalesce("rep", "row").alias("rep"))
     member = stage(member)
-    reps = scanned.alias("s").join(classes.alias("c"), [F.col(f"s.{c}") == F.col(f"c.{c}") for c in ("n", "s1", "s2")]).filter("s.doc_id = c.rep").select("s.doc_id", "s.n", "s.sketch")
-    reps = stage(reps.dropDuplicates(["doc_id"]))
+    reps = stage(scanned.join(classes.select(F.col("rep").alias("node")), F.col("row") == F.col("node")).select("node", "doc_id", "n", "same", "sketch"))
+    unstage(scanned, classes)
     lists = stage(inverted_lists(reps), heavy=True)
     crowded = lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1").select("v")
     lists_ = stage(lists.join(crowded, "v"))
     unstage(lists)
     lists = lists_
     known = lists.select(F.col("doc").alias("node")).distinct()
-    sets = known.join(text, known.node == text.doc_id).join(reps.filter(F.col("n") > K).select(F.col("doc_id").alias("big")), F.col("node") == F.col("big"), "left_semi")
-    sets = stage(sets.select("doc_id", "text").mapInArrow(set_maker(size), "doc_id long, items binary").dropDuplicates(["doc_id"]), heavy=True)
-    sketches = reps.join(known, reps.doc_id == known.node, "left_semi")
-    sketches = stage(sketches)
+    wanted = reps.filter(F.col("n") > K).join(known, "node", "left_semi").select("node", "same", F.col("doc_id").alias("of"))
+    sets = wanted.join(text, F.col("of") == text.doc_id).select("node", "same", "text").mapInArrow(set_maker(size), "node long, items binary")
+    sets = stage(sets.dropDuplicates(["node"]), heavy=True)
+    sketches = stage(reps.join(known, "node", "left_semi").select("node", "n", "sketch"))
+    unstage(reps)
     labels = stage(known.withColumn("label", F.col("node")))
-    tested = None
+    tested, used = None, [lists, sets, sketches]
     for turn in range(PIVOT_ROUNDS + 1):
         at = lists.join(labels, lists.doc == labels.node).select("v", "doc", "n", "label")
         order = F.col("doc") if turn == 0 else F.xxhash64("doc", "v", F.lit(turn))
@@ -156,6 +190,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs)
+        used.append(pairs)
         links = stage(linked(pairs, sketches, sets, percent), heavy=True)
         labels_ = merged(labels, links)
         if labels_ is not labels:
@@ -163,10 +198,11 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         labels = labels_
         unstage(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
+    labels = shared_ids(member, labels)
+    unstage(*used)
     joined = member.join(labels, member.rep == labels.node, "left").select("doc_id", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    out = joined.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out
+    smallest = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -180,9 +216,9 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     short = lists.join(size.filter(F.col("m") <= FEW), "v", "left_semi").select("v", "doc", "n", "label", F.lit(0).alias("rank"))
     long = lists.join(size.filter(F.col("m") > FEW), "v", "left_semi").select("doc", "n", "label").distinct()
     long = stage(long)
-    small = sketches.filter(F.col("n") <= K).select("doc_id", F.col("sketch").alias("small"))
-    items = sets.unionByName(small.mapInArrow(_packed, "doc_id long, items binary"))
-    items = items.join(long, items.doc_id == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long")
+    small = sketches.filter(F.col("n") <= K).select("node", F.col("sketch").alias("small"))
+    items = sets.unionByName(small.mapInArrow(_packed, "node long, items binary"))
+    items = items.join(long, items.node == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long")
     common = items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
     held = items.join(common, items.v == common.cv).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
@@ -200,7 +236,7 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
 
 def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.least(F.lit(K), F.greatest(F.size("sa"), F.size("sb"))))
     found = F.array_intersect("sa", "sb")
@@ -208,8 +244,7 @@ def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
     exact = F.when(whole, 100 * F.size(found) >= percent * (F.col("na") + F.col("nb") - F.size(found)))
     estimate = F.size(F.array_intersect(least, found)) / F.size(least)
     near = stage(both.withColumn("exact", exact).filter(F.coalesce("exact", estimate >= percent / 100 - MARGIN)).select("a", "b", "exact"))
-    items = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
-    small = sketches.filter(F.col("n") <= K).select("doc_id", F.col("sketch").alias("small"))
+    small = sketches.filter(F.col("n") <= K).select("node", F.col("sketch").alias("small"))
     rest = near.filter("exact is null").select("a", "b")
     unpacked = full_sets(rest, sets, small)
     return near.filter("exact").select("a", "b").unionByName(unpacked.mapInArrow(confirmer(percent), "a long, b long"))
@@ -217,8 +252,8 @@ def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
 
 def full_sets(pairs: DataFrame, sets: DataFrame, small: DataFrame) -> DataFrame:
     """pairs with both full sets; the few small ones are packed from their sketches."""
-    all_ = sets.unionByName(small.mapInArrow(_packed, "doc_id long, items binary"))
-    side = lambda x: all_.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
+    all_ = sets.unionByName(small.mapInArrow(_packed, "node long, items binary"))
+    side = lambda x: all_.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b")
 
 
@@ -227,13 +262,13 @@ def _unpacked(batches: Batches) -> Batches:
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["items"]]
         for first in range(0, len(sets), 500):
             part = sets[first : first + 500]
-            ids = np.repeat(np.asarray(batch["doc_id"])[first : first + 500], [len(s) for s in part])
+            ids = np.repeat(np.asarray(batch["node"])[first : first + 500], [len(s) for s in part])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], ["id", "v"])
 
 
 def _packed(batches: Batches) -> Batches:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([np.array(s, np.int64).tobytes() for s in batch["small"].to_pylist()], pa.binary())], ["doc_id", "items"])
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([np.array(s, np.int64).tobytes() for s in batch["small"].to_pylist()], pa.binary())], ["node", "items"])
 
 
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
