@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 SPACE = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+_STAGED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of our own only where the cluster names none."""
+    """The folder that all executors share; a temporary one of our own only on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="textloom-")
@@ -36,6 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[key]}"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed with all that it still holds when the driver ends."""
+    path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+    if path not in _STAGED:
+        _STAGED.add(path)
+        atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Frees shuffle files of finished steps now, instead of at the driver's next chance collection.
 
@@ -53,7 +72,7 @@ def stage(df: DataFrame, heavy: bool = False) -> DataFrame:
     heavy: its plan shuffled a share of the whole input, which is freed at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     df.write.parquet(path)
     if heavy:

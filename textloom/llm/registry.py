@@ -1,7 +1,5 @@
 """The corpus operators' queries, and the SQL of those that SQL can express."""
 
-import corpus_pipeline
-
 from . import decontam, linededup
 from .anchor_dedup import op9_difference_cover
 from .decontam import op6_winnowing
@@ -21,5 +19,4 @@ QUERIES = {
         op7_word_first_backoff, op8_distinct_site_spread, op9_difference_cover, op10_bottom_k,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op6_winnowing": decontam.SQL, "op8_distinct_site_spread": linededup.SQL}
