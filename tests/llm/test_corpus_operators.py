@@ -78,11 +78,12 @@ def test_repeated_bytes(docs, none, rows):
     assert report(none).count() == 0
 
 
-def test_many_contexts_take_the_other_way(docs, rows, monkeypatch):
+@pytest.mark.parametrize("many", [1, 2, 5])
+def test_crowded_anchors_are_split(docs, monkeypatch, many):
     from textloom.llm import suffix_dedup
 
     usual = by_id(with_removals(docs, repeated_bytes(docs)).mapInArrow(report_bytes, BYTES_OUT), "n_removed", "kept_sha256")
-    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     assert by_id(with_removals(docs, repeated_bytes(docs)).mapInArrow(report_bytes, BYTES_OUT), "n_removed", "kept_sha256") == usual
 
 
@@ -268,7 +269,7 @@ def test_line_dedup(docs, none, rows):
             kept[i].append(line)
         seen.add(line)
     assert bad
-    found = {r["doc_id"]: r["_kept"] for r in linededup.without_boilerplate(docs).collect()}
+    found = {r["row"]["doc_id"]: r["kept"] for r in linededup.without_boilerplate(docs).collect()}
     for i, t, *_ in rows:
         assert (found[i] or []) == kept[i]
         assert (found[i] is None) == (t is None)
