@@ -27,9 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; those that had nothing else go."""
-    out = without_boilerplate(docs).withColumn("text", F.when(F.col("_n_gone") > 0, F.concat_ws("\n", "_kept")).otherwise(F.col("text")))
-    out = out.filter((F.col("_n_gone") == 0) | (F.trim(F.translate("text", "\t\r\n\x0b\x0c", "     ")) != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = without_boilerplate(docs)
+    text = F.when(F.col("n_gone") > 0, F.concat_ws("\n", "kept")).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", text)
+    out = out.withColumn("row", row.withField("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else row)
+    blank = F.trim(F.translate("row.text", "\t\r\n\x0b\x0c", "     ")) == ""
+    return out.filter((F.col("n_gone") == 0) | ~blank).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

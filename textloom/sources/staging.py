@@ -13,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def staged_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own only where the cluster names none."""
+    """spark.checkpoint.dir; a temporary folder of our own, removed at the end, only on a local master, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         if key not in _OWN:
             _OWN[key] = tempfile.mkdtemp(prefix="textloom-")
