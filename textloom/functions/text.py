@@ -11,11 +11,6 @@ LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "f
 #: fixed values: letters with marks and the plain letters they fold to
 MARKED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
-#: fixed values: common words by which a language is told
-STOPWORDS = {
-    "en": ("the", "and", "of", "to", "that", "was", "with", "for"), "de": ("der", "die", "und", "das", "ist", "nicht", "den", "ein"),
-    "fr": ("le", "la", "les", "et", "des", "est", "que", "une"), "es": ("el", "los", "las", "que", "de", "y", "por", "una"),
-}
 GRADES = ("ok", "low", "medium", "high")
 
 

@@ -19,11 +19,11 @@ def checked_aliases(aliases: DataFrame, old: str, new: str) -> DataFrame:
     return one.select(old, F.when(F.col("_n") == 1, F.col(new)).otherwise(F.raise_error(F.concat(F.lit("contradicting alias "), F.col(old).cast("string")))).alias(new))
 
 
-def contained(points: DataFrame, at: Column, spans: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
-    """Points joined to the spans that hold them: spans enter every bin of `width` they reach, points one."""
+def contained(points: DataFrame, at: Column, spans: DataFrame, lo: str, hi: str, width: float, keys: list[str] | None = None) -> DataFrame:
+    """Points joined to the spans of the same keys that hold them: spans enter every bin of `width` they reach, points one."""
     p = points.withColumn("_at", at).withColumn("_bin", F.floor(F.col("_at") / width))
     s = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    return p.join(s, "_bin").filter((F.col("_at") >= F.col(lo)) & (F.col("_at") < F.col(hi))).drop("_bin", "_at")
+    return p.join(s, [*(keys or []), "_bin"]).filter((F.col("_at") >= F.col(lo)) & (F.col("_at") < F.col(hi))).drop("_bin", "_at")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, carry: list[str]) -> DataFrame:
@@ -53,6 +53,8 @@ def offset_votes(a: DataFrame, b: DataFrame, id_a: str, id_b: str, most: int, bu
     """Votes for each offset pos_a - pos_b of a pair; shingles that occur over `most` times in b do not vote."""
     n = b.groupBy("shingle").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).drop("_n")
     rare = b.join(n, "shingle", "left_semi").select(F.col(id_b), F.col("pos").alias("pos_b"), "shingle")
+    # the larger side keeps only what can vote, before its strings are dealt
+    a = a.join(n, "shingle", "left_semi")
     return a.join(rare, "shingle").groupBy(id_a, id_b, (F.floor((F.col("pos") - F.col("pos_b")) / bucket) * bucket).alias("offset")).agg(F.count("*").alias("votes"))
 
 

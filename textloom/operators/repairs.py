@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: fixed values: abbreviations and what they are spelled out to
-ABBREVIATIONS = (("Mr.", "Mister"), ("Mrs.", "Missus"), ("Dr.", "Doctor"), ("St.", "Saint"), ("No.", "Number"), ("vs.", "versus"), ("etc.", "et cetera"), ("e.g.", "for example"), ("i.e.", "that is"))
+#: fixed values, in the order in which they are replaced: abbreviations that lose their full stops
+ABBREVIATIONS = (
+    "U.S. U.K. U.N. E.U. U.S.A. U.S.S.R. Dr. Mr. Mrs. Ms. Prof. Jr. Sr. Rev. Gen. Col. Lt. Sgt. Capt. Gov. Sen. Rep. "
+    "Inc. Ltd. Corp. Co. Bros. LLC. vs. etc. e.g. i.e. a.m. p.m. A.M. P.M. no. No. vol. Vol. pp. pg. St. Ave. Blvd. Rd. Mt. Ft. "
+    "approx. dept. Dept. est. Est."
+).split()
 EDGE_MARKS = ".,;:!?\"'()[]"
 
 
@@ -39,31 +43,124 @@ def without_edge_bar(c: Column) -> Column:
     return F.when(F.trim(cut) != "", cut).otherwise(c)
 
 
-def spelled_out(c: Column) -> Column:
-    for short, long in ABBREVIATIONS:
-        c = F.replace(c, F.lit(short), F.lit(long))
+def without_stops(c: Column) -> Column:
+    """Common abbreviations without their full stops, so that these end no sentence."""
+    for name in ABBREVIATIONS:
+        c = F.replace(c, F.lit(name), F.lit(name.replace(".", "")))
     return c
 
 
+def letter_inside(c: Column) -> Column:
+    """Whether an exclamation mark stands between two letters: a ligature that was read wrongly."""
+    return c.rlike(r"\p{L}!\p{L}")
+
+
+#: fixed values: marks that may end and begin a word, and hyphens
+TRAILING, LEADING, HYPHENS = ".,!?;:'\"“”‘’)]}…", "'\"“”‘’([{—–", "-‐‑‒–—"
+
+
+def spaced(c: Column) -> Column:
+    """The words of a text."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def with_last(words: Column, last: Column) -> Column:
+    return F.concat(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), F.array(last))
+
+
+def with_first(words: Column, first: Column) -> Column:
+    return F.concat(F.array(first), F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1)))
+
+
+def edge_marks_restored(ocr: Column, truth: Column) -> Column:
+    """truth whose first and last word get back marks that only ocr has there, if the words are as long and close."""
+    o, t = spaced(ocr), spaced(truth)
+    o1, t1, o9, t9 = F.get(o, F.lit(0)), F.get(t, F.lit(0)), F.try_element_at(o, F.lit(-1)), F.try_element_at(t, F.lit(-1))
+    close = lambda a, b: (F.length(a) == F.length(b)) & (F.levenshtein(a, b) <= F.greatest(F.lit(1), F.floor(F.length(b) / 4)))
+    ob, tb = F.rtrim(o9, F.lit(TRAILING)), F.rtrim(t9, F.lit(TRAILING))
+    more = (F.length(o9) - F.length(ob) > F.length(t9) - F.length(tb)) & close(ob, tb)
+    ends = F.when(more, with_last(t, F.concat(tb, F.substr(o9, F.length(ob) + 1)))).otherwise(t)
+    oc, tc = F.ltrim(o1, F.lit(LEADING)), F.ltrim(F.get(ends, F.lit(0)), F.lit(LEADING))
+    fewer = F.length(F.get(ends, F.lit(0))) - F.length(tc)
+    front = (F.length(o1) - F.length(oc) > fewer) & close(oc, tc)
+    both = F.when(front, with_first(ends, F.concat(F.left(o1, F.length(o1) - F.length(oc)), tc))).otherwise(ends)
+    return F.when((F.size(o) == 0) | (F.size(t) == 0) | ~(more | front), truth).otherwise(F.array_join(both, " "))
+
+
+def edges_clamped(ocr: Column, truth: Column) -> Column:
+    """truth whose last and first word are ocr's where truth only goes on after them, or began before."""
+    o, t = spaced(ocr), spaced(truth)
+    o1, t1, o9, t9 = F.get(o, F.lit(0)), F.get(t, F.lit(0)), F.try_element_at(o, F.lit(-1)), F.try_element_at(t, F.lit(-1))
+    longer = (F.length(t9) > F.length(o9)) & F.startswith(F.lower(t9), F.lower(o9))
+    ends = F.when(longer, with_last(t, o9)).otherwise(t)
+    first = F.get(ends, F.lit(0))
+    earlier = (F.length(first) > F.length(o1)) & F.endswith(F.lower(first), F.lower(o1))
+    both = F.when(earlier, with_first(ends, o1)).otherwise(ends)
+    return F.when((F.size(o) == 0) | (F.size(t) == 0) | ~(longer | earlier), truth).otherwise(F.array_join(both, " "))
+
+
+def hyphen_repaired(ocr: Column, truth: Column, ends: bool) -> Column:
+    """truth with ocr's part of a word that a line break cut, if the whole word holds it at that end; null without evidence.
+
+    ends: the line ends in the first part of the word; otherwise it begins with the second.
+    """
+    o, t = spaced(ocr), spaced(truth)
+    edge = F.try_element_at(o, F.lit(-1)) if ends else F.get(o, F.lit(0))
+    part = F.rtrim(edge, F.lit(HYPHENS)) if ends else edge
+    word = F.try_element_at(t, F.lit(-1)) if ends else F.get(t, F.lit(0))
+    shown = (F.startswith if ends else F.endswith)(F.lower(word), F.lower(part)) & (part != "")
+    fixed = F.array_join(with_last(t, edge) if ends else with_first(t, edge), " ")
+    return F.when((F.size(o) > 0) & (F.size(t) > 0) & (F.length(word) > F.length(part)) & shown, fixed)
+
+
+def glyph_damaged(ocr: Column, truth: Column) -> Column:
+    """Whether truth has a sign between two letters that ocr never has."""
+    signs = F.regexp_extract_all(truth, F.lit(r"(?<=\p{L})([^\p{L}\p{N}_\s'’\-‐])(?=\p{L})"), F.lit(1))
+    return F.exists(signs, lambda x: ~F.contains(ocr, x))
+
+
+def separators(line: Column, following: Column) -> Column:
+    """What joins two lines: the newline stays where a wrap hyphen cut a word, else one space."""
+    return F.when(line.rlike(r"\p{L}[-‐]\s*$") & following.rlike(r"^\s*\p{Ll}"), "\n").otherwise(" ")
+
+
 def humanized(c: Column) -> Column:
     """CamelCase as words."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "[_#]+", " "))
 
 
+def compared(c: Column) -> Column:
+    """Lower case; letters, digits and single spaces only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
+
+
+def best_words(quote: Column, text: Column) -> Column:
+    """The best likeness of a quote to as many neighbouring words of a text, two more or two less; 0 if there are none."""
+    words, n = F.split(text, " "), F.size(F.split(quote, " "))
+    sizes = F.filter(F.sequence(n - 2, n + 2), lambda k: (k >= 1) & (k <= F.size(words)))
+    starts = lambda k: F.sequence(F.lit(1), F.size(words) - k + 1)
+    alike = lambda w: 1 - F.levenshtein(quote, w) / F.greatest(F.length(quote), F.length(w))
+    each = lambda k: F.array_max(F.transform(starts(k), lambda i: alike(F.array_join(F.slice(words, i, k), " "))))
+    return F.coalesce(F.array_max(F.transform(sizes, each)), F.lit(0.0))
+
+
 def quote_score(quote: Column, text: Column) -> Column:
-    """1 for equal normal forms, 0.96 and 0.92 for a text that starts with the quote or holds it, else shared words."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    q, t = norm(quote), norm(text)
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    share = F.size(F.array_intersect(words(q), words(t))) / F.greatest(F.lit(1), F.size(words(q)))
-    return F.when(q == t, 1.0).when(F.startswith(t, q), 0.96).when(F.contains(t, q), 0.92).otherwise(F.round(share * 0.9, 6))
+    """1 if the text holds the quote, 0.96 and 0.92 if it holds its first 50 or 25 characters, else the best window of words."""
+    q, t = compared(quote), compared(text)
+    held = lambda width: (F.length(F.left(q, F.lit(width))) >= 15) & F.contains(t, F.left(q, F.lit(width)))
+    short = (F.length(q) < 3) | (F.length(t) < 3)
+    return F.when(short, 0.0).when(F.contains(t, q), 1.0).when(held(50), 0.96).when(held(25), 0.92).otherwise(best_words(q, t))
+
+
+#: fixed value: so many consonants in a row make no English word
+CONSONANTS = "[bcdfghjklmnpqrstvwxz]{4}"
 
 
 def vowel_share(words: Column) -> Column:
-    """Share of words of three letters or more whose shape is pronounceable: a vowel, and no run of five consonants."""
+    """Share of words of three letters or more whose shape is pronounceable: a vowel, and no long run of consonants; 0 for none."""
     long = F.filter(words, lambda w: F.length(w) >= 3)
-    fine = F.filter(long, lambda w: w.rlike("[aeiouy]") & ~w.rlike("[bcdfghjklmnpqrstvwxz]{5}"))
-    return F.when(F.size(long) == 0, None).otherwise(F.size(fine) / F.size(long))
+    fine = F.filter(long, lambda w: w.rlike("[aeiouy]") & ~w.rlike(CONSONANTS))
+    return F.when(F.size(long) == 0, 0.0).otherwise(F.size(fine) / F.size(long))
 
 
 def edit_lines(pairs: Column) -> Column:
@@ -80,8 +177,19 @@ def parsed_edits(c: Column) -> Column:
 
 def answers(c: Column) -> Column:
     """(n, paragraph) of a text marked <<<n>>>; of a repeated n the last counts."""
-    parts = F.slice(F.split(c, "<<<"), 2, 10_000_000)
+    parts = F.slice(F.split(c, "<<<"), F.lit(2), F.size(F.split(c, "<<<")))
     pairs = F.filter(F.transform(parts, lambda p: F.split(p, ">>>", 2)), lambda p: (F.size(p) == 2) & p[0].rlike("^[0-9]+$"))
     both = F.transform(pairs, lambda p, i: F.struct(p[0].cast("int").alias("n"), F.trim(p[1]).alias("paragraph"), i.alias("at")))
     last = F.filter(both, lambda x: ~F.exists(both, lambda y: (y["n"] == x["n"]) & (y["at"] > x["at"])))
     return F.array_sort(F.transform(last, lambda x: F.struct(x["n"].alias("n"), x["paragraph"].alias("paragraph"))))
+
+
+def toc_entry(line: Column) -> Column:
+    """(title, page) of a line of a table of contents: after leaders, after a wide gap, or at the end; page null if there is none."""
+    line = F.trim(line)
+    shapes = [r"^(.+?)\s*[.\u2026\u2014\u2013\-\t]{2,}\s*(\d+)\s*$", r"^(.+?)\s{3,}(\d+)\s*$", r"^(.{4,}?)\s+(\d+)\s*$"]
+    out = F.struct(line.alias("title"), F.lit(None).cast("int").alias("page"))
+    for shape in reversed(shapes):
+        found = F.struct(F.trim(F.regexp_extract(line, shape, 1)).alias("title"), F.regexp_extract(line, shape, 2).cast("int").alias("page"))
+        out = F.when(line.rlike(shape), found).otherwise(out)
+    return F.when(F.length(line) >= 2, out)

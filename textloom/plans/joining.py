@@ -91,8 +91,8 @@ def clip_anchoring(t: Tables):
 SELECT event_id, cue FROM p JOIN s ON reader = user_id AND at_ >= lo AND at_ < hi""")
 def interval_containment(t: Tables):
     spans = t.events.filter("event_type = 'view'").select(F.col("event_id").alias("cue"), "user_id", epoch("ts").alias("lo"), (epoch("ts") + F.col("value") * 60).alias("hi"))
-    points = t.events.filter("event_type = 'click'").select("event_id", F.col("user_id").alias("reader"), epoch("ts").alias("second"))
-    return J.contained(points, F.col("second"), spans, "lo", "hi", 3600.0).filter("reader = user_id").select("event_id", "cue")
+    points = t.events.filter("event_type = 'click'").select("event_id", "user_id", epoch("ts").alias("second"))
+    return J.contained(points, F.col("second"), spans, "lo", "hi", 3600.0, ["user_id"]).select("event_id", "cue")
 
 
 _BOXES = "SELECT l_partkey AS page, l_orderkey * 8 + l_linenumber AS id, l_suppkey % 20 AS x1, l_suppkey % 20 + l_quantity AS x2, l_orderkey % 20 AS y1, l_orderkey % 20 + l_linenumber * 4 AS y2, l_returnflag AS side FROM lineitem WHERE l_returnflag <> 'N'"

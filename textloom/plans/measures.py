@@ -163,9 +163,9 @@ def nice_axis_step(t: Tables):
 @query("""WITH a AS (SELECT source, sum(length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g'))) AS chars, count(*) AS lines FROM documents GROUP BY source), b AS (SELECT source, sum(length(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]', '', 'g'))) AS chars, count(*) AS lines FROM documents GROUP BY source)
 SELECT source, a.lines = b.lines AND a.chars = b.chars AS same FROM a FULL JOIN b USING (source)""")
 def character_parity(t: Tables):
-    side = lambda text, x: t.documents.groupBy("source").agg(F.sum(F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0b]", ""))).alias(f"chars_{x}"), F.count("*").alias(f"lines_{x}"))
-    a, b = side(F.col("text"), "a"), side(F.lower("text"), "b")
-    return a.join(b, "source", "full").select("source", ((F.col("lines_a") == F.col("lines_b")) & (F.col("chars_a") == F.col("chars_b"))).alias("same"))
+    chars = lambda text: F.sum(F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0b]", "")))
+    both = t.documents.groupBy("source").agg(chars(F.col("text")).alias("a"), chars(F.lower("text")).alias("b"))
+    return both.select("source", (F.col("a") == F.col("b")).alias("same"))
 
 
 @query("""WITH m AS (SELECT p_brand, median(p_retailprice) AS mid FROM part GROUP BY p_brand) SELECT p_partkey, list_filter([CASE WHEN p_retailprice > 1.5 * mid THEN 'large' END, CASE WHEN p_retailprice < 0.7 * mid THEN 'small' END, CASE WHEN p_size >= 45 THEN 'wide' END, CASE WHEN length(p_name) < 8 THEN 'short' END], lambda x: x IS NOT NULL) AS suspects FROM part JOIN m USING (p_brand)""")

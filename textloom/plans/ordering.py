@@ -130,10 +130,12 @@ def best_candidate(t: Tables):
     return W.top(t.part, ["p_brand"], [rank * 1000000 + F.length("p_name") * 10000 + F.col("p_partkey")], 1).select("p_brand", F.col("p_partkey").alias("best"))
 
 
-@query("""WITH used AS (SELECT DISTINCT p_brand, p_size AS n FROM part), free AS (SELECT b.p_brand, c.n FROM (SELECT DISTINCT p_brand FROM part) b, (SELECT unnest(range(2, 1000)) AS n) c) SELECT p_brand, min(n) AS next_free FROM free ANTI JOIN used USING (p_brand, n) GROUP BY p_brand""")
+@query("""WITH used AS (SELECT DISTINCT p_brand, p_size AS n FROM part), next AS (SELECT p_brand, n + 1 AS n FROM used WHERE n >= 2 UNION SELECT DISTINCT p_brand, 2 FROM part) SELECT p_brand, min(n) AS next_free FROM next ANTI JOIN used USING (p_brand, n) GROUP BY p_brand""")
 def next_free_name(t: Tables):
+    """The least number from 2 that a brand has not used: 2, or the one after a used number."""
     used = t.part.select("p_brand", F.col("p_size").cast("long").alias("n")).distinct()
-    free = t.part.select("p_brand").distinct().withColumn("n", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(999).cast("long"))))
+    following = used.filter("n >= 2").select("p_brand", (F.col("n") + 1).alias("n"))
+    free = following.unionByName(used.select("p_brand", F.lit(2).cast("long").alias("n")).distinct())
     return free.join(used, ["p_brand", "n"], "left_anti").groupBy("p_brand").agg(F.min("n").alias("next_free"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import windows as W
 
 from .registry import Tables, query
 
@@ -19,22 +20,23 @@ def quality_report(t: Tables):
     return d.select("doc_id", F.round("symbols", 6).alias("symbol_rate"), F.round("shouts", 6).alias("shout_rate"), F.round("broken", 6).alias("broken_rate"), X.verdict(grades).alias("verdict"))
 
 
-def _stopword_sql() -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{lang}', '{w}')" for lang, ws in X.STOPWORDS.items() for w in ws) + ") s(lang_, word)"
+#: words of a language by which it is told
+STOPWORDS = 32
 
 
-@query(f"""WITH s AS ({_stopword_sql()}), w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\r.,;:!?]+'), lambda w: w <> '')) AS word FROM documents), h AS (SELECT doc_id, lang_, count(*) AS hits FROM w JOIN s USING (word) GROUP BY ALL)
-SELECT doc_id, lang_ AS told, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang_) = 1""")
+@query(f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT lang AS told, word, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {STOPWORDS}),
+s AS (SELECT doc_id, told, sum(c.n) AS hits FROM c JOIN f USING (word) GROUP BY ALL), n AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
+SELECT doc_id, told, round(hits / total, 6) AS share FROM s JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, told) = 1""")
 def stopword_language(t: Tables):
-    words = F.split(F.lower("text"), "[ \t\n\r.,;:!?]+")
-    d = t.documents.select("doc_id", words.alias("w"))
-    hits = [F.struct((-F.size(F.filter("w", _one_of(ws)))).alias("less"), F.lit(lang).alias("told")) for lang, ws in X.STOPWORDS.items()]
-    best = F.array_min(F.array(*hits))
-    return d.select("doc_id", best["told"].alias("told"), (-best["less"]).cast("long").alias("hits")).filter("hits > 0")
-
-
-def _one_of(words):
-    return lambda x: x.isin(*words)
+    """The language whose most common words make up most of a text; the word lists come from the labelled documents."""
+    w = t.documents.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("word"))
+    seen = w.filter("lang is not null").groupBy(F.col("lang").alias("told"), "word").agg(F.count("*").alias("n"))
+    lists = W.top(seen, ["told"], [F.desc("n"), F.asc("word")], STOPWORDS).select("told", "word")
+    counts = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    hits = counts.join(lists, "word").groupBy("doc_id", "told").agg(F.sum("n").alias("hits"))
+    best = hits.groupBy("doc_id").agg(F.min_by(F.struct("told", "hits"), F.struct(-F.col("hits"), F.col("told"))).alias("b"))
+    total = counts.groupBy("doc_id").agg(F.sum("n").alias("total"))
+    return best.join(total, "doc_id").select("doc_id", "b.told", F.round(F.col("b.hits") / F.col("total"), 6).alias("share"))
 
 
 @query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT d.source, l.doc_id, regexp_replace(line, '[0-9]+', '#', 'g') AS key FROM l JOIN documents d USING (doc_id) WHERE length(line) BETWEEN 1 AND 80), n AS (SELECT source, count(*) AS docs FROM documents GROUP BY source), c AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k GROUP BY ALL)

@@ -101,9 +101,10 @@ def ready_set(t: Tables):
     return ready.withColumn("place", place).filter(F.col("place") <= F.when(F.col("resource") == "1-URGENT", 1).otherwise(2)).select("o_orderkey", "resource")
 
 
-@query("""SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING bool_and(l_returnflag = 'R')""")
+@query("""SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')""")
 def orphaned_payloads(t: Tables):
-    return t.lineitem.groupBy("l_partkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("gone")).filter("gone").select("l_partkey")
+    """Orders of which every line is destroyed."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("gone")).filter("gone").select("l_orderkey")
 
 
 @query("""SELECT l_orderkey, array_agg(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS chain FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey""")
