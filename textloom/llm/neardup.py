@@ -218,7 +218,8 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     long = stage(long)
     small = sketches.filter(F.col("n") <= K).select("node", F.col("sketch").alias("small"))
     items = sets.unionByName(small.mapInArrow(_packed, "node long, items binary"))
-    items = items.join(long, items.node == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long")
+    # read twice below: written once, so that the sets are unpacked once
+    items = stage(items.join(long, items.node == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long"))
     common = items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
     held = items.join(common, items.v == common.cv).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
