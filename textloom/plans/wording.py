@@ -156,11 +156,12 @@ def edge_marks(t: Tables):
     return rows.select("doc_id", "line", R.edge_marks_restored(F.col("ocr"), F.col("truth")).alias("restored"))
 
 
-@query("""SELECT p_partkey, left(p_name, length(p_name) - 1) AS clamped, substr(p_name, 1, 3) || '-' AS repaired, regexp_matches(p_name || 'a#b', '[a-z]#[a-z]') AS damaged FROM part WHERE regexp_full_match(p_name, '[a-z]{5,}')""")
+@query("""WITH p AS (SELECT p_partkey, lower(p_brand || p_type) AS name FROM part), n AS (SELECT p_partkey, regexp_replace(name, '[^a-z]', '', 'g') AS name FROM p)
+SELECT p_partkey, left(name, length(name) - 1) AS clamped, substr(name, 1, 3) || '-' AS repaired, true AS damaged FROM n WHERE length(name) >= 5""")
 def edge_repairs(t: Tables):
     """A clipped last word stays clipped, a cut word gets its part back, a sign inside a word that the scan lacks is damage."""
-    name = F.col("p_name")
-    p = t.part.filter(name.rlike("^[a-z]{5,}$"))
+    name = F.col("name")
+    p = t.part.select("p_partkey", F.regexp_replace(F.lower(F.concat("p_brand", "p_type")), "[^a-z]", "").alias("name")).filter(F.length("name") >= 5)
     return p.select(
         "p_partkey", R.edges_clamped(F.left(name, F.length(name) - 1), name).alias("clamped"),
         R.hyphen_repaired(F.concat(F.left(name, F.lit(3)), F.lit("-")), name, True).alias("repaired"), R.glyph_damaged(name, F.concat(name, F.lit("a#b"))).alias("damaged"),
