@@ -43,6 +43,8 @@ K, SHARED = 64, 34
 PIVOT_ROUNDS = 2
 #: lists of more documents than this are split by full sets before their pairs are formed
 FEW = 32
+#: shingles for a task to unpack, so that tasks grow in number before they grow in size
+UNPACKED = 20_000
 #: an estimate this far below the threshold, six standard errors, rules a pair out
 MARGIN = 0.3
 
@@ -218,8 +220,12 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     long = stage(long)
     small = sketches.filter(F.col("n") <= K).select("node", F.col("sketch").alias("small"))
     items = sets.unionByName(small.mapInArrow(_packed, "node long, items binary"))
+    # sets stand unevenly in their files: dealt anew before each row becomes many; no more tasks than a shuffle has
+    shingles_ = long.agg(F.sum("n")).first()[0] or 0
+    tasks = min(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-shingles_ // UNPACKED)))
+    dealt = items.join(long, items.node == long.doc, "left_semi").repartition(tasks)
     # read twice below: written once, so that the sets are unpacked once
-    items = stage(items.join(long, items.node == long.doc, "left_semi").mapInArrow(_unpacked, "id long, v long"))
+    items = stage(dealt.mapInArrow(_unpacked, "id long, v long"))
     common = items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
     held = items.join(common, items.v == common.cv).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
