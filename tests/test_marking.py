@@ -1,10 +1,11 @@
-"""Footnotes, markers and block groups on literal cases and against plain restatements."""
+"""Footnotes, markers, groups, runs and aligned texts on literal cases and against plain restatements."""
 
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from textloom.operators import alignment as A
 from textloom.operators import markers as M
 
 
@@ -42,3 +43,35 @@ def test_block_groups():
     assert M.group_numbers(["h1", "p", "H2", "h3", "p", "p"], [5] * 6) == [-1, 0, -1, -1, 1, 1]
     assert M.group_numbers(["p", "p", "p"], [3000, 1000, 1]) == [0, 0, 1]
     assert M.group_numbers(["p", "p"], [9000, 1]) == [0, 1] and M.group_numbers([], []) == []
+
+
+def test_aligned_pairs():
+    assert A.aligned_pairs("abc@ef", "abcdef") == [("abcef", "abcdef")]
+    assert A.aligned_pairs("one xx two", "one ## two") == [("one", "one"), ("two", "two")]
+    long = "w" * 59 + ". And then"
+    assert A.aligned_pairs(long, long) == [("w" * 59 + ".",) * 2, ("And then",) * 2]
+    assert A.aligned_pairs("", "") == A.aligned_pairs("ab", "ab") == []
+
+
+def test_diagonal_pairs():
+    assert A.diagonal_pairs(["the", "house", "stood"], ["thc", "stood"]) == [(2, 1)]
+    assert A.diagonal_pairs(["house"] * 2, ["housc", "house"]) == [(0, 1), (1, 0)]
+    assert A.diagonal_pairs(["w"] + ["x"] * 5, ["y"] * 5 + ["w"]) == [] and A.diagonal_pairs([], ["a"]) == []
+
+
+def test_cues_end_with_sentences_or_length():
+    assert A.cue_numbers(["One", "two.", "Three?)", "four"]) == [0, 0, 1, 2]
+    assert A.cue_numbers(["w" * 119] * 3) == [0, 0, 1] and A.cue_numbers([]) == []
+
+
+def test_edges_restored():
+    assert A.edges_restored("a b c d e", "b c d") == "a b c d e"
+    assert A.edges_restored("x y z b c d", "b c d") == "b c d"
+    assert A.edges_restored("candlesti burns", "candlestick burns") == "candlestick burns"
+    assert A.edges_restored("", "b") == "b" and A.edges_restored("a", "") == ""
+
+
+def test_packed_runs():
+    assert A.packed_runs([(0, 3), (4, 6), (20, 30)], 5, 10) == [(0, 6), (20, 30)]
+    assert A.packed_runs([(0, 25)], 6, 10) == [(0, 10), (10, 25)]
+    assert A.packed_runs([(0, 2), (40, 41)], 5, 10) == [(0, 41)] and A.packed_runs([], 5, 10) == []

@@ -1,4 +1,4 @@
-"""Footnote markers, block groups, the nearest box and the quiet end of a signal.
+"""Footnote markers, block groups, boxes, signals, cues, and texts aligned by line, word or character.
 
 The test tables hold no footnotes, so queries number the ends of sentences and paragraphs first, some of them wrongly.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators import alignment as A
 from textloom.operators import markers as M
 
 from .joining import _BOXES, boxes
@@ -108,3 +109,91 @@ def tail_silence(t: Tables):
     last = frames.join(quiet, "user_id").filter(F.col("db") > F.col("quiet") + 12).groupBy("user_id").agg(F.max("at").alias("last"))
     out = frames.join(last, "user_id", "left").groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.col("at") > F.col("last")).alias("after"))
     return out.select("user_id", "frames", F.when(F.col("frames") < 3, 0.0).otherwise(F.round(F.col("after") * 0.01, 2)).alias("tail"))
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n,
+round(sqrt(avg(value * value) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), 6) AS rms FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT user_id, pos // 2 AS k, rms FROM s WHERE pos % 2 = 0 AND pos + 4 <= n),
+g AS (SELECT user_id, min(rms) AS low, arg_min(k, (rms, k)) AS place, quantile_cont(rms, 0.9) AS loud, max(k) AS last_k FROM f GROUP BY user_id),
+b AS (SELECT user_id, max(k) FILTER (WHERE k < place AND rms > low * 1.5 + 1) AS lo, min(k) FILTER (WHERE k > place AND rms > low * 1.5 + 1) AS hi FROM f JOIN g USING (user_id) GROUP BY user_id)
+SELECT user_id, (coalesce(lo + 1, 0) + coalesce(hi - 1, last_k)) // 2 * 2 + 2 AS middle, low AS trough, round(20 * log10((loud + 1) / (low + 1)), 6) AS drop_db FROM g JOIN b USING (user_id)""")
+def frame_trough(t: Tables):
+    """The middle of the quiet stretch around each user's least frame, of 4 values in steps of 2, and how far it lies below."""
+    c, own = F.col, Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rms = F.round(F.sqrt(F.avg(c("value") * c("value")).over(own.rowsBetween(0, 3))), 6)
+    frames = t.events.filter("value is not null").select("user_id", (F.row_number().over(own) - 1).alias("at"), F.count("*").over(Window.partitionBy("user_id")).alias("n"), rms.alias("rms"))
+    frames = frames.filter((c("at") % 2 == 0) & (c("at") + 4 <= c("n"))).select("user_id", F.floor(c("at") / 2).alias("k"), "rms")
+    least = frames.groupBy("user_id").agg(F.min(F.struct("rms", "k")).alias("m"), F.percentile("rms", F.lit(0.9)).alias("loud"), F.max("k").alias("last_k"))
+    both, over = frames.join(least, "user_id"), c("rms") > c("m.rms") * 1.5 + 1
+    ends = both.groupBy("user_id").agg(
+        F.max(F.when(over & (c("k") < c("m.k")), c("k"))).alias("lo"), F.min(F.when(over & (c("k") > c("m.k")), c("k"))).alias("hi"),
+        F.first("m").alias("m"), F.first("loud").alias("loud"), F.first("last_k").alias("last_k"),
+    )
+    middle = F.floor((F.coalesce(c("lo") + 1, F.lit(0)) + F.coalesce(c("hi") - 1, c("last_k"))) / 2) * 2 + 2
+    return ends.select("user_id", middle.alias("middle"), c("m.rms").alias("trough"), F.round(20 * F.log10((c("loud") + 1) / (c("m.rms") + 1)), 6).alias("drop_db"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS old FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, old[1 : len(old) // 2] || ['A new line.', 'And another.'] || old[len(old) // 2 + 2 :] AS new FROM a),
+k AS (SELECT *, list_transform(old, lambda x: lower(regexp_replace(x, '[ \t\r]+', ' ', 'g'))) AS x, list_transform(new, lambda x: lower(regexp_replace(x, '[ \t\r]+', ' ', 'g'))) AS y, least(len(old), len(new)) AS n FROM b),
+p AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, n + 1), lambda i: x[i] = y[i]), false), 0) - 1, n) AS before FROM k),
+s AS (SELECT *, coalesce(nullif(list_position(list_transform(range(0, n - before), lambda i: x[len(x) - i] = y[len(y) - i]), false), 0) - 1, n - before) AS after FROM p)
+SELECT doc_id, before AS n_before, after AS n_after, md5(array_to_string(old[before + 1 : len(old) - after], chr(10))) AS removed, md5(array_to_string(new[before + 1 : len(new) - after], chr(10))) AS added FROM s""")
+def line_diff(t: Tables):
+    """Lines that two texts share at either end, but for case and spacing, and what each has between; the middle line is changed."""
+    old, half = F.split("text", "\n"), F.floor(F.size("old") / 2).cast("int")
+    new = F.concat(F.slice("old", 1, half), F.array(F.lit("A new line."), F.lit("And another.")), F.slice("old", half + 2, F.size("old")))
+    rows = t.documents.filter("text is not null").select("doc_id", old.alias("old")).withColumn("new", new)
+    key = lambda c: F.transform(c, lambda x: F.lower(F.regexp_replace(x, "[ \t\r]+", " ")))
+    rows = rows.select("*", key("old").alias("x"), key("new").alias("y")).withColumn("n_before", A.prefix_length(F.col("x"), F.col("y")))
+    rest = lambda c: F.reverse(F.slice(c, F.col("n_before") + 1, F.size(c)))
+    rows = rows.withColumn("n_after", A.prefix_length(rest("x"), rest("y")))
+    between = lambda c: F.md5(F.array_join(F.slice(c, F.col("n_before") + 1, F.size(c) - F.col("n_before") - F.col("n_after")), "\n"))
+    return rows.select("doc_id", F.col("n_before").cast("long").alias("n_before"), F.col("n_after").cast("long").alias("n_after"), between("old").alias("removed"), between("new").alias("added"))
+
+
+@query()
+def aligned_pairs(t: Tables):
+    """Pairs of a damaged and a true turn, aligned by character; z stands where nothing is known."""
+    pairs = A.by_row("array<struct<read string, gold string>>", A.aligned_pairs)
+    found = pairs(F.translate("text", "eq", "c@"), F.translate("text", "xz", "@#"))
+    return t.conversations.select("conv_id", "turn", F.posexplode(found).alias("at", "p")).select("conv_id", "turn", "at", "p.read", "p.gold")
+
+
+@query()
+def diagonal_matches(t: Tables):
+    """Words of each turn that a damaged copy without every sixth word still holds near their places."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    damaged = F.transform(F.filter("words", lambda x, i: i % 6 != 5), lambda x: F.translate(x, "e", "c"))
+    pairs = A.by_row("array<struct<a int, b int>>", lambda a, b: A.diagonal_pairs(list(a), list(b)))
+    rows = t.conversations.select("conv_id", "turn", words.alias("words"))
+    return rows.select("conv_id", "turn", F.size("words").alias("n_words"), pairs(F.col("words"), damaged).alias("p")).select("conv_id", "turn", "n_words", F.size("p").alias("n_pairs"), F.md5(F.to_json("p")).alias("digest"))
+
+
+@query()
+def sentence_cues(t: Tables):
+    """Cues of the words of each turn: until a sentence or the most characters end; a word takes 0.4 seconds."""
+    number = A.by_row("array<int>", lambda a: A.cue_numbers(list(a)))
+    rows = t.conversations.filter("text is not null").select("conv_id", "turn", F.split(F.trim("text"), r"\s+").alias("words"))
+    rows = rows.select("conv_id", "turn", F.posexplode(F.arrays_zip("words", number(F.col("words")).alias("cues"))).alias("at", "w"))
+    out = rows.groupBy("conv_id", "turn", F.col("w.cues").alias("cue")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.array_sort(F.collect_list(F.struct("at", "w.words"))).alias("words"))
+    return out.select("conv_id", "turn", "cue", F.round(F.col("lo") * 0.4, 1).alias("start"), F.round((F.col("hi") + 1) * 0.4, 1).alias("stop"), F.array_join("words.words", " ").alias("text"))
+
+
+@query()
+def edge_tokens_restored(t: Tables):
+    """Turns cut by one word before and two behind, given back what the whole turn proves."""
+    words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
+    cut = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 3, F.lit(0))), " ")
+    rows = t.conversations.select("conv_id", "turn", F.array_join(words, " ").alias("read"), cut.alias("truth"))
+    restored = A.by_row("string", A.edges_restored)(F.col("read"), F.col("truth"))
+    return rows.select("conv_id", "turn", "read", restored.alias("restored")).select("conv_id", "turn", (F.col("read") == F.col("restored")).alias("whole"), F.md5("restored").alias("digest"))
+
+
+@query()
+def voiced_segments(t: Tables):
+    """Each user's ten-minute runs of a day, 144 at most, packed to segments of 60 to 400 minutes."""
+    minute = F.hour("ts") * 60 + F.floor(F.minute("ts") / 10) * 10
+    days = t.events.select("user_id", F.to_date("ts").alias("day"), minute.cast("int").alias("lo")).groupBy("user_id", "day").agg(F.sort_array(F.collect_set("lo")).alias("lo"))
+    packed = A.by_row("array<struct<lo int, hi int>>", lambda a: A.packed_runs([(int(x), int(x) + 10) for x in a], 60, 400))
+    return days.select("user_id", "day", F.explode(packed(F.col("lo"))).alias("s")).select("user_id", "day", "s.lo", "s.hi")
