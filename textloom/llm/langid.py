@@ -41,7 +41,7 @@ RECENT, RECENT_BYTES = 400_000, 32 << 20
 STEP_BACK = math.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: word characters that are numbers, not letters (category L): fractions, superscripts, circled and Roman numerals
-NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
+NUMERALS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -63,7 +63,13 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
     low = (text or "").lower()
-    return LETTERS.findall(low if low.isascii() else NUMERALS.sub(" ", low))
+    found = LETTERS.findall(low)
+    if low.isascii():
+        return found
+    out: list[str] = []
+    for word in found:  # few words hold a numeral, so only those are cut at it
+        out.extend((word,) if NUMERALS.isdisjoint(word) else "".join(" " if c in NUMERALS else c for c in word).split())
+    return out
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -98,34 +104,28 @@ class Model:
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
         words, recent = self.words, {}
         room = max(1000, min(RECENT, RECENT_BYTES // (8 * max(1, len(self.langs)))))
-        scores = np.zeros((room + len(self.table), len(self.langs)))
-        scores[: len(self.table)] = self.table
-        used = len(self.table)
+        scores = np.zeros((room, len(self.langs)))
 
         def predict(text: str | None) -> tuple[str, float]:
-            nonlocal used
             counts = Counter(words_of(text))
             if not counts or not self.langs:
                 return "und", 0.0
-            n = np.fromiter(counts.values(), float, len(counts))
-            rows = [words.get(w) or recent.get(w, 0) for w in counts]
-            new = [w for w, row in zip(counts, rows, strict=True) if not row]
-            if used + len(new) > len(scores):
+            known = {words[w]: n for w, n in counts.items() if w in words}
+            total = np.fromiter(known.values(), float, len(known)) @ self.table[list(known)]
+            unseen = [w for w in counts if w not in words]
+            new = [w for w in unseen if w not in recent]
+            if len(recent) + len(new) > room:
                 recent.clear()
-                used = len(self.table)
-                new = [w for w in counts if w not in words]
+                new = unseen
             if len(new) > room:  # a text of more new words than there is room for
-                fresh = dict(zip(new, self.backed_off(new), strict=True))
-                total = n @ np.array([fresh[w] if w in fresh else scores[words[w]] for w in counts])
-            else:
+                total += np.array([counts[w] for w in unseen], float) @ self.backed_off(unseen)
+            elif unseen:
                 if new:
-                    scores[used : used + len(new)] = self.backed_off(new)
-                    recent.update(zip(new, range(used, used + len(new)), strict=True))
-                    used += len(new)
-                    rows = [words.get(w) or recent[w] for w in counts]
-                total = n @ scores[rows]
+                    scores[len(recent) : len(recent) + len(new)] = self.backed_off(new)
+                    recent.update(zip(new, range(len(recent), len(recent) + len(new)), strict=True))
+                total += np.array([counts[w] for w in unseen], float) @ scores[[recent[w] for w in unseen]]
             best = int(total.argmax())
-            odds = np.exp((total - total[best]) / max(1.0, n.sum() / 20))
+            odds = np.exp((total - total[best]) / max(1.0, sum(counts.values()) / 20))
             return self.langs[best], float(1.0 / odds.sum())
 
         return predict
