@@ -33,7 +33,6 @@ NAMES = (
     "top_word", "distinct_lines", "words_with_marks_inside", "words_ending_plainly", "sentence_length", "compressed",
 )
 _MARKED = re.compile(r"[^\w\s.,;:'\"-]")
-_WORD_WITH_MARK = re.compile(r"\S*[^\w\s.,;:'\"-]\S*")
 
 
 def statistics(text: str) -> list[float]:
@@ -58,7 +57,7 @@ def statistics(text: str) -> list[float]:
     return [
         float(np.log1p(n)), float(np.log1p(len(lines))), share(upper + lower + beyond, chars), share(upper, upper + lower + 1), share(digits, chars), share(marks, chars), share(symbols, chars), share(space, chars),
         float(np.log(lengths.mean())), float(np.log1p(lengths.std())), share(len(counts), n) * min(1.0, np.log1p(n) / 8), share(max(counts.values()), n), share(len(set(lines)), len(lines)),
-        share(len(_WORD_WITH_MARK.findall(text)), n), share(sum(w[-1] in ".,;:?" for w in words), n), float(np.log1p(n / (1 + byte[46] + byte[63]))), float(np.log(len(zlib.compress(raw, 1)) / len(raw))),
+        share(sum(_MARKED.search(w) is not None for w in words), n), share(sum(w[-1] in ".,;:?" for w in words), n), float(np.log1p(n / (1 + byte[46] + byte[63]))), float(np.log(len(zlib.compress(raw, 1)) / len(raw))),
     ]
 
 
