@@ -2,6 +2,7 @@
 
 from . import decontam, linededup
 from .anchor_dedup import op9_difference_cover
+from .bpe import op13_prefix_bpe
 from .decontam import op6_winnowing
 from .fingerprint import op3_quartile_digest
 from .langid import op7_word_first_backoff
@@ -16,7 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_multinomial_blocks, op2_column_wise_suffixes, op3_quartile_digest, op4_weak_supervision, op5_quadratic_discriminant, op6_winnowing,
-        op7_word_first_backoff, op8_distinct_site_spread, op9_difference_cover, op10_bottom_k,
+        op7_word_first_backoff, op8_distinct_site_spread, op9_difference_cover, op10_bottom_k, op13_prefix_bpe,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_winnowing": decontam.SQL, "op8_distinct_site_spread": linededup.SQL}
