@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table, text_bytes, unstage
+from .common import slices, stage, table, text_bytes
 from .repeats import Batches, sha256
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
