@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.listening import MOST_SECONDS
-from textloom.sources.staging import staged_root
+from textloom.sources.staging import work_folder
 
 
 def accepted_stream(events: DataFrame, id_: str = "event_id", at: str = "ts", seconds: str = "seconds", late: str = "2 hours") -> DataFrame:
@@ -28,7 +28,7 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there now, into a Parquet table in the shared folder, and reads it back."""
-    root = f"{staged_root(stream.sparkSession)}/textloom/{uuid.uuid4().hex}"
+    root = f"{work_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
@@ -36,7 +36,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def latest_drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Runs an updating aggregate to the end: each batch adds the changed rows, the last one of a key counts."""
-    root = f"{staged_root(stream.sparkSession)}/textloom/{uuid.uuid4().hex}"
+    root = f"{work_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
 
     def add(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/_n={number}")
