@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -47,11 +47,11 @@ EVENTS = "row long, doc_id long, block long, side int, ids binary"
 
 
 class Tokenizer(Protocol):
-    """The bytes of each token, and the ids of a space and a text."""
+    """The bytes of each token, and for each of several texts the ids of a space and the text."""
 
     tokens: list[bytes]
 
-    def encode(self, text: str) -> list[int]: ...
+    def encode_all(self, texts: list[str]) -> list[Sequence[int]]: ...
 
 
 class ByteLevel:
@@ -77,12 +77,12 @@ class ByteLevel:
     def __getstate__(self):
         return {**self.__dict__, "_library": None}
 
-    def encode(self, text: str) -> list[int]:
+    def encode_all(self, texts: list[str]) -> list[Sequence[int]]:
         if self._library is None:
             import tiktoken
 
             self._library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return self._library.encode_ordinary(" " + text)
+        return [self._library.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces:
@@ -106,8 +106,8 @@ class Pieces:
             self._library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         return self._library
 
-    def encode(self, text: str) -> list[int]:
-        return self._loaded().encode(text)
+    def encode_all(self, texts: list[str]) -> list[Sequence[int]]:
+        return self._loaded().encode(texts)
 
 
 def lengths(tokenizer: Tokenizer) -> np.ndarray:
@@ -122,15 +122,14 @@ def events(docs: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
     """EVENTS of each row of docs (doc_id, text); a row without tokens has one run of none."""
     shared = docs.sparkSession.sparkContext.broadcast((a, b))
 
-    def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    def runs(text: str, *found: Sequence[int]) -> Iterator[tuple[int, int, bytes]]:
         whole = b" " + text.encode()
-        found = [t.encode(text) for t in shared.value] if text else []
-        if not all(b"".join(map(t.tokens.__getitem__, ids)) == whole for t, ids in zip(shared.value, found, strict=False)):
+        found = [np.asarray(ids, packed_type(t)) for t, ids in zip(shared.value, found, strict=True)] if text else []
+        if not all(b"".join(map(t.tokens.__getitem__, ids.tolist())) == whole for t, ids in zip(shared.value, found, strict=False)):
             found = []
         if not found:
             yield 0, 0, b""
-        for side, (tokenizer, ids) in enumerate(zip(shared.value, found, strict=False)):
-            packed = np.array(ids, packed_type(tokenizer))
+        for side, packed in enumerate(found):
             if len(whole) <= BLOCK:
                 yield 0, side, packed.tobytes()
                 continue
@@ -145,16 +144,21 @@ def events(docs: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                out = [(row, doc_id, *run) for row, doc_id, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True) for run in runs(text or "")]
+                texts = [t or "" for t in part["text"].to_pylist()]
+                each = zip(part["row"].to_pylist(), part["doc_id"].to_pylist(), texts, *(t.encode_all(texts) for t in shared.value), strict=True)
+                out = [(row, doc_id, *run) for row, doc_id, *text in each for run in runs(*text)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["row", "doc_id", "block", "side", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scan, EVENTS)
 
 
-def decimal_table(n: int) -> np.ndarray:
-    """Rows of the digits of 0 to n - 1, a zero byte for each place that is not used and one more at the end."""
-    return np.frombuffer(b"".join(str(k).encode().ljust(len(str(n - 1)) + 1, b"\0") for k in range(n)), np.uint8).reshape(n, -1)
+def decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of 0 to n - 1, each number's in the low bytes of eight, and the bits that they take."""
+    if n > 10**7:
+        raise ValueError("ids of at most seven digits")
+    text = [str(k).encode() for k in range(n)]
+    return np.frombuffer(b"".join(t.ljust(8, b"\0") for t in text), "<u8"), np.array([8 * len(t) for t in text], np.uint64)
 
 
 class Sweep:
@@ -162,7 +166,7 @@ class Sweep:
 
     def __init__(self, sizes: tuple[np.ndarray, np.ndarray]):
         self.sizes, self.n_b = sizes, len(sizes[1])
-        self.digits = decimal_table(max(map(len, sizes)))
+        self.digits, self.bits = decimal_table(max(map(len, sizes)))
         self.wide = np.int32 if len(sizes[0]) * len(sizes[1]) < 1 << 31 else np.int64
         self.begin()
 
@@ -176,17 +180,24 @@ class Sweep:
 
     def feed(self, ids: tuple[np.ndarray, np.ndarray]) -> bytes:
         """Takes the next block's ids of both sides; returns the text of the groups that closed."""
-        ids = tuple(x.astype(np.int64) for x in ids)
         ends = []
         for side in (0, 1):
             ends.append(self.at[side] + np.cumsum(self.sizes[side][ids[side]]))
-            if len(ids[side]):
-                self.at[side] = int(ends[side][-1])
             self.counts[side] += len(ids[side])
-        self._link(ids, ends)
-        return self._close(ids, ends)
-
-    def _link(self, ids, ends) -> None:
+        first = min(self.at)
+        self.at = [int(e[-1]) if len(e) else at for e, at in zip(ends, self.at, strict=True)]
+        # the block's bytes: 1 where a token of A ends, 2 where one of B does, 3 where both do
+        marks = np.zeros(max(self.at) - first + 1, np.uint8)
+        marks[ends[0] - first] = 1
+        marks[ends[1] - first] += 2
+        kind = marks[np.flatnonzero(marks)]
+        # of each event and side, the place of the token that ends there or is open there
+        ended = kind & 1, kind >> 1
+        index = [np.cumsum(e, dtype=np.int64) - e for e in ended]
+        self._link(ids, index, ended)
+        return self._close(ids, index, kind == 3)
+
+    def _link(self, ids, index, ended) -> None:
         for side in (0, 1):  # what ended while the other side's token was open meets that token now
             other = 1 - side
             if self.waiting[side] and len(ids[other]):
@@ -194,45 +205,41 @@ class Sweep:
                 met = np.full(len(waited), ids[other][0])
                 self._count(*((met, waited) if side else (waited, met)))
                 self.waiting[side].clear()
-        at = np.union1d(*ends)
-        index = [np.searchsorted(ends[side], at) for side in (0, 1)]
-        here = (index[0] < len(ids[0])) & (index[1] < len(ids[1]))
-        self._count(ids[0][index[0][here]], ids[1][index[1][here]])
+        # one side may have a token that ends in a later block: those of the other that end within it wait
+        n = min(int(np.searchsorted(index[side], len(ids[side]))) for side in (0, 1))
+        self._count(ids[0][index[0][:n]], ids[1][index[1][:n]])
         for side in (0, 1):
-            left = index[side][~here]
-            left = left[left < len(ids[side])]
+            left = index[side][n:][ended[side][n:] != 0]
             if len(left):
                 self.waiting[side].append(ids[side][left])
 
     def _count(self, a: np.ndarray, b: np.ndarray) -> None:
         self.counts[3] += len(a)
-        self.linked.append((a * self.n_b + b).astype(self.wide))
+        self.linked.append(a.astype(self.wide) * self.wide(self.n_b) + b)
 
-    def _close(self, ids, ends) -> bytes:
-        common = np.intersect1d(*ends, assume_unique=True)
+    def _close(self, ids, index, both) -> bytes:
+        n = int(np.count_nonzero(both))
         last = []
         for side in (0, 1):
-            before = sum(map(len, self.open[side])) if len(common) else 0
-            last.append(before + np.searchsorted(ends[side], common))
+            before = sum(map(len, self.open[side])) if n else 0
+            last.append(before + index[side][both])
             self.open[side].append(ids[side])
-        if not len(common):
+        if not n:
             return b""
         whole = [np.concatenate(x) for x in self.open]
         for side in (0, 1):
             self.open[side][:] = [whole[side][last[side][-1] + 1 :]]
-        n_a, n_b = int(last[0][-1]) + 1, int(last[1][-1]) + 1
         # a group's tokens of A stand before its tokens of B, groups one after the other
-        group_a, group_b = (np.repeat(np.arange(len(common)), np.diff(x, prepend=-1)) for x in last)
-        place_a = np.arange(n_a) + np.concatenate([[0], last[1][:-1] + 1])[group_a]
-        place_b = np.arange(n_b) + (last[0] + 1)[group_b]
-        order = np.empty(n_a + n_b, np.int64)
-        order[place_a], order[place_b] = whole[0][:n_a], whole[1][:n_b]
-        mark = np.full(len(order), ord(","), np.uint8)
-        mark[place_a[last[0]]], mark[place_b[last[1]]] = ord("|"), ord(";")
-        written = self.digits[order]
-        written[np.arange(len(order)), (written != 0).sum(1)] = mark
-        text = written[written != 0].tobytes()[:-1]
-        self.counts[2] += len(common)
+        sizes = [np.diff(x, prepend=-1) for x in last]
+        ends_of_a = last[0] + last[1] + 1 - sizes[1]
+        order = np.empty(int(last[0][-1] + last[1][-1]) + 2, np.int64)
+        of_a = np.repeat(np.tile([True, False], n), np.stack(sizes, 1).ravel())
+        order[of_a], order[~of_a] = (whole[side][: last[side][-1] + 1] for side in (0, 1))
+        mark = np.full(len(order), ord(","), np.uint64)
+        mark[ends_of_a], mark[last[0] + last[1] + 1] = ord("|"), ord(";")
+        written = self.digits[order] | mark << self.bits[order]
+        text = written.tobytes().translate(None, b"\0")[:-1]
+        self.counts[2] += n
         self.digest.update(b";" + text if self.any_group else text)
         self.any_group = True
         return text
