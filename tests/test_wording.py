@@ -8,60 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import chunking as C
-from textloom.operators import editing as E
 from textloom.operators import normal as N
 from textloom.operators import repairs as R
 from textloom.operators import sequences as S
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc", max_size=12), st.text("abc", max_size=12))
-def test_opcodes_are_shortest(a, b):
-    ops = E.opcodes(a, b)
-    assert "".join(a[i:j] for _, i, j, _, _ in ops) == a and "".join(b[i:j] for *_, i, j in ops) == b
-    assert all((a[i0:i1] == b[j0:j1]) == (tag == "equal") for tag, i0, i1, j0, j1 in ops)
-    common = [[0] * (len(b) + 1)]
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(common[-1][j] + 1 if x == y else max(common[-1][j + 1], row[-1]))
-        common.append(row)
-    assert sum(i1 - i0 for tag, i0, i1, *_ in ops if tag == "equal") == common[-1][-1]
-
-
-def test_texts_too_far_apart_have_no_opcodes():
-    assert E.opcodes("a" * 50, "b" * 50, 99) is None and E.opcodes("a" * 50, "b" * 50, 100) is not None
-
-
-@pytest.mark.parametrize(
-    ("old", "new", "n"),
-    [("same", "same", 0), ("a bad wcrd here", "a bad word here", 1), ("tbe rnan sat", "the man sat", 1), ("put it on", "put it on top", 1), ("one one two", "one two", 1), ("Ol in Koln", "Öl in Köln", 1)],
-)
-def test_edits_round_trip(old, new, n):
-    edits = E.derived_edits(old, new)
-    assert len(edits) == n and E.applied_edits(old, edits) == {"text": new, "applied": n, "rejected": []}
-
-
-def test_unsafe_edits_are_refused():
-    text = "the cat and the dog and so on and on"
-    why = lambda *edits: E.applied_edits(text, list(edits))["rejected"]
-    assert why(("", "x")) == ["empty"] and why(("bird", "x")) == ["missing"] and why(("the ", "a ")) == ["ambiguous"]
-    assert why(("x" * 81, "y")) == ["long"] and why(("cat and", "c"), ("and the d", "d")) == ["overlap"]
-    assert E.applied_edits(text, [("the cat and the dog and so", "all of it is something else")]) == {"text": text, "applied": 0, "rejected": ["budget"]}
-    assert E.applied_edits("aaa", [("aa", "b")])["rejected"] == ["ambiguous"]
-    assert E.derived_edits("abc", "x" * 500) is None and E.derived_edits("a\nb", "a\nc\nb") is None
-
-
-def test_guard_policies():
-    old, new = "tbe cat sat onthe mat", "the cat sat on the tiger"
-    assert E.guarded(old, new, "no-guard") == (new, 0, 0)
-    assert E.guarded(old, new, "whole-unit") == (old, 1, 1)
-    text, accepted, rejected = E.guarded(old, new, "per-run")
-    assert text.startswith("the cat") and (accepted, rejected) == (1, 1)
-    assert E.acceptable(["onthe"], ["on", "the"]) and not E.acceptable(["a"], ["a", "b"])
-    assert not E.acceptable(["it’s"], ["it's"]) and not E.acceptable(["word"], ["sentence"])
-
-
 def test_sentence_ends():
     yes = ["She left.", "Did he?", "(She left.)", "so it ended.7", "so it ended.²", "“Stop.”", "in 1812."]
     no = ["She left", "ask Dr.", "by A.", "see vol.", "about 2.71", "dazu bzw.", ""]
@@ -86,6 +37,27 @@ def test_chunks_are_the_text(text, size):
         assert "".join(C.cut_text(text, size, way)) == text
 
 
+def test_chunks_of_documents(spark):
+    """The query's cut points against the rules tried at every cut: the best kind of break in reach, at its last place."""
+    from textloom.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("doc_id", "text").collect())
+    for r in QUERIES["text_chunks"](spark, sf).collect():
+        text = texts[r["doc_id"]]
+        for ends in (r["rewriting"], r["translating"]):
+            assert (ends[-1:] == [len(text)] or not text) and all(0 < b - a <= 1202 for a, b in zip([0, *ends], ends, strict=False))
+        at = 0
+        for end in r["rewriting"]:
+            part = text[max(at, at + 1200 - C.BREAK_WINDOW) : at + 1200]
+            if at + 1200 < len(text):
+                kinds = [lambda i: text[:i].endswith("\n\n"), lambda i: text[i - 1] in ".!?" and text[i] in " \n\r\"'“”‘’", lambda i: text[i - 1] == "\n", lambda i: text[i - 1] == " "]
+                places = range(at + 1200 - len(part) + 1, at + 1200)
+                best = next((found[-1] for kind in kinds if (found := [i for i in places if kind(i)])), at + 1200)
+                assert end == best
+            at = end
+
+
 def test_break_points():
     assert C.break_point("one two.\n\nthree four. five", 20, 0) == 10
     assert C.break_point("one two. three four", 15, 0) == 8 and C.break_point("one\ntwo three", 9, 0) == 4
@@ -108,8 +80,6 @@ def test_normal_forms():
     assert N.emitted(" e\u0301 ﬁn\n x ") == "é fin x"
     words = N.placed_words("Ça—o’clock ﬁx")
     assert words == [("ça", 0, 2), ("o'clock", 3, 10), ("fix", 11, 13)]
-    assert [N.script_of(c) for c in "aаω中1"] == ["LATIN", "CYRILLIC", "GREEK", "CJK", "other"]
-    assert N.script_counts("aab, я") == {"LATIN": 3, "CYRILLIC": 1}
 
 
 def test_column_rules(spark):

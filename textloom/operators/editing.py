@@ -1,232 +1,150 @@
-"""Edit lists: differences of two texts, the edits that carry one into the other, and their guarded application.
+"""Edit lists as rows: differences of two texts word by word, the edits that carry one into the other, guarded repairs.
 
-Each function sees one pair of texts, inside Arrow-fed pandas functions that Spark deals to its tasks.
+Texts are split at single spaces, so joining the words gives them back. The k-th occurrence of a word in the old text
+meets its k-th in the new one by an equi-join; a pair that no other pair crosses is a fixed point. Between fixed points
+next to each other lie the runs that differ. Windows over one text pair find them, so a pair's rows meet in one task
+and no other work is done there than sorting them.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from pyspark.sql.window import Window
 
 #: fixed values: characters an anchor may have, equal characters that part two edits, the share and the number of
-#: characters that a list of edits may touch, and differing characters beyond which texts are not the same
-LONGEST_ANCHOR, GAP, SHARE, ALWAYS, MOST_DIFFERENT = 80, 6, 0.25, 12, 400
-#: fixed value: edits of one word that a guard accepts
-WORD_EDITS = 2
-ARROW = re.compile(r"\s*(?:→|->)\s*")
+#: characters that a list of edits may touch, and edits of one word that a guard accepts
+LONGEST_ANCHOR, GAP, SHARE, ALWAYS, WORD_EDITS = 80, 6, 0.25, 12, 2
+#: words that an anchor may gain on each side: any more are over LONGEST_ANCHOR characters
+WIDEST = LONGEST_ANCHOR // 2
+#: fixed values: marks that are the same in another font
+SAME_MARK = ("‘’‚‛′“”„‟″‐‑‒–—−", "'''''\"\"\"\"\"------")
 
 
-def matched_pairs(a: str, b: str, most: int) -> list[tuple[int, int]] | None:
-    """Places (i, j) of equal characters on a shortest edit path; None if it needs more than `most` edits.
+def fixed_points(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j): words of `old` and `new` that stand for each other, and one row at the end of each pair."""
+    pairs = pairs.filter("old is not null and new is not null")
 
-    Greedy furthest-reaching paths by diagonal (Myers, 1986).
-    """
-    reach, past = {0: 0}, []
-    for edits in range(most + 1):
-        if edits:
-            grown = {}
-            for diagonal in range(-edits, edits + 1, 2):
-                from_left, from_above = reach.get(diagonal - 1), reach.get(diagonal + 1)
-                steps = ([from_left + 1] if from_left is not None else []) + ([from_above] if from_above is not None else [])
-                grown[diagonal] = max(steps)
-            reach = grown
-        for diagonal, i in reach.items():
-            while i < len(a) and 0 <= i - diagonal < len(b) and a[i] == b[i - diagonal]:
-                i += 1
-            reach[diagonal] = i
-        past.append(dict(reach))
-        if reach.get(len(a) - len(b), -1) >= len(a):
-            break
-    else:
-        return None
-    pairs, i, diagonal = [], len(a), len(a) - len(b)
-    for edits in range(len(past) - 1, 0, -1):
-        left, above = past[edits - 1].get(diagonal - 1, -2) + 1, past[edits - 1].get(diagonal + 1, -1)
-        begin = max(left, above)
-        pairs += [(k, k - diagonal) for k in range(i - 1, begin - 1, -1)]
-        i, diagonal = (left - 1, diagonal - 1) if left > above else (above, diagonal + 1)
-    return ([(k, k) for k in range(i)] + pairs[::-1]) if past else []
-
-
-def opcodes(a: str, b: str, most: int = MOST_DIFFERENT) -> list[tuple[str, int, int, int, int]] | None:
-    """(tag, i0, i1, j0, j1) runs that carry a into b: equal, delete, insert or replace."""
-    pairs = matched_pairs(a, b, most)
-    if pairs is None:
-        return None
-    out, i, j, k = [], 0, 0, 0
-    ends = [*pairs, (len(a), len(b))]
-    while k < len(ends):
-        x, y = ends[k]
-        if (x, y) != (i, j):
-            tag = "replace" if x > i and y > j else "delete" if x > i else "insert"
-            out.append((tag, i, x, j, y))
-        first = k
-        while k + 1 < len(ends) - 1 and ends[k + 1] == (ends[k][0] + 1, ends[k][1] + 1):
-            k += 1
-        if first < len(pairs):
-            out.append(("equal", x, ends[k][0] + 1, y, ends[k][1] + 1))
-            i, j = ends[k][0] + 1, ends[k][1] + 1
-        k += 1
-    return out
-
-
-def too_much(changed: int, length: int) -> bool:
-    return changed > ALWAYS and changed > SHARE * length > 0
-
-
-def count_up_to_two(text: str, part: str) -> int:
-    """0, 1 or 2 for none, one and more places, overlapping ones too."""
-    at = text.find(part) if part else -1
-    return 0 if at < 0 else 1 if text.find(part, at + 1) < 0 else 2
-
-
-def derived_edits(old: str, new: str) -> list[tuple[str, str]] | None:
-    """Edits (before, after) that carry old into new, each anchored at a place that occurs once; None if there is no safe list."""
-    if old == new:
-        return []
-    runs: list[list[int]] = []
-    for tag, i0, i1, j0, j1 in opcodes(old, new) or ():
-        if tag == "equal":
-            continue
-        if runs and i0 - runs[-1][1] <= GAP:
-            runs[-1][1], runs[-1][3] = i1, j1
-        else:
-            runs.append([i0, i1, j0, j1])
-    edits, reached, changed = [], 0, 0
-    for i0, i1, j0, j1 in runs:
-        # anchors grow by one character to the left, then to the right, until they can be found and written down
-        for turn in range(2 * LONGEST_ANCHOR + 1):
-            before, after = old[i0:i1], new[j0:j1]
-            bare = before == before.strip() and after == after.strip()
-            if before and after and bare and count_up_to_two(old, before) == 1:
-                break
-            left, right = i0 > 0 and j0 > 0, i1 < len(old) and j1 < len(new)
-            if len(before) >= LONGEST_ANCHOR or not (left or right):
-                return None
-            if left and (turn % 2 == 0 or not right):
-                i0, j0 = i0 - 1, j0 - 1
-            else:
-                i1, j1 = i1 + 1, j1 + 1
-        else:
-            return None
-        unwritable = ARROW.search(before + "\0" + after) or re.search("[\r\n]", before + after)
-        if len(before) > LONGEST_ANCHOR or unwritable or i0 < reached:
-            return None
-        edits.append((before, after))
-        reached, changed = i1, changed + max(len(before), len(after))
-    if not edits or too_much(changed, len(old)) or applied_edits(old, edits)["text"] != new:
-        return None
-    return edits
-
-
-def applied_edits(text: str, edits: list[tuple[str, str]]) -> dict:
-    """text after the edits, how many were applied, and why others were not: each must be found once, none may overlap."""
-    found, rejected = [], []
-    for before, after in edits:
-        n = count_up_to_two(text, before)
-        why = "empty" if not before else "long" if len(before) > LONGEST_ANCHOR else "missing" if n == 0 else "ambiguous" if n == 2 else None
-        if why:
-            rejected.append(why)
-        else:
-            found.append((text.find(before), before, after))
-    kept: list[tuple[int, str, str]] = []
-    for claim in sorted(found, key=lambda c: c[0]):
-        if kept and claim[0] < kept[-1][0] + len(kept[-1][1]):
-            rejected.append("overlap")
-        else:
-            kept.append(claim)
-    if too_much(sum(max(len(b), len(a)) for _, b, a in kept), len(text)):
-        return {"text": text, "applied": 0, "rejected": ["budget"] * len(kept) + rejected}
-    pieces, at = [], 0
-    for place, before, after in kept:
-        pieces += [text[at:place], after]
-        at = place + len(before)
-    return {"text": "".join(pieces) + text[at:], "applied": len(kept), "rejected": rejected}
-
-
-EDITS = "array<struct<before:string,after:string>>"
-APPLIED = "text string, applied int, rejected array<string>"
-
-
-def edits_of(old: Column, new: Column) -> Column:
-    """Derived edits; null where there is no safe list, or a text is null."""
-
-    @F.pandas_udf(EDITS)
-    def find(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            edits = None if x is None or y is None else derived_edits(x, y)
-            return None if edits is None else [{"before": p, "after": q} for p, q in edits]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return find(old, new)
-
-
-def with_edits(text: Column, edits: Column) -> Column:
-    """struct of APPLIED; a null text counts as empty, null edits as none."""
-
-    @F.pandas_udf(APPLIED)
-    def apply(t: pd.Series, e: pd.Series) -> pd.DataFrame:
-        done = [applied_edits(x or "", [] if y is None else [(p["before"] or "", p["after"] or "") for p in y]) for x, y in zip(t, e, strict=True)]
-        return pd.DataFrame(done, columns=["text", "applied", "rejected"])
-
-    return apply(text, edits)
-
-
-def letters_apart(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of a and b is over most."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1] > most
+    def words(side: str, place: str) -> DataFrame:
+        rows = pairs.select(*keys, F.posexplode(F.split(side, " ", -1)).alias(place, "word"))
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(place)))
 
+    met = words("old", "i").join(words("new", "j"), [*keys, "word", "nth"]).select(*keys, "i", "j")
+    by_place = Window.partitionBy(*keys).orderBy("i")
+    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    uncrossed = (F.col("j") > F.coalesce(F.max("j").over(before), F.lit(-1))) & (F.col("j") < F.coalesce(F.min("j").over(after), F.lit(1 << 30)))
+    ends = pairs.select(*keys, F.size(F.split("old", " ", -1)).alias("i"), F.size(F.split("new", " ", -1)).alias("j"))
+    return met.withColumn("_kept", uncrossed).filter("_kept").drop("_kept").unionByName(ends)
 
-#: fixed values: marks that are the same in another font
-SAME_MARK = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "′": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "″": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "…": "..."})
-
-
-def acceptable(gone: list[str], new: list[str], most: int = WORD_EDITS) -> bool:
-    """Whether a changed run of words is a plausible repair: a moved space, or words that differ by a few letters each."""
-    worded = all(any(ch.isalnum() for ch in w) for w in gone + new)
-    if "".join(gone) == "".join(new) and worded:
-        return True
-    if len(gone) != len(new):
-        return False
-    if gone != new and all(x.translate(SAME_MARK) == y.translate(SAME_MARK) for x, y in zip(gone, new, strict=True)):
-        return False  # only the font of marks differs
-    return not any(letters_apart(x, y, most) for x, y in zip(gone, new, strict=True))
-
-
-def guarded(old: str, new: str, policy: str) -> tuple[str, int, int]:
-    """(text, accepted runs, rejected runs) under a policy: no-guard, whole-unit or per-run."""
-    if policy == "no-guard" or old == new:
-        return new, 0, 0
-    a, b = old.split(), new.split()
-    out, accepted, rejected = [], 0, 0
-    for tag, i0, i1, j0, j1 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        fine = tag == "equal" or acceptable(a[i0:i1], b[j0:j1])
-        accepted, rejected = accepted + (fine and tag != "equal"), rejected + (not fine)
-        out += b[j0:j1] if fine else a[i0:i1]
-    if not rejected:
-        return new, accepted, 0
-    return (old if policy == "whole-unit" else " ".join(out)), accepted, rejected
-
-
-def guard(old: Column, new: Column, policy: str) -> Column:
-    """struct (text, accepted, rejected) of guarded."""
-
-    @F.pandas_udf("text string, accepted int, rejected int")
-    def decide(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([guarded(x or "", y or "", policy) for x, y in zip(a, b, strict=True)], columns=["text", "accepted", "rejected"])
-
-    return decide(old, new)
+
+def runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i0, i1, j0, j1): stretches of words that differ, one row for each; a pair of equal texts has none."""
+    by_place = Window.partitionBy(*keys).orderBy("i")
+    found = fixed_points(pairs, keys).withColumn("i0", F.lag("i", 1, -1).over(by_place) + 1).withColumn("j0", F.lag("j", 1, -1).over(by_place) + 1)
+    return found.filter("i0 < i or j0 < j").select(*keys, "i0", F.col("i").alias("i1"), "j0", F.col("j").alias("j1"))
+
+
+def tag(i0: Column, i1: Column, j0: Column, j1: Column) -> Column:
+    return F.when(i0 == i1, "insert").when(j0 == j1, "delete").otherwise("replace")
+
+
+def _span(words: str, first, end) -> Column:
+    """Words from first up to end, joined."""
+    return F.array_join(F.slice(words, first + 1, end - first), " ")
+
+
+def derived(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with `edits`, array<struct<before, after>>, that carry old into new; null where there is no safe list.
+
+    Runs with at most GAP equal characters between them are one edit. An edit takes in equal words on both sides, one
+    at a time, until its text stands once in the old text. Edits that overlap, that are too long, hold a line break or
+    an arrow (the mark of a written edit), or together touch too much, make the whole list unsafe.
+    """
+    texts = pairs.filter("old is not null and new is not null").select(*keys, "old", "new", F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
+    by_place = Window.partitionBy(*keys).orderBy("i0", "i1")
+    rows = runs(pairs, keys).join(texts, keys)
+    begins = lambda i: F.length(F.array_join(F.slice("ow", F.lit(1), F.col(i)), " "))
+    rows = rows.withColumn("from_", begins("i0")).withColumn("to_", begins("i1"))
+    apart = F.coalesce(F.col("from_") - F.lag("to_").over(by_place) > GAP, F.lit(True))
+    rows = rows.withColumn("edit", F.sum(apart.cast("int")).over(by_place))
+    bounds = rows.groupBy(*keys, "edit").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.min("j0").alias("j0"), F.max("j1").alias("j1"))
+    by_edit = Window.partitionBy(*keys).orderBy("edit")
+    bounds = bounds.withColumn("left_", F.col("i0") - F.lag("i1", 1, 0).over(by_edit)).withColumn("right_", F.lead("i0").over(by_edit) - F.col("i1"))
+    rows = bounds.join(texts, keys).withColumn("right_", F.coalesce("right_", F.size("ow") - F.col("i1")))
+
+    def widened(k: Column) -> Column:
+        left, right = F.least(k, F.col("left_")), F.least(k, F.col("right_"))
+        before, after = _span("ow", F.col("i0") - left, F.col("i1") + right), _span("nw", F.col("j0") - left, F.col("j1") + right)
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    once = lambda e: (F.position(e["before"], F.col("old")) > 0) & (F.position(e["before"], F.col("old"), F.position(e["before"], F.col("old")) + 1) == 0)
+    safe = lambda e: (e["before"] != "") & (F.length(e["before"]) <= LONGEST_ANCHOR) & once(e) & ~F.concat(e["before"], e["after"]).rlike("[\r\n→]|->")
+    rows = rows.withColumn("e", F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(WIDEST)), widened), safe), F.lit(0)))
+    listed = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("edit", "e"))), lambda x: x["e"]).alias("edits"), F.count_if(F.col("e").isNull()).alias("unsafe"))
+    out = pairs.join(listed, keys, "left")
+    edits = F.when(F.col("old") == F.col("new"), F.array().cast("array<struct<before:string,after:string>>")).when(F.col("unsafe") == 0, F.col("edits"))
+    done = applied(out.withColumn("edits", edits), "old", "edits")
+    held = (F.col("done.text") == F.col("new")) & (F.size("done.rejected") == 0)
+    return done.withColumn("edits", F.when(held, F.col("edits"))).drop("unsafe", "done")
+
+
+def applied(rows: DataFrame, text: str, edits: str) -> DataFrame:
+    """rows with `done`, struct (text, applied, rejected): text after the edits, how many were made, and why others were not.
+
+    An edit is made at the one place where its text stands. Of edits that overlap, the first in the text is made. If
+    those that could be made touch too much of the text, none is. A null text is empty, null edits are none.
+    """
+    old = F.col("_text")
+
+    def claim(e: Column) -> Column:
+        before = F.coalesce(e["before"], F.lit(""))
+        at = F.when(before != "", F.position(before, old)).otherwise(0)
+        why = F.when(before == "", "empty").when(F.length(before) > LONGEST_ANCHOR, "long").when(at == 0, "missing").when(F.position(before, old, at + 1) > 0, "ambiguous")
+        return F.struct(at.alias("at"), before.alias("before"), F.coalesce(e["after"], F.lit("")).alias("after"), why.alias("why"))
+
+    def take(acc: Column, c: Column) -> Column:
+        fits = c["at"] >= acc["end"]
+        return F.struct(F.when(fits, F.array_append(acc["kept"], c)).otherwise(acc["kept"]).alias("kept"), F.when(fits, c["at"] + F.length(c["before"])).otherwise(acc["end"]).alias("end"))
+
+    def put(acc: Column, c: Column) -> Column:
+        return F.struct(F.concat(acc["out"], F.substring(old, acc["at"], c["at"] - acc["at"]), c["after"]).alias("out"), (c["at"] + F.length(c["before"])).alias("at"))
+
+    # a column for each step: an expression that stands several times would be worked out as often
+    steps = rows.withColumns({"_text": F.coalesce(text, F.lit("")), "_edits": F.coalesce(edits, F.array().cast("array<struct<before:string,after:string>>"))})
+    steps = steps.withColumn("_claims", F.transform("_edits", claim))
+    steps = steps.withColumn("_sound", F.array_sort(F.filter("_claims", lambda c: c["why"].isNull())))
+    none = F.struct(F.filter("_claims", lambda c: F.lit(False)).alias("kept"), F.lit(0).alias("end"))
+    steps = steps.withColumn("_kept", F.aggregate("_sound", none, take)["kept"])
+    touched = F.aggregate("_kept", F.lit(0), lambda n, c: n + F.greatest(F.length(c["before"]), F.length(c["after"])))
+    steps = steps.withColumn("_touched", touched).withColumn("_much", (F.col("_touched") > ALWAYS) & (F.col("_touched") > F.length(old) * SHARE))
+    made = F.aggregate("_kept", F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), put, lambda acc: F.concat(acc["out"], F.substring(old, acc["at"], F.length(old))))
+    refused = F.transform(F.filter("_claims", lambda c: c["why"].isNotNull()), lambda c: c["why"])
+    overlaps = F.array_repeat(F.lit("overlap"), F.size("_sound") - F.size("_kept"))
+    over = F.array_repeat(F.lit("budget"), F.when(F.col("_much"), F.size("_kept")).otherwise(0))
+    done = F.struct(F.when(F.col("_much"), old).otherwise(made).alias("text"), F.when(F.col("_much"), 0).otherwise(F.size("_kept")).alias("applied"), F.concat(refused, overlaps, over).alias("rejected"))
+    return steps.withColumn("done", done).drop("_text", "_edits", "_claims", "_sound", "_kept", "_touched", "_much")
+
+
+def plausible(gone: Column, new: Column, most: int = WORD_EDITS) -> Column:
+    """Whether a changed run of words is a likely repair: a moved space, or as many words that differ by a few letters each.
+
+    Words that differ in the font of a mark alone are not repaired.
+    """
+    worded = F.forall(F.concat(gone, new), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    moved = (F.array_join(gone, "") == F.array_join(new, "")) & worded
+    same = lambda words: F.transform(words, lambda w: F.replace(F.translate(w, *SAME_MARK), F.lit("…"), F.lit("...")))
+    near = F.forall(F.zip_with(gone, new, lambda a, b: F.levenshtein(a, b, most) >= 0), lambda x: x)
+    return moved | ((F.size(gone) == F.size(new)) & (same(gone) != same(new)) & near)
+
+
+def guarded(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, accepted, rejected, per_run): changed runs by whether they are plausible, and old with those that are."""
+    texts = pairs.filter("old is not null and new is not null").select(*keys, F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
+    rows = runs(pairs, keys).join(texts, keys)
+    gone, new = (F.slice(w, F.col(a) + 1, F.col(b) - F.col(a)) for w, a, b in (("ow", "i0", "i1"), ("nw", "j0", "j1")))
+    rows = rows.select(*keys, "i0", "i1", plausible(gone, new).alias("fine"), F.when(plausible(gone, new), new).otherwise(gone).alias("put"))
+    listed = rows.groupBy(*keys).agg(F.count_if("fine").alias("accepted"), F.count_if(~F.col("fine")).alias("rejected"), F.array_sort(F.collect_list(F.struct("i0", "i1", "put"))).alias("runs"))
+    empty = F.array().cast("array<string>")
+    step = lambda acc, r: F.struct(F.concat(acc["out"], F.slice("ow", acc["at"] + 1, r["i0"] - acc["at"]), r["put"]).alias("out"), r["i1"].alias("at"))
+    text = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<i0:int,i1:int,put:array<string>>>")), F.struct(empty.alias("out"), F.lit(0).alias("at")), step, lambda acc: F.array_join(F.concat(acc["out"], F.slice("ow", acc["at"] + 1, F.size("ow"))), " "))
+    return texts.join(listed, keys, "left").select(*keys, F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"), text.alias("per_run"))

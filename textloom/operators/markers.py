@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .sequences import longest_rising
 
-#: a number of up to three digits after the end of a sentence, at most one space between
+#: fixed value: a number of up to three digits after the end of a sentence, at most one space between
 CANDIDATE = r"""(?<=[^0-9][.!?”’"'])[ ]?[0-9]{1,3}(?![A-Za-z0-9])(?=[\t\n\f\r ]|\z)"""
 #: a group of blocks holds this many blocks and characters at most, and is sent from this many characters on
 MOST_BLOCKS, MOST_CHARS, LEAST_SENT = 8, 4000, 120
@@ -28,12 +28,16 @@ def selected(text: Column) -> Column:
     return F.struct(values.alias("values"), longest_rising(values, earliest=True).alias("chain"))
 
 
+#: fixed values: members that a chain needs, its greatest first member, and values outside it, as a number and a share
+LEAST_CHAIN, GREATEST_FIRST, OUTSIDE, OUTSIDE_SHARE = 3, 3, 2, 0.2
+
+
 def trusted(values: Column, chain: Column, restarts: bool = True) -> Column:
     """Whether a chain is one of footnotes: three members or more, few values outside it, begun by 3 if chapters restart."""
     outside = F.size(values) - F.size(chain)
-    allowed = F.greatest(F.lit(2), F.ceil(F.size(values) * 0.2))
-    sound = (F.size(chain) >= 3) & (outside <= allowed)
-    return sound & (F.get(values, F.get(chain, F.lit(0))) <= 3) if restarts else sound
+    allowed = F.greatest(F.lit(OUTSIDE), F.ceil(F.size(values) * OUTSIDE_SHARE))
+    sound = (F.size(chain) >= LEAST_CHAIN) & (outside <= allowed)
+    return sound & (F.get(values, F.get(chain, F.lit(0))) <= GREATEST_FIRST) if restarts else sound
 
 
 def without_chain(text: Column, chain: Column) -> Column:

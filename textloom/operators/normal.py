@@ -1,19 +1,17 @@
-"""Normal forms of texts, with the places that their characters come from; scripts."""
+"""Normal forms of texts, with the places that their characters come from."""
 
 from __future__ import annotations
 
 import re
 import sys
 import unicodedata
-from collections import Counter
 
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: fixed values: quotes that stand for an apostrophe; scripts told by the names of characters
+#: fixed value: quotes that stand for an apostrophe
 APOSTROPHES = "’‘"
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "HEBREW", "ARABIC", "CJK", "HANGUL", "HIRAGANA", "KATAKANA", "DEVANAGARI")
 #: fixed values: ligatures and what they are written out as
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
@@ -62,17 +60,3 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
     folded = [(c, i) for i, ch in enumerate(text) for c in unicodedata.normalize("NFKC", ch).translate(dict.fromkeys(map(ord, APOSTROPHES), "'")).lower()]
     line = "".join(c for c, _ in folded)
     return [(m[0], folded[m.start()][1], folded[m.end() - 1][1] + 1) for m in re.finditer(r"[^\W_]+(?:'[^\W_]+)*", line)]
-
-
-def script_of(ch: str) -> str:
-    """The script of a letter by its Unicode name; other for what is no letter or of none of SCRIPTS."""
-    name = f" {unicodedata.name(ch, '')} " if ch.isalpha() else ""
-    return next((s for s in SCRIPTS if name.startswith(f" {s}") or f" {s} " in name), "other")
-
-
-def script_counts(text: str) -> dict[str, int]:
-    out: Counter = Counter()
-    for ch, n in Counter(text).items():
-        if ch.isalpha():
-            out[script_of(ch)] += n
-    return dict(out)

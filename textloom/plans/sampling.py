@@ -35,7 +35,15 @@ def identity_downsample(t: Tables):
     want = t.documents.agg(F.floor(F.count_if(F.col("n_chars") > 1500) * 0.25 / 0.75)).first()[0]
     rows = t.documents.filter("n_chars <= 1500").select("doc_id", "source", F.md5(F.concat(F.lit("s"), F.col("doc_id"))).alias("h"))
     capped = F.row_number().over(Window.partitionBy("source").orderBy("h", "doc_id")) <= 5
-    return rows.withColumn("refill", F.when(capped, 0).otherwise(1)).orderBy("refill", "h", "doc_id").limit(want).select("doc_id", "source")
+    rows = rows.withColumn("refill", F.when(capped, 0).otherwise(1)).withColumn("bin", F.concat("refill", F.substring("h", 1, 3)))
+    # two levels: the counts of at most 8192 bins of the order tell which bin the last place is in, ranks inside it the rest
+    bins = rows.groupBy("bin").agg(F.count("*").alias("size"))
+    bins = bins.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = bins.filter(F.col("before") < want).select("bin", (F.lit(want) - F.col("before")).alias("left"), "size")
+    whole = rows.join(F.broadcast(left), "bin")
+    place = F.row_number().over(Window.partitionBy("bin").orderBy("h", "doc_id"))
+    cut = whole.filter(F.col("left") < F.col("size")).withColumn("place", place).filter("place <= left").select("doc_id", "source")
+    return whole.filter(F.col("left") >= F.col("size")).select("doc_id", "source").unionByName(cut)
 
 
 @query("SELECT doc_id, CASE WHEN md5(regexp_replace(source, '[0-9]$', '')) < '4' THEN 'eval' ELSE 'train' END AS split FROM documents")

@@ -34,13 +34,14 @@ def word_diff(t: Tables):
     return both.select("conv_id", "turn", F.size("changes").alias("n_changes"), F.aggregate("changes", F.lit(0), lambda a, x: a + x["len"]).alias("words_added"))
 
 
-@query("""SELECT c.conv_id, c.turn, true AS round_trip FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 2""")
+@query(r"""SELECT c.conv_id, c.turn, md5(array_to_string(regexp_extract_all(c.text, '[^ \t\n\r\x0b\f]+'), ' ')) AS earlier, len(regexp_extract_all(c.text, '[^ \t\n\r\x0b\f]+')) AS words FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 2""")
 def hydrate_diff(t: Tables):
+    """Earlier turns made again from the later one and the stored changes."""
     c = t.conversations
     nxt = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("later"))
     both = c.join(nxt, ["conv_id", "turn"]).withColumn("changes", S.changes(F.col("text"), F.col("later")))
-    words = F.filter(F.split("text", r"[ \t\n\r\x0b\f]+"), lambda w: w != "")
-    return both.select("conv_id", "turn", (S.hydrated(F.col("later"), F.col("changes")) == words).alias("round_trip"))
+    made = both.select("conv_id", "turn", S.hydrated(F.col("later"), F.col("changes")).alias("made"))
+    return made.select("conv_id", "turn", F.md5(F.array_join("made", " ")).alias("earlier"), F.size("made").cast("long").alias("words"))
 
 
 @query()

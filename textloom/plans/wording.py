@@ -5,6 +5,7 @@ The test tables hold few broken lines and no damaged scans, so queries make them
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,18 +91,16 @@ def script_counts(t: Tables):
 
 
 @query(r"""WITH a AS (SELECT doc_id, lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS x FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, md5(array_to_string(regexp_extract_all(x, '[a-z0-9]+(?:''[a-z0-9]+)*'), ' ')) AS plain, len(regexp_extract_all(x, '[a-z0-9]+')) AS words, true AS placed FROM a""")
+SELECT doc_id, md5(array_to_string(regexp_extract_all(x, '[a-z0-9]+(?:''[a-z0-9]+)*'), ' ')) AS plain, len(regexp_extract_all(x, '[a-z0-9]+')) AS words, md5(array_to_string(regexp_extract_all(x, '[a-z0-9]+(?:''[a-z0-9]+)*'), '|')) AS placed FROM a""")
 def normal_forms(t: Tables):
-    """Normal forms of the ASCII part of each text, and whether each word stands where its place says."""
+    """Normal forms of the ASCII part of each text, and what stands at the places of its words."""
     ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
 
-    def placed(text: str) -> bool:
-        plain, places = N.plain_with_places(text)
-        words = N.placed_words(text)
-        return plain == N.plain(text) and all(c == " " or text[i].lower() == c for c, i in zip(plain, places, strict=True)) and all(text[a:b].lower() == w for w, a, b in words)
+    def placed(text: str) -> str:
+        return "|".join(text[a:b].lower() for _, a, b in N.placed_words(text))
 
     a = t.documents.filter("text is not null").select("doc_id", ascii_.alias("x"))
-    out = a.select("doc_id", F.md5(C.of_text("string", N.plain)(F.col("x"))).alias("plain"), F.size(C.of_text("array<string>", N.bare_words)(F.col("x"))).cast("long").alias("words"), C.of_text("boolean", placed)(F.col("x")).alias("placed"))
+    out = a.select("doc_id", F.md5(C.of_text("string", N.plain)(F.col("x"))).alias("plain"), F.size(C.of_text("array<string>", N.bare_words)(F.col("x"))).cast("long").alias("words"), F.md5(C.of_text("string", placed)(F.col("x"))).alias("placed"))
     return out
 
 
@@ -113,38 +112,101 @@ def emitted_text(t: Tables):
 
 def scanned(t: Tables):
     """(doc_id, line, ocr, truth): lines as they are and as a bad scan might read them."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "truth")).filter(F.length("truth").between(8, 2000))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "truth"))
     return lines.withColumn("ocr", F.regexp_replace(F.regexp_replace("truth", "(nd|th)e", "$1c"), "m([a-z])", "rn$1"))
 
 
-LINES = r"""l AS (SELECT doc_id, num - 1 AS line, truth, regexp_replace(regexp_replace(truth, '(nd|th)e', '\1c', 'g'), 'm([a-z])', 'rn\1', 'g') AS ocr FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS truth, generate_subscripts(string_split(text, chr(10)), 1) AS num FROM documents) WHERE length(truth) BETWEEN 8 AND 2000)"""
+LINES = r"""l AS (SELECT doc_id, num - 1 AS line, truth, regexp_replace(regexp_replace(truth, '(nd|th)e', '\1c', 'g'), 'm([a-z])', 'rn\1', 'g') AS ocr FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS truth, generate_subscripts(string_split(text, chr(10)), 1) AS num FROM documents))"""
+PAIR = ["doc_id", "line"]
 
 
-@query(f"WITH {LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE ocr <> truth) AS damaged, true AS faithful FROM l GROUP BY doc_id")
-def edit_derivation(t: Tables):
-    """Edit lists from scanned to true lines; every list that could be derived carries the one into the other."""
-    both = scanned(t).withColumn("edits", E.edits_of(F.col("ocr"), F.col("truth"))).withColumn("done", E.with_edits(F.col("ocr"), F.col("edits")))
-    held = F.col("edits").isNull() | ((F.col("done.text") == F.col("truth")) & (F.size("done.rejected") == 0))
-    return both.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("ocr") != F.col("truth")).alias("damaged"), F.every(held).alias("faithful"))
+def runs_sql(old: str, new: str, source: str) -> str:
+    """CTEs up to r (doc_id, line, i0, i1, j0, j1): the runs of words that differ; and x, the lines with their words."""
+    words = lambda side, place: f"(SELECT doc_id, line, w, {place}, row_number() OVER (PARTITION BY doc_id, line, w ORDER BY {place}) AS nth FROM (SELECT doc_id, line, unnest({side}) AS w, generate_subscripts({side}, 1) - 1 AS {place} FROM x))"
+    return f"""x AS (SELECT doc_id, line, {old} AS old, {new} AS new, string_split({old}, ' ') AS ow, string_split({new}, ' ') AS nw FROM {source}),
+met AS (SELECT o.doc_id, o.line, i, j FROM {words('ow', 'i')} o JOIN {words('nw', 'j')} n USING (doc_id, line, w, nth)),
+fixed AS (SELECT doc_id, line, i, j FROM met QUALIFY j > coalesce(max(j) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AND j < coalesce(min(j) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1 << 30)
+UNION ALL SELECT doc_id, line, len(ow), len(nw) FROM x),
+r AS (SELECT * FROM (SELECT doc_id, line, lag(i, 1, -1) OVER w + 1 AS i0, i AS i1, lag(j, 1, -1) OVER w + 1 AS j0, j AS j1 FROM fixed WINDOW w AS (PARTITION BY doc_id, line ORDER BY i)) WHERE i0 < i1 OR j0 < j1)"""
 
 
-@query()
+def derived_sql() -> str:
+    """CTEs up to d (doc_id, line, old, new, edits): the safe list of each line, null where there is none."""
+    span = lambda words, first, end: f"array_to_string({words}[{first} + 1:{end}], ' ')"
+    wide = f"list_transform(range(0, {E.WIDEST + 1}), lambda k: {{'before': {span('ow', 'i0 - least(k, left_)', 'i1 + least(k, right_)')}, 'after': {span('nw', 'j0 - least(k, left_)', 'j1 + least(k, right_)')}}})"
+    safe = f"e.before <> '' AND length(e.before) <= {E.LONGEST_ANCHOR} AND strpos(old, e.before) > 0 AND strpos(substr(old, strpos(old, e.before) + 1), e.before) = 0 AND NOT regexp_matches(e.before || e.after, '[\\r\\n→]|->')"
+    return f"""{runs_sql('ocr', 'truth', 'l')},
+c AS (SELECT r.*, old, new, ow, nw, length(array_to_string(ow[1:i0], ' ')) AS from_, length(array_to_string(ow[1:i1], ' ')) AS to_ FROM r JOIN x USING (doc_id, line)),
+g AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, line ORDER BY i0, i1) AS edit FROM (SELECT *, CASE WHEN from_ - lag(to_) OVER (PARTITION BY doc_id, line ORDER BY i0, i1) <= {E.GAP} THEN 0 ELSE 1 END AS apart FROM c)),
+b AS (SELECT doc_id, line, edit, min(i0) AS i0, max(i1) AS i1, min(j0) AS j0, max(j1) AS j1 FROM g GROUP BY ALL),
+n AS (SELECT b.*, old, new, ow, nw, i0 - lag(i1, 1, 0) OVER w AS left_, coalesce(lead(i0) OVER w, len(ow)) - i1 AS right_ FROM b JOIN x USING (doc_id, line) WINDOW w AS (PARTITION BY doc_id, line ORDER BY edit)),
+q AS (SELECT doc_id, line, edit, old, new, list_filter({wide}, lambda e: {safe})[1] AS e FROM n),
+p AS (SELECT *, strpos(old, e.before) AS begun, strpos(old, e.before) + length(e.before) AS ended FROM q),
+s AS (SELECT *, lead(begun) OVER w AS next_, lag(ended) OVER w AS past FROM p WINDOW w AS (PARTITION BY doc_id, line ORDER BY edit)),
+k AS (SELECT doc_id, line, first(old) AS old, first(new) AS new, list({{'before': e.before, 'after': e.after}} ORDER BY edit) AS edits, bool_and(e IS NOT NULL AND coalesce(past <= begun, true)) AS sound, sum(greatest(length(e.before), length(e.after))) AS touched,
+substr(first(old), 1, min(begun) - 1) || string_agg(e.after || CASE WHEN next_ IS NULL THEN substr(old, ended) ELSE substr(old, ended, next_ - ended) END, '' ORDER BY edit) AS made FROM s GROUP BY doc_id, line),
+d AS (SELECT x.doc_id, x.line, x.old, x.new, CASE WHEN x.old = x.new THEN [] WHEN sound AND made = x.new AND (touched <= {E.ALWAYS} OR touched <= length(x.old) * {E.SHARE}) THEN edits END AS edits FROM x LEFT JOIN k USING (doc_id, line))"""
+
+
+@query(f"WITH {LINES}, {runs_sql('ocr', 'truth', 'l')} SELECT doc_id, CASE WHEN i0 = i1 THEN 'insert' WHEN j0 = j1 THEN 'delete' ELSE 'replace' END AS tag, count(*) AS runs, CAST(sum(i1 - i0) AS BIGINT) AS gone, CAST(sum(j1 - j0) AS BIGINT) AS new FROM r GROUP BY ALL")
+def word_runs(t: Tables):
+    """Runs of words that differ between scanned and true lines, by kind."""
+    rows = E.runs(scanned(t).select(*PAIR, F.col("ocr").alias("old"), F.col("truth").alias("new")), PAIR)
+    kind = E.tag(*(F.col(c) for c in ("i0", "i1", "j0", "j1"))).alias("tag")
+    return rows.groupBy("doc_id", kind).agg(F.count("*").alias("runs"), F.sum(F.col("i1") - F.col("i0")).alias("gone"), F.sum(F.col("j1") - F.col("j0")).alias("new"))
+
+
+@query(f"""WITH {LINES}, {derived_sql()} SELECT doc_id, line, len(edits) AS n, array_to_string(list_transform(edits, lambda e: e.before || ' → ' || e.after), '; ') AS edits FROM d WHERE old <> new""")
+def edit_derivation(t: Tables):
+    """The edits that carry each scanned line into its true one, each with a text that stands once in the line."""
+    lines = scanned(t).filter("ocr <> truth").select(*PAIR, F.col("ocr").alias("old"), F.col("truth").alias("new"))
+    listed = F.array_join(F.transform("edits", lambda e: F.concat(e["before"], F.lit(" → "), e["after"])), "; ")
+    return E.derived(lines, PAIR).select(*PAIR, F.when(F.col("edits").isNotNull(), F.size("edits")).cast("long").alias("n"), listed.alias("edits"))
+
+
+@query(rf"""WITH RECURSIVE {LINES}, {derived_sql()},
+o AS (SELECT doc_id, line, lead(old) OVER (PARTITION BY doc_id ORDER BY line) AS other, edits FROM d),
+e AS (SELECT doc_id, line, other, unnest(edits) AS e FROM o WHERE other IS NOT NULL),
+cl AS (SELECT doc_id, line, other, e.before AS before, e.after AS after, strpos(other, e.before) AS begun, CASE WHEN strpos(other, e.before) = 0 THEN 'missing' WHEN strpos(substr(other, strpos(other, e.before) + 1), e.before) > 0 THEN 'ambiguous' END AS why FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY begun, before, after) AS nth FROM cl WHERE why IS NULL),
+step AS (SELECT doc_id, line, nth, other, before, after, true AS kept, begun + length(before) AS ended FROM f WHERE nth = 1
+UNION ALL SELECT f.doc_id, f.line, f.nth, f.other, f.before, f.after, f.begun >= step.ended, CASE WHEN f.begun >= step.ended THEN f.begun + length(f.before) ELSE step.ended END FROM step JOIN f ON f.doc_id = step.doc_id AND f.line = step.line AND f.nth = step.nth + 1),
+m AS (SELECT *, sum(CASE WHEN kept THEN greatest(length(before), length(after)) END) OVER (PARTITION BY doc_id, line) AS touched FROM step),
+z AS (SELECT CASE WHEN NOT kept THEN 'overlap' WHEN touched > {E.ALWAYS} AND touched > length(other) * {E.SHARE} THEN 'budget' ELSE 'applied' END AS status FROM m UNION ALL SELECT why FROM cl WHERE why IS NOT NULL)
+SELECT status, count(*) AS n FROM z GROUP BY status""")
 def edit_statuses(t: Tables):
     """What became of the edits of each line when they are applied to the line after it, which they were not made for."""
     w = Window.partitionBy("doc_id").orderBy("line")
-    both = scanned(t).withColumn("other", F.lead("ocr").over(w)).filter("other is not null").withColumn("edits", E.edits_of(F.col("ocr"), F.col("truth")))
-    done = both.withColumn("done", E.with_edits(F.col("other"), F.col("edits")))
+    lines = scanned(t).withColumn("other", F.lead("ocr").over(w)).filter("other is not null").select(*PAIR, F.col("ocr").alias("old"), F.col("truth").alias("new"), "other")
+    done = E.applied(E.derived(lines.filter("old <> new"), PAIR), "other", "edits")
     status = F.explode(F.concat("done.rejected", F.array_repeat(F.lit("applied"), F.col("done.applied"))))
     return done.select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+OFFERED = r"CASE WHEN line % 3 = 0 THEN regexp_replace(truth, '\s+\S+\s*$', '') ELSE truth END"
+SAME = f"list_transform(WORDS, lambda w: replace(translate(w, '{E.SAME_MARK[0]}', '{E.SAME_MARK[1].replace(chr(39), chr(39) * 2)}'), '…', '...'))"
+
+
+@query(rf"""WITH {LINES}, g AS (SELECT doc_id, line, ocr, truth, {OFFERED} AS offered FROM l WHERE ocr <> truth), {runs_sql('ocr', 'offered', 'g')},
+w AS (SELECT r.*, ow, nw, ow[i0 + 1:i1] AS gone, nw[j0 + 1:j1] AS new_ FROM r JOIN x USING (doc_id, line)),
+f AS (SELECT *, (array_to_string(gone, '') = array_to_string(new_, '') AND len(list_filter(gone || new_, lambda v: NOT regexp_matches(v, '[\p{{L}}\p{{N}}]'))) = 0)
+OR (len(gone) = len(new_) AND {SAME.replace('WORDS', 'gone')} <> {SAME.replace('WORDS', 'new_')} AND len(list_filter(range(1, len(gone) + 1), lambda q: levenshtein(gone[q], new_[q]) > {E.WORD_EDITS})) = 0) AS fine FROM w),
+h AS (SELECT doc_id, line, count(*) FILTER (WHERE fine) AS accepted, count(*) FILTER (WHERE NOT fine) AS rejected FROM f GROUP BY ALL),
+parts AS (SELECT doc_id, line, i0, 1 AS n, CASE WHEN fine THEN new_ ELSE gone END AS ws FROM f UNION ALL SELECT doc_id, line, coalesce(lag(i1) OVER v, 0), 0, ow[coalesce(lag(i1) OVER v, 0) + 1:i0] FROM f WINDOW v AS (PARTITION BY doc_id, line ORDER BY i0, i1)
+UNION ALL SELECT doc_id, line, max(i1), 2, first(ow)[max(i1) + 1:] FROM f GROUP BY doc_id, line),
+t AS (SELECT doc_id, line, array_to_string(flatten(list(ws ORDER BY i0, n)), ' ') AS per_run FROM parts GROUP BY ALL),
+a AS (SELECT g.*, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, coalesce(per_run, ocr) AS per_run FROM g LEFT JOIN h USING (doc_id, line) LEFT JOIN t USING (doc_id, line)),
+p AS (SELECT 'no-guard' AS policy, 0 AS accepted, 0 AS rejected, offered = truth AS true_ FROM a UNION ALL SELECT 'whole-unit', accepted, rejected, CASE WHEN rejected = 0 THEN offered ELSE ocr END = truth FROM a UNION ALL SELECT 'per-run', accepted, rejected, per_run = truth FROM a)
+SELECT policy, count(*) AS units, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(rejected) AS BIGINT) AS rejected, count(*) FILTER (WHERE true_) AS true_lines FROM p GROUP BY policy""")
 def guard_policies(t: Tables):
     """How many lines each policy brings to the true text, where the proposal drops the last word of every third line."""
-    lines = scanned(t).filter("ocr <> truth")
     offered = F.when(F.pmod(F.col("line"), F.lit(3)) == 0, F.regexp_replace("truth", r"\s+\S+\s*$", "")).otherwise(F.col("truth"))
-    one = lambda p: F.struct(F.lit(p).alias("policy"), E.guard(F.col("ocr"), offered, p).alias("g"))
-    each = lines.withColumn("x", F.explode(F.array(*map(one, ("no-guard", "whole-unit", "per-run"))))).select("truth", "x.policy", "x.g.*")
+    lines = scanned(t).filter("ocr <> truth").select(*PAIR, F.col("ocr").alias("old"), offered.alias("new"), "truth")
+    done = lines.join(E.guarded(lines, PAIR), PAIR)
+    one = lambda policy, accepted, rejected, text: F.struct(F.lit(policy).alias("policy"), accepted.cast("long").alias("accepted"), rejected.cast("long").alias("rejected"), text.alias("text"))
+    n, m = F.col("accepted"), F.col("rejected")
+    policies = [one("no-guard", F.lit(0), F.lit(0), F.col("new")), one("whole-unit", n, m, F.when(m == 0, F.col("new")).otherwise(F.col("old"))), one("per-run", n, m, F.col("per_run"))]
+    each = done.select("truth", F.explode(F.array(*policies)).alias("x")).select("truth", "x.*")
     return each.groupBy("policy").agg(F.count("*").alias("units"), F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count_if(F.col("text") == F.col("truth")).alias("true_lines"))
 
 
@@ -157,14 +219,14 @@ def edge_marks(t: Tables):
 
 
 @query("""WITH p AS (SELECT p_partkey, lower(p_brand || p_type) AS name FROM part), n AS (SELECT p_partkey, regexp_replace(name, '[^a-z]', '', 'g') AS name FROM p)
-SELECT p_partkey, left(name, length(name) - 1) AS clamped, substr(name, 1, 3) || '-' AS repaired, true AS damaged FROM n WHERE length(name) >= 5""")
+SELECT p_partkey, left(name, length(name) - 1) AS clamped, substr(name, 1, 3) || '-' AS repaired, p_partkey % 2 = 0 AS damaged FROM n WHERE length(name) >= 5""")
 def edge_repairs(t: Tables):
     """A clipped last word stays clipped, a cut word gets its part back, a sign inside a word that the scan lacks is damage."""
     name = F.col("name")
     p = t.part.select("p_partkey", F.regexp_replace(F.lower(F.concat("p_brand", "p_type")), "[^a-z]", "").alias("name")).filter(F.length("name") >= 5)
     return p.select(
         "p_partkey", R.edges_clamped(F.left(name, F.length(name) - 1), name).alias("clamped"),
-        R.hyphen_repaired(F.concat(F.left(name, F.lit(3)), F.lit("-")), name, True).alias("repaired"), R.glyph_damaged(name, F.concat(name, F.lit("a#b"))).alias("damaged"),
+        R.hyphen_repaired(F.concat(F.left(name, F.lit(3)), F.lit("-")), name, True).alias("repaired"), R.glyph_damaged(name, F.concat(name, F.when(F.col("p_partkey") % 2 == 0, "a#b").otherwise("a#"))).alias("damaged"),
     )
 
 
@@ -197,16 +259,12 @@ def sentence_units(t: Tables):
     return t.documents.select("doc_id", run(text).alias("m")).select("doc_id", "m.*")
 
 
-@query("SELECT doc_id, true AS whole FROM documents WHERE text IS NOT NULL")
+@query()
 def text_chunks(t: Tables):
-    """Whether chunks cut at the best breaks, for rewriting and for translating, are within size and together the text."""
-
-    def whole(text: str) -> bool:
-        ways = (C.break_point, lambda x, target, _: C.chapter_break(x, target))
-        cuts = [C.cut_text(text, 1200, way) for way in ways]
-        return all("".join(c) == text and max(map(len, c), default=0) <= 1202 for c in cuts)
-
-    return t.documents.filter("text is not null").select("doc_id", C.of_text("boolean", whole)(F.col("text")).alias("whole"))
+    """Where chunks of up to 1200 characters end, cut at the best breaks for rewriting and for translating."""
+    ends = lambda way: lambda text: np.cumsum([len(c) for c in C.cut_text(text, 1200, way)], dtype=int).tolist()
+    ways = (("rewriting", C.break_point), ("translating", lambda x, target, _: C.chapter_break(x, target)))
+    return t.documents.filter("text is not null").select("doc_id", *(C.of_text("array<int>", ends(way))(F.col("text")).alias(name) for name, way in ways))
 
 
 @query()
