@@ -51,8 +51,8 @@ def test_chunks_of_documents(spark):
         for end in r["rewriting"]:
             part = text[max(at, at + 1200 - C.BREAK_WINDOW) : at + 1200]
             if at + 1200 < len(text):
-                kinds = [lambda i: text[:i].endswith("\n\n"), lambda i: text[i - 1] in ".!?" and text[i] in " \n\r\"'“”‘’", lambda i: text[i - 1] == "\n", lambda i: text[i - 1] == " "]
-                places = range(at + 1200 - len(part) + 1, at + 1200)
+                kinds = [lambda i: text[:i].endswith("\n\n"), lambda i: i < at + 1200 and text[i - 1] in ".!?" and text[i] in " \n\r\"'“”‘’", lambda i: text[i - 1] == "\n", lambda i: text[i - 1] == " "]
+                places = range(at + 1200 - len(part) + 1, at + 1201)
                 best = next((found[-1] for kind in kinds if (found := [i for i in places if kind(i)])), at + 1200)
                 assert end == best
             at = end
