@@ -30,8 +30,8 @@ def fixed_points(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(place)))
 
     met = words("old", "i").join(words("new", "j"), [*keys, "word", "nth"]).select(*keys, "i", "j")
-    by_place = Window.partitionBy(*keys).orderBy("i")
-    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what stands before in the other order, which a window reads once
+    before, after = (Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("i"), F.desc("i")))
     uncrossed = (F.col("j") > F.coalesce(F.max("j").over(before), F.lit(-1))) & (F.col("j") < F.coalesce(F.min("j").over(after), F.lit(1 << 30)))
     ends = pairs.select(*keys, F.size(F.split("old", " ", -1)).alias("i"), F.size(F.split("new", " ", -1)).alias("j"))
     return met.withColumn("_kept", uncrossed).filter("_kept").drop("_kept").unionByName(ends)

@@ -115,17 +115,19 @@ c AS (SELECT *, max(CASE WHEN anchor IS NOT NULL THEN mass END) OVER (PARTITION
 SELECT event_id, round(coalesce(anchor, before + (after - before) * (mass - m0) / (m1 - m0)), 1) AS placed FROM c WHERE before IS NOT NULL AND after IS NOT NULL""")
 def gap_interpolation(t: Tables):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    past, next_ = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # what follows is what stands before in the other order, which a window reads once
+    back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    past, next_ = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (order, back))
     a = t.events.withColumn("anchor", F.when(F.col("event_type") == "click", epoch("ts"))).withColumn("mass", F.sum("value").over(past))
     at_anchor = F.when(F.col("anchor").isNotNull(), F.col("mass"))
-    a = a.withColumn("before", F.last("anchor", True).over(past)).withColumn("after", F.first("anchor", True).over(next_)).withColumn("m0", F.max(at_anchor).over(past)).withColumn("m1", F.min(at_anchor).over(next_))
+    a = a.withColumn("before", F.last("anchor", True).over(past)).withColumn("after", F.last("anchor", True).over(next_)).withColumn("m0", F.max(at_anchor).over(past)).withColumn("m1", F.min(at_anchor).over(next_))
     placed = F.coalesce("anchor", F.col("before") + (F.col("after") - F.col("before")) * (F.col("mass") - F.col("m0")) / (F.col("m1") - F.col("m0")))
     return a.filter("before is not null and after is not null").select("event_id", F.round(placed, 1).alias("placed"))
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS ahead FROM events""")
 def buffered_ahead(t: Tables):
-    return t.events.select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)), 4).alias("ahead"))
+    return t.events.select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)), 4).alias("ahead"))
 
 
 @query("""SELECT event_id, CAST(greatest(0, floor(epoch(coalesce(nxt, TIMESTAMP '2024-02-01')) - epoch(ts))) AS BIGINT) AS elapsed FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)""")
