@@ -1,4 +1,4 @@
-"""Continuation signals of lines, and quotes located in runs of turns."""
+"""Continuation signals of lines."""
 
 from __future__ import annotations
 
@@ -22,12 +22,3 @@ def paragraph_continuations(t: Tables):
     x0 = F.when((c("l_orderkey") + c("l_linenumber")) % 5 == 0, 52).otherwise(40 + c("l_orderkey") % 2).cast("double")
     lines = t.lineitem.select((c("l_suppkey") % 40).alias("book"), F.floor(c("l_suppkey") / 40).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", x0.alias("x0"), (400 + (c("l_quantity") % 7) * 4).cast("double").alias("x1"))
     return L.continuations(lines, "book", "page", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).select("book", "page", "l_orderkey", "l_linenumber", "reason", "decision")
-
-
-@query()
-def quote_ranges(t: Tables):
-    """The run of turns that holds the first ten words of each conversation's turns, a letter of them misread."""
-    words = F.slice(F.split("text", r"\s+"), 1, 10)
-    quotes = t.conversations.filter("text is not null").select("conv_id", "turn", F.regexp_replace(F.array_join(words, " "), "e([a-z])", "c$1").alias("quote"))
-    out = L.quote_ranges(quotes, t.conversations, "conv_id", "turn")
-    return out.select("conv_id", "turn", "first", "last", F.round("score", 4).alias("score"))
