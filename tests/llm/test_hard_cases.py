@@ -284,6 +284,26 @@ def test_one_passage_in_many_documents(spark):
     assert {r["doc_id"]: r["n_removed"] for r in out} == wanted
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "é²" * 300_000, "x#" * 500_000, "ab cd " * 170_000, "\n" * 1_000_000])
+def test_texts_of_a_megabyte(spark, text):
+    """Each takes time in proportion to its length; a quadratic step would take hours."""
+    assert len(quality.statistics(text)) == len(quality.NAMES)
+    assert len(langid.words_of(text)) <= len(text)
+    docs = spark.createDataFrame([(1, text), (2, "short text")], "doc_id long, text string")
+    assert fingerprint.fingerprints(docs).count() == 2
+    assert neardup.near_components(docs).count() == 2
+
+
+def test_words_with_marks_inside():
+    import re
+
+    at = quality.NAMES.index("words_with_marks_inside")
+    for text in ("", "a", "a#b c", "## a-b 'c' é…", "x  y\u00a0z* \x1c!", "no (marks) [here]?"):
+        words = text.split()
+        share = sum(bool(re.search(r"[^\w\s.,;:'\"-]", w)) for w in words) / max(1, len(words))
+        assert quality.statistics(text)[at] == pytest.approx(math.asin(math.sqrt(share)))
+
+
 def test_staging_needs_a_shared_folder():
     from types import SimpleNamespace
 
