@@ -1,5 +1,7 @@
 """Operators on small literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,25 @@ def test_cycle_is_an_error(spark):
         trees.ancestors(df)
 
 
+def test_below_marked_nodes(spark):
+    rng = random.Random(1)
+    nodes = [(k, rng.randrange(k) if k and rng.random() < 0.95 else None) for k in range(300)] + [(1000 + k, 999 + k if k else 7777) for k in range(200)]
+    marked = {3, 17, 40, 1050, 7777}
+    parent = dict(nodes)
+
+    def hit(k):
+        while (k := parent.get(k)) is not None:
+            if k in marked:
+                return True
+        return False
+
+    df = spark.createDataFrame(nodes, "id long, parent long")
+    found = sorted(r["id"] for r in trees.below(df, spark.createDataFrame([(m,) for m in marked], "id long")).collect())
+    assert found == sorted(k for k, _ in nodes if hit(k))
+    with pytest.raises(ValueError, match="cycle"):
+        trees.below(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent long"), spark.createDataFrame([(9,)], "id long"))
+
+
 def test_ancestors_of_a_chain(spark):
     df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)], "id long, parent long")
     assert rows(trees.ancestors(df), "id", "ancestor", "distance") == sorted((i, j, i - j) for i in range(9) for j in range(i))

@@ -30,6 +30,28 @@ def ancestors(nodes: DataFrame, id_: str = "id", parent: str = "parent", most_de
     return pairs
 
 
-def subtree(pairs: DataFrame, root) -> DataFrame:
-    """Ids of the root's descendants and itself, from ancestors()."""
-    return pairs.filter(F.col("ancestor") == root).select("id").unionByName(pairs.sparkSession.createDataFrame([(root,)], "id long"))
+def below(nodes: DataFrame, marked: DataFrame, id_: str = "id", parent: str = "parent") -> DataFrame:
+    """(id) of the nodes that have a marked node (id) among their proper ancestors.
+
+    Each node looks up a pointer and knows whether a marked node was passed; a round doubles what it has passed. All
+    rounds together read the nodes log2(depth) times, and no pairs of nodes and ancestors are written. A cycle, from
+    which no pointer gets out, is an error.
+    """
+    marks = marked.select(F.col("id").alias("_marked")).distinct()
+    rows = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up")).join(marks, F.col("up") == F.col("_marked"), "left")
+    rows = staged(rows.select("id", "up", F.col("_marked").isNotNull().alias("hit")))
+    most = rows.count()
+    passed = 1
+    while not rows.filter("up is not null").isEmpty():
+        if passed > most:
+            raise ValueError("the parents form a cycle")
+        next_ = rows.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
+        rows = staged(rows.join(next_, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))
+        passed *= 2
+    return rows.filter("hit").select("id")
+
+
+def subtree(nodes: DataFrame, root) -> DataFrame:
+    """Ids of the root's descendants and itself."""
+    own = nodes.sparkSession.createDataFrame([(root,)], "id long")
+    return below(nodes, own).unionByName(own)

@@ -33,13 +33,13 @@ def children(t: Tables):
 
 @query(f"WITH RECURSIVE {STEPS}, {UP} SELECT 7 AS id UNION ALL SELECT id FROM up WHERE ancestor = 7")
 def subtree(t: Tables):
-    return R.subtree(R.ancestors(steps(t)), 7)
+    return R.subtree(steps(t), 7)
 
 
 @query(f"WITH RECURSIVE {STEPS}, {UP} SELECT id, action FROM steps WHERE id <> 7 AND id NOT IN (SELECT id FROM up WHERE ancestor = 7)")
 def delete_subtree(t: Tables):
     s = steps(t)
-    return s.join(R.subtree(R.ancestors(s), 7), "id", "left_anti").select("id", "action")
+    return s.join(R.subtree(s, 7), "id", "left_anti").select("id", "action")
 
 
 @query(f"WITH RECURSIVE {STEPS}, {UP}, line AS (SELECT id, ancestor, distance FROM up UNION ALL SELECT id, id, 0 FROM steps) SELECT l.id, s.action, arg_min(s.id, l.distance) AS step FROM line l JOIN steps s ON s.id = l.ancestor WHERE NOT s.stale GROUP BY l.id, s.action")
@@ -53,8 +53,7 @@ def standard_in_effect(t: Tables):
 @query(f"WITH RECURSIVE {STEPS}, {UP}, failed AS (SELECT id FROM steps WHERE action = 'PROMO' AND stale) SELECT DISTINCT u.id FROM up u JOIN failed f ON u.ancestor = f.id")
 def cascade_cancel(t: Tables):
     s = steps(t)
-    failed = s.filter("action = 'PROMO' and stale").select(F.col("id").alias("ancestor"))
-    return R.ancestors(s).join(failed, "ancestor", "left_semi").select("id").distinct()
+    return R.below(s, s.filter("action = 'PROMO' and stale").select("id"))
 
 
 @query("SELECT user_id, arg_max(event_id, epoch_us(ts)) AS position FROM events GROUP BY user_id")
