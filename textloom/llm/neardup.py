@@ -227,11 +227,14 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     # read twice below: written once, so that the sets are unpacked once
     items = stage(dealt.mapInArrow(_unpacked, "id long, v long"))
     common = items.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("v", "cv")
-    held = items.join(common, items.v == common.cv).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
+    # items of one document come first in the order, and are all that most documents need
+    single = items.join(common, items.v == common.cv, "left_anti").groupBy("id").agg(F.count("*").alias("alone"))
+    alone = F.coalesce("alone", F.lit(0))
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    held = long.join(held, F.col("doc") == F.col("id")).filter(room > 0)
-    anew = held.select("doc", "n", "label", alone.alias("alone"), F.posexplode(F.slice("shared", 1, room.cast("int"))).alias("at", "p"))
+    more = stage(long.join(single, long.doc == single.id, "left").select("doc", "n", "label", alone.alias("alone"), room.alias("room")).filter("room > 0"))
+    held = items.join(more, items.id == more.doc, "left_semi").join(common, F.col("v") == F.col("cv")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    held = more.join(held, F.col("doc") == F.col("id"))
+    anew = held.select("doc", "n", "label", "alone", F.posexplode(F.slice("shared", 1, F.col("room").cast("int"))).alias("at", "p"))
     anew = anew.select(F.col("p.v").alias("v"), "doc", "n", "label", (F.col("alone") + F.col("at")).alias("rank"))
     both = stage(short.unionByName(anew))
     other = both.select(F.col("v").alias("w"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("rank").alias("br"))
