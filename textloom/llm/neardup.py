@@ -232,8 +232,13 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     alone = F.coalesce("alone", F.lit(0))
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     more = stage(long.join(single, long.doc == single.id, "left").select("doc", "n", "label", alone.alias("alone"), room.alias("room")).filter("room > 0"))
-    held = items.join(more, items.id == more.doc, "left_semi").join(common, F.col("v") == F.col("cv")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
-    held = more.join(held, F.col("doc") == F.col("id"))
+    # then those of few documents; only documents that these do not fill look up those of many
+    shared = lambda df, many: df.join(common.filter(F.col("df") > FEW if many else F.col("df") <= FEW), F.col("v") == F.col("cv")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("many" if many else "few"))
+    held = stage(more.join(shared(items, False), F.col("doc") == F.col("id"), "left").drop("id"))
+    still = held.filter(F.col("room") > F.coalesce(F.size("few"), F.lit(0))).select(F.col("doc").alias("still"))
+    rest = shared(items.join(still, F.col("id") == F.col("still"), "left_semi"), True)
+    none = F.array().cast("array<struct<df:bigint,v:bigint>>")
+    held = held.join(rest, F.col("doc") == F.col("id"), "left").withColumn("shared", F.concat(F.coalesce("few", none), F.coalesce("many", none)))
     anew = held.select("doc", "n", "label", "alone", F.posexplode(F.slice("shared", 1, F.col("room").cast("int"))).alias("at", "p"))
     anew = anew.select(F.col("p.v").alias("v"), "doc", "n", "label", (F.col("alone") + F.col("at")).alias("rank"))
     both = stage(short.unionByName(anew))
