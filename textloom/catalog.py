@@ -7,7 +7,7 @@ from importlib import import_module
 from textloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "quality_report"
-for _topic in ("listening", "measures", "ordering", "sampling", "joining", "trees", "vectors", "quality", "textual", "sequences", "streams", "repairs", "grouping", "wording", "marking", "pages", "glyphs", "fits", "flowing"):
+for _topic in ("listening", "measures", "ordering", "sampling", "joining", "trees", "vectors", "quality", "textual", "sequences", "streams", "repairs", "grouping", "wording", "marking", "pages", "glyphs", "fits", "flowing", "drifting"):
     import_module(f"textloom.plans.{_topic}")
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
