@@ -8,7 +8,7 @@ function. Documents of equal sets form classes first. Between class representati
    K - SHARED + 1 values that fewest sketches hold: very common passages make no lists;
 2. in each list every document meets a pivot, not every other document. Links merge documents into components,
    lists with documents of several components get other pivots, and at last all pairs across components that are
-   still in one list;
+   still in one list and that their sizes, places in it and parity bitmaps leave possible;
 3. the K least values of the union of two sketches estimate the similarity; pairs far below the threshold go;
 4. the exact similarity of the full sets decides the rest.
 
@@ -47,6 +47,8 @@ FEW = 32
 UNPACKED = 20_000
 #: an estimate this far below the threshold, six standard errors, rules a pair out
 MARGIN = 0.3
+#: bits of a set's parity bitmap, a power of two; no row depends on it
+BITS = 512
 
 
 def shingles(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
@@ -66,6 +68,15 @@ def whole(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """BITS bits as signed 64-bit numbers: for each remainder of the hashes, whether an odd number of items has it.
+
+    An item of only one of two sets changes one bit, so two bitmaps differ in no more bits than their sets do in items.
+    """
+    odd = np.bincount(items & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def scanner(size: int):
     def scan(batches: Batches) -> Batches:
         hashes = WordHashes()
@@ -73,9 +84,9 @@ def scanner(size: int):
             sets = [shingles(t, hashes, size) for t in batch["text"].to_pylist()]
             columns = [
                 batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([whole(s) for s in sets], pa.binary()),
-                pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
+                pa.array([s[:K] for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "same", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "same", "sketch", "bits"])
 
     return scan
 
@@ -160,11 +171,11 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) for each row of docs."""
     text = bare(docs)
     rows = text.withColumn("row", F.monotonically_increasing_id())  # fixed once staged
-    scanned = stage(rows.mapInArrow(scanner(size), "row long, doc_id long, n long, same binary, sketch array<long>"))
+    scanned = stage(rows.mapInArrow(scanner(size), "row long, doc_id long, n long, same binary, sketch array<long>, bits array<long>"))
     classes = stage(scanned.filter("n > 0").groupBy("same").agg(F.min("row").alias("rep")))
     member = scanned.select("row", "doc_id", "same", "n").join(classes, "same", "left").select("doc_id", "n", F.coalesce("rep", "row").alias("rep"))
     member = stage(member)
-    reps = stage(scanned.join(classes.select(F.col("rep").alias("node")), F.col("row") == F.col("node")).select("node", "doc_id", "n", "same", "sketch"))
+    reps = stage(scanned.join(classes.select(F.col("rep").alias("node")), F.col("row") == F.col("node")).select("node", "doc_id", "n", "same", "sketch", "bits"))
     unstage(scanned, classes)
     lists = stage(inverted_lists(reps), heavy=True)
     crowded = lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1").select("v")
@@ -175,7 +186,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     wanted = reps.filter(F.col("n") > K).join(known, "node", "left_semi").select("node", "same", F.col("doc_id").alias("of"))
     sets = wanted.join(text, F.col("of") == text.doc_id).select("node", "same", "text").mapInArrow(set_maker(size), "node long, items binary")
     sets = stage(sets.dropDuplicates(["node"]), heavy=True)
-    sketches = stage(reps.join(known, "node", "left_semi").select("node", "n", "sketch"))
+    sketches = stage(reps.join(known, "node", "left_semi").select("node", "n", "sketch", "bits"))
     unstage(reps)
     labels = stage(known.withColumn("label", F.col("node")))
     tested, used = None, [lists, sets, sketches]
@@ -241,12 +252,17 @@ def crossing_pairs(lists: DataFrame, sets: DataFrame, sketches: DataFrame, perce
     held = held.join(rest, F.col("doc") == F.col("id"), "left").withColumn("shared", F.concat(F.coalesce("few", none), F.coalesce("many", none)))
     anew = held.select("doc", "n", "label", "alone", F.posexplode(F.slice("shared", 1, F.col("room").cast("int"))).alias("at", "p"))
     anew = anew.select(F.col("p.v").alias("v"), "doc", "n", "label", (F.col("alone") + F.col("at")).alias("rank"))
-    both = stage(short.unionByName(anew))
-    other = both.select(F.col("v").alias("w"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("rank").alias("br"))
+    bits = sketches.select("node", "bits")
+    both = short.unionByName(anew)
+    both = stage(both.join(bits, F.col("doc") == F.col("node")).drop("node"))
+    other = both.select(F.col("v").alias("w"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("rank").alias("br"), F.col("bits").alias("bb"))
     alike = 100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")
     # at the first value that a pair shares, what is left of both sets must suffice
     enough = F.least(F.col("n") - F.col("rank"), F.col("bn") - F.col("br")) * (100 + percent) >= percent * (F.col("n") + F.col("bn"))
-    return both.join(other, (F.col("v") == F.col("w")) & (F.col("label") != F.col("bl")) & (F.col("doc") < F.col("b")) & alike & enough).select(F.col("doc").alias("a"), "b")
+    # bits that differ are items that differ: a bound that no pair at the threshold fails
+    apart = sum(F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bb", F.lit(k)))) for k in range(BITS // 64))
+    within = (F.col("n") + F.col("bn") - apart) * (100 + percent) >= 2 * percent * (F.col("n") + F.col("bn"))
+    return both.join(other, (F.col("v") == F.col("w")) & (F.col("label") != F.col("bl")) & (F.col("doc") < F.col("b")) & alike & enough & within).select(F.col("doc").alias("a"), "b")
 
 
 def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
