@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.sources.staging import staged
@@ -28,3 +28,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left = staged(left.join(mx, "x").join(my, "y").select(F.col("mx").alias("x"), F.col("my").alias("y")).filter("x != y").distinct())
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(least, "label").select("id", "component")
+
+
+def kinds(members: DataFrame, component: str, is_read: Column) -> DataFrame:
+    """(component, read_, known, kind): how many ids of each side a component has, and what that makes it.
+
+    Rows that are not read are known. One read id with several known ones is merged, one known id with several read
+    ones split, several of both tangled; one side alone is spurious or missed.
+    """
+    n = members.groupBy(component).agg(F.count_distinct(F.when(is_read, F.col("id"))).alias("read_"), F.count_distinct(F.when(~is_read, F.col("id"))).alias("known"))
+    kind = F.when(F.col("known") == 0, "spurious").when(F.col("read_") == 0, "missed").when((F.col("known") == 1) & (F.col("read_") == 1), "one_to_one")
+    return n.withColumn("kind", kind.when(F.col("read_") == 1, "merged").when(F.col("known") == 1, "split").otherwise("tangled"))

@@ -152,6 +152,33 @@ def quote_score(quote: Column, text: Column) -> Column:
     return F.when(short, 0.0).when(F.contains(t, q), 1.0).when(held(50), 0.96).when(held(25), 0.92).otherwise(best_words(q, t))
 
 
+#: fixed values: words that tell nothing about a quote, the score from which it is one, the likeness of two words that
+#: are one, and the share of its telling words that must be in the text otherwise
+COMMON_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as",
+    "and", "but", "or", "not", "that", "this", "these", "those", "what", "which", "who", "i", "you", "he", "she", "it", "we", "they",
+    "my", "your", "his", "our", "their", "about", "because", "can", "could", "would", "should", "have", "has", "had", "do", "does",
+    "did", "will",
+)
+QUOTED, SAME_WORD, TELLING_SHARE = 0.65, 0.75, 0.4
+
+
+def is_quoted(quote: Column, text: Column) -> Column:
+    """Whether the text holds the quote, closely as a whole or by enough of its telling words; null for a null side.
+
+    A telling word has over three characters and is not common; the text has it as it is or in a word of over three
+    characters that is alike. Without telling words only the whole counts.
+    """
+    q, t = compared(quote), compared(text)
+    telling = F.filter(F.split(q, " "), lambda w: (F.length(w) > 3) & ~w.isin(*COMMON_WORDS))
+    words = F.array_distinct(F.split(t, " "))
+    alike = lambda w, x: 1 - F.levenshtein(w, x) / F.greatest(F.length(w), F.length(x)) > SAME_WORD
+    held = F.filter(telling, lambda w: F.array_contains(words, w) | F.exists(words, lambda x: (F.length(x) > 3) & alike(w, x)))
+    enough = (F.size(telling) > 0) & (F.size(held) > TELLING_SHARE * F.size(telling))
+    short = (F.length(q) < 3) | (F.length(t) < 3)
+    return F.when(quote.isNotNull() & text.isNotNull(), F.when(short, False).otherwise((quote_score(quote, text) >= QUOTED) | enough))
+
+
 #: fixed value: so many consonants in a row make no English word
 CONSONANTS = "[bcdfghjklmnpqrstvwxz]{4}"
 

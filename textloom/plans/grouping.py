@@ -27,6 +27,16 @@ def overlap_components(t: Tables):
     return G.components(n.select(c("node").alias("id")).distinct(), edges)
 
 
+@query(f"""WITH RECURSIVE {_BOXES}, n AS (SELECT DISTINCT page * 1000000000 + id AS node, page, x1, x2, y1, y2, side FROM b), e AS (SELECT o.node AS a, r.node AS c FROM n o JOIN n r ON o.page = r.page AND o.side = 'A' AND r.side = 'R' AND least(o.x2, r.x2) - greatest(o.x1, r.x1) >= 0.5 * least(o.x2 - o.x1, r.x2 - r.x1) AND least(o.y2, r.y2) - greatest(o.y1, r.y1) >= 0.5 * least(o.y2 - o.y1, r.y2 - r.y1)),
+s AS (SELECT a, c FROM e UNION SELECT c, a FROM e), reach AS (SELECT DISTINCT node AS a, node AS c FROM n UNION SELECT reach.a, s.c FROM reach JOIN s ON reach.c = s.a), g AS (SELECT a AS id, min(c) AS component FROM reach GROUP BY a),
+k AS (SELECT component, count(DISTINCT CASE WHEN side = 'A' THEN id END) AS read_, count(DISTINCT CASE WHEN side = 'R' THEN id END) AS known FROM g JOIN n ON node = g.id GROUP BY component)
+SELECT component, read_, known, CASE WHEN known = 0 THEN 'spurious' WHEN read_ = 0 THEN 'missed' WHEN known = 1 AND read_ = 1 THEN 'one_to_one' WHEN read_ = 1 THEN 'merged' WHEN known = 1 THEN 'split' ELSE 'tangled' END AS kind FROM k""")
+def overlap_kinds(t: Tables):
+    """What each component of overlapping boxes is: side A was read, side R is known."""
+    nodes = boxes(t).select((F.col("page") * 1000000000 + F.col("id")).alias("id"), "side").distinct()
+    return G.kinds(overlap_components(t).join(nodes, "id"), "component", F.col("side") == "A")
+
+
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at_, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE n <= 5 OR at_ IN (n * 0 // 5, n * 1 // 5, n * 2 // 5, n * 3 // 5, n * 4 // 5)""")
 def even_page_sample(t: Tables):
     w = Window.partitionBy("source")

@@ -84,6 +84,16 @@ def quote_scores(t: Tables):
     return both.select("conv_id", "turn", F.round(R.quote_score(quote, F.col("other")), 6).alias("score"))
 
 
+@query()
+def quoted_turns(t: Tables):
+    """Whether the first sentence of each turn is quoted by the next turn, over whole texts; tested against a plain walk."""
+    c = t.conversations
+    following = c.select("conv_id", F.col("text").alias("other"), (F.col("turn") - 1).alias("turn"))
+    quote = F.regexp_extract("text", "^[^.]*[.]?", 0)
+    both = c.join(following, ["conv_id", "turn"]).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn", "other")
+    return both.select("conv_id", "turn", R.is_quoted(quote, F.col("other")).alias("quoted"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 3) AS ws FROM documents) SELECT doc_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda w: regexp_matches(w, '[aeiouy]') AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{4}'))) / len(ws), 6) ELSE 0 END AS share FROM w WHERE ws IS NOT NULL""")
 def english_share(t: Tables):
     return t.documents.filter("text is not null").select("doc_id", F.round(R.vowel_share(F.split(F.lower("text"), "[^a-z]+")), 6).alias("share"))
