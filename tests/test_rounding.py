@@ -26,3 +26,9 @@ def both(spark, folder, rows, name):
 def test_spans_begin_at_the_nearest_millisecond(spark, tmp_path, ts):
     found, wanted = both(spark, str(tmp_path), [(1, ts, 1, "view", 1.0, "{}")], "adjacent_spans")
     assert found == wanted
+
+
+@pytest.mark.parametrize("values", [[2.5], [3.5], [-2.5], [2.0, 0.25, 0.25]])
+def test_completed_rounds_halves_to_even(spark, tmp_path, values):
+    found, wanted = both(spark, str(tmp_path), [(k, BEGUN, 1, "view", v, "{}") for k, v in enumerate(values)], "worker_progress")
+    assert found == wanted

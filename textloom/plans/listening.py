@@ -147,7 +147,7 @@ def duration_format(t: Tables):
 @query("""SELECT user_id, CAST(sum(value) AS BIGINT) AS completed, count(*) FILTER (WHERE event_type = 'view') AS running, round(100.0 * count(*) FILTER (WHERE event_type = 'purchase') / count(*), 2) AS percent FROM events GROUP BY user_id""")
 def worker_progress(t: Tables):
     is_ = lambda x: F.count_if(F.col("event_type") == x)
-    return t.events.groupBy("user_id").agg(F.round(F.sum("value")).cast("long").alias("completed"), is_("view").alias("running"), F.round(100.0 * is_("purchase") / F.count("*"), 2).alias("percent"))
+    return t.events.groupBy("user_id").agg(F.rint(F.sum("value")).cast("long").alias("completed"), is_("view").alias("running"), F.round(100.0 * is_("purchase") / F.count("*"), 2).alias("percent"))
 
 
 @query("""SELECT user_id, sum(CASE WHEN value > 400 THEN value END) AS seconds FROM events GROUP BY user_id""")
