@@ -32,3 +32,23 @@ def test_spans_begin_at_the_nearest_millisecond(spark, tmp_path, ts):
 def test_completed_rounds_halves_to_even(spark, tmp_path, values):
     found, wanted = both(spark, str(tmp_path), [(k, BEGUN, 1, "view", v, "{}") for k, v in enumerate(values)], "worker_progress")
     assert found == wanted
+
+
+def test_sums_at_a_half_are_those_of_the_decimals(spark, tmp_path):
+    path = f"{tmp_path}/events.parquet"
+    # 41.75 on average
+    values = [41.7, 41.8, 41.71, 41.79, 41.75, 41.73, 41.77] * 8
+    rows = [(u * 100 + k, BEGUN, u, "view", v, "{}") for u in range(9) for k, v in enumerate(values[u:] + values[:u])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(9).write.parquet(path)
+    assert {r["mean_temp"] for r in catalog.QUERIES["thermal_summary"](spark, str(tmp_path)).collect()} == {41.8}
+
+
+def test_sums_that_no_decimal_holds(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import measures
+
+    df = spark.createDataFrame([("a", 1e300), ("a", 1.0), ("b", float("nan")), ("c", None), ("d", None), ("d", 0.5), ("e", 1e-12), ("e", 2e-12)], "k string, v double")
+    out = {r["k"]: r["s"] for r in df.groupBy("k").agg(measures.steady_sum("v").alias("s")).collect()}
+    assert out["a"] == 1e300 and out["b"] != out["b"] and out["c"] is None and out["d"] == 0.5 and out["e"] == pytest.approx(3e-12)
+    assert df.filter("false").agg(measures.steady_sum("v").alias("s"), F.count("*")).first()["s"] is None

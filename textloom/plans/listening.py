@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.times import epoch
 from textloom.operators import listening as L
+from textloom.operators import measures as M
 
 from .registry import Tables, query
 
@@ -91,7 +92,7 @@ def week_month_buckets(t: Tables):
 @query("""SELECT user_id, count(*) AS samples, max(value) AS hottest, round(avg(value), 1) AS mean_temp, count(*) FILTER (WHERE event_type = 'error') * 20 AS throttled_s FROM events GROUP BY user_id""")
 def thermal_summary(t: Tables):
     return t.events.groupBy("user_id").agg(
-        F.count("*").alias("samples"), F.max("value").alias("hottest"), F.round(F.avg("value"), 1).alias("mean_temp"), (F.count_if(F.col("event_type") == "error") * 20).alias("throttled_s")
+        F.count("*").alias("samples"), F.max("value").alias("hottest"), (F.round(M.steady_sum("value") / F.count("value") * 10) / 10).alias("mean_temp"), (F.count_if(F.col("event_type") == "error") * 20).alias("throttled_s")
     )
 
 
