@@ -138,3 +138,11 @@ def test_guarded(spark):
     rows = [(1, "tbe cat sat onthe mat", "the cat sat on the tiger"), (2, "same", "same"), (3, None, "x"), (4, "a b", "a c")]
     found = {r["k"]: (r["accepted"], r["rejected"], r["per_run"]) for r in E.guarded(spark.createDataFrame(rows, "k long, old string, new string"), ["k"]).collect()}
     assert found == {1: (1, 1, "the cat sat onthe mat"), 2: (0, 0, "same"), 4: (1, 0, "a c")}
+
+
+def test_words_stay_where_their_pair_is_dealt(spark):
+    """Texts are exchanged by their keys, never words: no exchange stands above a posexplode, but for broadcasts."""
+    pairs = spark.range(100).selectExpr("id", "concat('a b ', id, ' c') AS old", "concat('a x ', id, ' c d') AS new")
+    plan = E.derived(pairs, ["id"])._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges)

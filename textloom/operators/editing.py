@@ -3,7 +3,8 @@
 Texts are split at single spaces, so joining the words gives them back. The k-th occurrence of a word in the old text
 meets its k-th in the new one by an equi-join; a pair that no other pair crosses is a fixed point. Between fixed points
 next to each other lie the runs that differ. Windows over one text pair find them, so a pair's rows meet in one task
-and no other work is done there than sorting them.
+and no other work is done there than sorting them. The pairs are dealt by their keys once, as texts; words and edits
+stay where their pair is.
 """
 
 from __future__ import annotations
@@ -21,24 +22,35 @@ WIDEST = LONGEST_ANCHOR // 2
 SAME_MARK = ("‘’‚‛′“”„‟″‐‑‒–—−", "'''''\"\"\"\"\"------")
 
 
+def dealt(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs by their keys: windows, joins and aggregates by these and more need no other exchange.
+
+    The count of partitions is given, as a small exchange of texts would be merged for what are many rows of words.
+    """
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fixed_points(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j): words of `old` and `new` that stand for each other, and one row at the end of each pair."""
     pairs = pairs.filter("old is not null and new is not null")
 
     def words(side: str, place: str) -> DataFrame:
-        rows = pairs.select(*keys, F.posexplode(F.split(side, " ", -1)).alias(place, "word"))
+        # the end is a word that no text holds
+        rows = pairs.select(*keys, F.posexplode(F.array_append(F.split(side, " ", -1), F.lit(" "))).alias(place, "word"))
         return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(place)))
 
     met = words("old", "i").join(words("new", "j"), [*keys, "word", "nth"]).select(*keys, "i", "j")
     # what follows is what stands before in the other order, which a window reads once
     before, after = (Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("i"), F.desc("i")))
     uncrossed = (F.col("j") > F.coalesce(F.max("j").over(before), F.lit(-1))) & (F.col("j") < F.coalesce(F.min("j").over(after), F.lit(1 << 30)))
-    ends = pairs.select(*keys, F.size(F.split("old", " ", -1)).alias("i"), F.size(F.split("new", " ", -1)).alias("j"))
-    return met.withColumn("_kept", uncrossed).filter("_kept").drop("_kept").unionByName(ends)
+    return met.withColumn("_kept", uncrossed).filter("_kept").drop("_kept")
 
 
 def runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i0, i1, j0, j1): stretches of words that differ, one row for each; a pair of equal texts has none."""
+    """(keys, i0, i1, j0, j1): stretches of words that differ, one row for each; a pair of equal texts has none.
+
+    pairs that are dealt stay where they are.
+    """
     by_place = Window.partitionBy(*keys).orderBy("i")
     found = fixed_points(pairs, keys).withColumn("i0", F.lag("i", 1, -1).over(by_place) + 1).withColumn("j0", F.lag("j", 1, -1).over(by_place) + 1)
     return found.filter("i0 < i or j0 < j").select(*keys, "i0", F.col("i").alias("i1"), "j0", F.col("j").alias("j1"))
@@ -60,6 +72,7 @@ def derived(pairs: DataFrame, keys: list[str]) -> DataFrame:
     at a time, until its text stands once in the old text. Edits that overlap, that are too long, hold a line break or
     an arrow (the mark of a written edit), or together touch too much, make the whole list unsafe.
     """
+    pairs = dealt(pairs, keys)
     texts = pairs.filter("old is not null and new is not null").select(*keys, "old", "new", F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
     by_place = Window.partitionBy(*keys).orderBy("i0", "i1")
     rows = runs(pairs, keys).join(texts, keys)
@@ -139,6 +152,7 @@ def plausible(gone: Column, new: Column, most: int = WORD_EDITS) -> Column:
 
 def guarded(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, accepted, rejected, per_run): changed runs by whether they are plausible, and old with those that are."""
+    pairs = dealt(pairs, keys)
     texts = pairs.filter("old is not null and new is not null").select(*keys, F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
     rows = runs(pairs, keys).join(texts, keys)
     gone, new = (F.slice(w, F.col(a) + 1, F.col(b) - F.col(a)) for w, a, b in (("ow", "i0", "i1"), ("nw", "j0", "j1")))
