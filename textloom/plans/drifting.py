@@ -27,7 +27,8 @@ a AS (SELECT doc_id, sent, start, off, CASE WHEN n < 3 THEN 'short' WHEN found I
 
 def read_out(t: Tables) -> DataFrame:
     """The cues of all documents, audited."""
-    docs = t.documents.filter(F.length("text") > 0)
+    # texts are dealt once, into so many parts that their words can be sorted there: windows and joins are all inside a text
+    docs = t.documents.filter(F.length("text") > 0).select("doc_id", "text").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
     heard = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word")).withColumn("at", F.col("pos") / RATE)
     pieces = docs.select("doc_id", F.length("text").alias("n_chars"), F.size(words(F.col("text"))).alias("n_words"), F.posexplode(F.split("text", "[.!?]")).alias("sent", "piece"))
