@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.sources.staging import staged
+
+#: stretches that a group's range of values is counted in
+BINS = 1000
 #: how a quantile q of n sorted values picks an index from 0
 RULES = {
     "nearest": lambda q, n: F.bround(q * (n - 1)),
@@ -29,12 +35,26 @@ def steady_sum(value: str) -> Column:
 def ranked_value(df: DataFrame, keys: list[str], value: str, quantiles: list[float], rule: str = "nearest") -> DataFrame:
     """One column q<percent> for each quantile: the value whose place in its group's order the rule names.
 
-    A sort within each group and a filter on its row number: no group is gathered in one array.
+    Values are counted in BINS equal stretches of their group's range; only the stretches that hold a wanted place are
+    sorted, so a group of any size is counted by all tasks. A range that has no finite width is one stretch.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(order) - 1).alias("_at"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    picks = [F.max(F.when(F.col("_at") == RULES[rule](F.lit(q), F.col("_n")).cast("long"), F.col(value))).alias(f"q{round(q * 100)}") for q in quantiles]
-    return rows.groupBy(*keys).agg(*picks)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    as_double = F.col(value).cast("double")
+    finite = F.when(~F.isnan(as_double), as_double)
+    bounds = staged(rows.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count("*").alias("_n")))
+    same = lambda a, b, columns: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+    wide = F.col("_hi") - F.col("_lo")
+    # neither rounding nor the cast puts a larger value in an earlier stretch
+    stretch = F.when(F.isnan(as_double), BINS + 1).when((wide > 0) & (wide < float("inf")), F.floor((as_double - F.col("_lo")) / wide * BINS)).otherwise(0)
+    met = rows.join(bounds, same(rows, bounds, keys)).select(*[rows[k] for k in keys], rows[value], stretch.cast("int").alias("_bin"), "_n")
+    counts = met.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c"))
+    places = [RULES[rule](F.lit(q), F.col("_n")).cast("long") for q in quantiles]
+    near = staged(counts.filter(reduce(lambda x, y: x | y, [(at >= F.col("_before")) & (at < F.col("_before") + F.col("_c")) for at in places])).select(*keys, "_bin", "_before"))
+    held = met.join(near, same(met, near, [*keys, "_bin"])).select(*[met[k] for k in keys], met[value], met["_bin"], met["_n"], near["_before"])
+    ranked = held.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(value)) - 1 + F.col("_before"))
+    picks = [F.max(F.when(F.col("_at") == at, F.col(value))).alias(f"q{round(q * 100)}") for q, at in zip(quantiles, places, strict=True)]
+    return ranked.groupBy(*keys).agg(*picks)
 
 
 def histogram(df: DataFrame, value: Column, edges: list[float], label: str = "bucket") -> DataFrame:
