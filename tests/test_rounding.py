@@ -36,11 +36,11 @@ def test_completed_rounds_halves_to_even(spark, tmp_path, values):
 
 def test_sums_at_a_half_are_those_of_the_decimals(spark, tmp_path):
     path = f"{tmp_path}/events.parquet"
-    # 41.75 on average
-    values = [41.7, 41.8, 41.71, 41.79, 41.75, 41.73, 41.77] * 8
-    rows = [(u * 100 + k, BEGUN, u, "view", v, "{}") for u in range(9) for k, v in enumerate(values[u:] + values[:u])]
-    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(9).write.parquet(path)
-    assert {r["mean_temp"] for r in catalog.QUERIES["thermal_summary"](spark, str(tmp_path)).collect()} == {41.8}
+    # 41.75 on average; added in this order, doubles make less of them
+    values = [67.01, 35.63, 1.72, 39.66, 35.96, 57.72, 56.9, 10.75, 0.17, 9.67, 24.27, 34.62, 36.77, 66.4, 70.6, 63.1, 2.32, 51.38, 18.65, 30.5, 17.74, 17.5, 17.33, 18.3, 39.63, 2.04, 23.18, 75.13, 35.03, 14.87, 43.31, 60.98, 75.62, 57.72, 208.79, 53.62, 18.47, 2.27, 33.77, 7.51, 44.52, 52.13, 72.11, 47.01, 68.8, 67.79, 20.41, 66.86, 74.92, 26.62, 79.4, 33.77, 61.1, 2.45]
+    rows = [(k, BEGUN, 1, "view", v, "{}") for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(path)
+    assert catalog.QUERIES["thermal_summary"](spark, str(tmp_path)).first()["mean_temp"] == 41.8
 
 
 def test_sums_that_no_decimal_holds(spark):
