@@ -1,22 +1,24 @@
 """Where the blocks of a text stand in a stream of words: votes, the main flow, proof, and a search between neighbours.
 
-Everything is rows: a gram meets the stream by an equi-join, a window of the stream is its positions joined to it, so no
-task holds two texts against each other. Only the main flow, a longest rising chain, goes through a text's anchors in
-order: one sorted pass to build it and one back to read it, with one row in hand and the ends of the chains so far.
+A text and its blocks are one row, dealt by Spark: what is looked up are the text's own words, so no word leaves its
+row. The work of a text is that of its grams, and of the tries of blocks without a place between their neighbours.
 """
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.sources.staging import staged
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: fixed values: words of a gram and places that one may have, words from which a block needs two votes, the share of
 #: words to find on and off the flow and between neighbours, words before and after a block's place, and of a search
 GRAM, MOST_PLACES, LONG_BLOCK, ON_FLOW, OFF_FLOW, RESCUED, BEFORE, AFTER, MARGIN, BLIND = 4, 2, 12, 0.55, 0.7, 0.6, 3, 5, 40, 600
@@ -60,62 +62,118 @@ def rising_chain(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
     return back.mapInArrow(follow, f"{key} {kinds[key]}, {order} {kinds[order]}")
 
 
-def grams(stream: DataFrame, key: str, size: int = GRAM) -> DataFrame:
-    """(key, gram, pos) of the grams of stream (key, pos, word) that stand at MOST_PLACES places of their text at most."""
-    order = Window.partitionBy(key).orderBy("pos")
-    rows = stream.select(key, "pos", F.concat_ws(" ", *[F.lead("word", k).over(order) for k in range(size)]).alias("gram"), F.lead("pos", size - 1).over(order).alias("_last")).filter("_last is not null")
-    rare = rows.groupBy(key, "gram").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_PLACES).select(key, "gram")
-    return rows.select(key, "gram", "pos").join(rare, [key, "gram"])
-
-
-def anchors(blocks: DataFrame, stream: DataFrame, key: str, size: int = GRAM) -> DataFrame:
-    """(key, block, est): the place that most rare grams of a block vote for, the first of equal ones."""
-    own = blocks.select(key, "block", F.size("words").alias("n"), F.posexplode(F.when(F.size("words") >= size, F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " ")))).alias("i", "gram"))
-    votes = own.join(grams(stream, key, size), [key, "gram"]).groupBy(key, "block", "n", (F.col("pos") - F.col("i")).alias("est")).agg(F.count("*").alias("v"))
-    best = votes.groupBy(key, "block", "n").agg(F.min_by(F.struct("est", "v"), F.struct(-F.col("v"), "est")).alias("b"))
-    return best.filter(F.col("b.v") >= F.when(F.col("n") >= LONG_BLOCK, 2).otherwise(1)).select(key, "block", "b.est")
-
-
-def ordered_share(words: Column, window: Column) -> Column:
-    """Share of words that a window holds in order: each is looked for after the last one found, those that are not there are passed."""
-
-    def step(acc: Column, word: Column) -> Column:
-        at = F.array_position(F.slice(window, acc["at"], F.size(window)), word).cast("int")
-        return F.struct(F.when(at > 0, acc["at"] + at).otherwise(acc["at"]).alias("at"), (acc["hit"] + F.when(at > 0, 1).otherwise(0)).alias("hit"))
-
-    hits = F.aggregate(words, F.struct(F.lit(1).alias("at"), F.lit(0).alias("hit")), step)["hit"]
-    return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
+def in_order(words: list[str], places: dict[str, list[int]], start: int, end: int, least: float = 0.0) -> float:
+    """Share of words that a stream holds in order from start up to end: each is looked for after the last one found.
 
+    Words that are not there are passed; a share that can't reach `least` any more is 0.
+    """
+    at, hit, spare = max(0, start), 0, len(words)
+    for word in words:
+        where = places.get(word, ())
+        k = bisect_left(where, at)
+        if k < len(where) and where[k] < end:
+            at, hit = where[k] + 1, hit + 1
+        else:
+            spare -= 1
+            if spare / len(words) < least:
+                return 0.0
+    return hit / len(words) if words else 0.0
+
+
+def anchored(blocks: list[tuple[int, list[str]]], stream: list[str]) -> dict[int, int]:
+    """The place that most rare grams of a block vote for, the first of equal ones."""
+    wanted = {tuple(words[i : i + GRAM]) for _, words in blocks for i in range(len(words) - GRAM + 1)}
+    index: dict[tuple, list[int]] = {}
+    for i in range(len(stream) - GRAM + 1):
+        gram = tuple(stream[i : i + GRAM])
+        if gram in wanted:
+            index.setdefault(gram, []).append(i)
+    found = {}
+    for block, words in blocks:
+        votes: dict[int, int] = {}
+        for i in range(len(words) - GRAM + 1):
+            at = index.get(tuple(words[i : i + GRAM]), ())
+            for pos in at if len(at) <= MOST_PLACES else ():
+                votes[pos - i] = votes.get(pos - i, 0) + 1
+        place, most = min(votes.items(), key=lambda v: (-v[1], v[0]), default=(0, 0))
+        if most >= (2 if len(words) >= LONG_BLOCK else 1):
+            found[block] = place
+    return found
+
+
+def main_flow(found: dict[int, int]) -> set[int]:
+    """Blocks of a longest chain whose places strictly rise; of equal ones that of the least end."""
+    ends, tails, parent = [], [], {}
+    for block, place in sorted(found.items()):
+        k = bisect_left(ends, place)
+        parent[block] = tails[k - 1] if k else None
+        ends[k : k + 1], tails[k : k + 1] = [place], [block]
+    flow, at = set(), tails[-1] if tails else None
+    while at is not None:
+        flow.add(at)
+        at = parent[at]
+    return flow
+
+
+def places_in(blocks: list[tuple[int, list[str]]], stream: list[str]) -> list[tuple[int, int, float, bool | None]]:
+    """(block, pos, ratio, flow) of one text: votes, the flow, proof, then a search between the neighbours on the flow."""
+    places: dict[str, list[int]] = {}
+    for pos, word in enumerate(stream):
+        places.setdefault(word, []).append(pos)
+    blocks = sorted(blocks)
+    found = anchored(blocks, stream)
+    flow, matched = main_flow(found), {}
+    for block, words in blocks:
+        if block in found:
+            at = found[block]
+            ratio = in_order(words, places, at - BEFORE, at + len(words) + AFTER)
+            if ratio >= (ON_FLOW if block in flow else OFF_FLOW):
+                matched[block] = (block, at, ratio, block in flow)
+    out, following, last = list(matched.values()), {}, None
+    for block, _ in reversed(blocks):
+        following[block] = last
+        if block in matched and block in flow:
+            last = matched[block][1]
+    last = None
+    for block, words in blocks:
+        if block in matched:
+            last = matched[block][1] + len(words) if block in flow else last
+            continue
+        after, n = following[block], len(words)
+        if not n or (last is None and after is None):
+            continue
+        lo = max(0, (last if last is not None else after - BLIND) - MARGIN)
+        hi = min(len(stream), (after if after is not None else last + BLIND) + MARGIN)
+        tries = [(in_order(words, places, at, at + n + AFTER, RESCUED), -at) for at in range(lo, hi - n + 1, max(1, n // 2))]
+        best = max(tries, default=(0.0, 0))
+        if best[0] >= RESCUED:
+            out.append((block, -best[1], best[0], None))
+    return out
+
+
+def placed_in_texts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, block, pos, ratio, flow) of texts (key, words, blocks), a row a text with its words and its (block, words)."""
+    kind = dict(texts.select(key).dtypes)[key]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a text at a time: a batch may hold thousands
+                own = [(b["block"], b["words"] or []) for b in batch["blocks"][i].as_py() or []]
+                rows = places_in(own, batch["words"][i].as_py() or [])
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch[key][i], len(rows)), *columns], [key, "block", "pos", "ratio", "flow"])
 
-def proven(places: DataFrame, stream: DataFrame, key: str, before: int) -> DataFrame:
-    """places (key, block, words, est, ...) with `ratio`, the share of the block's words in order around est."""
-    spread = places.select(key, "block", "est", F.explode(F.sequence(F.greatest(F.lit(0), F.col("est") - before), F.greatest(F.lit(0), F.col("est") + F.size("words") + AFTER - 1))).alias("pos"))
-    window = spread.join(stream.select(key, "pos", "word"), [key, "pos"]).groupBy(key, "block", "est").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("window"))
-    return places.join(window, [key, "block", "est"], "left").withColumn("ratio", ordered_share(F.col("words"), F.coalesce("window", F.array().cast("array<string>")))).drop("window")
+    return texts.select(key, "words", "blocks").mapInArrow(place, f"{key} {kind}, block long, pos long, ratio double, flow boolean")
 
 
 def placed_blocks(blocks: DataFrame, stream: DataFrame, key: str) -> DataFrame:
     """(key, block, pos, ratio, flow) of the blocks (key, block, words) that are found in the stream (key, pos, word).
 
-    flow: on the main flow; null for blocks found between the neighbours. Blocks off the flow need stronger proof.
+    flow: on the main flow; null for blocks found between the neighbours. Blocks off the flow need stronger proof. A
+    text's positions count from 0 without gaps; its words and its blocks are brought together once.
     """
-    blocks = staged(blocks.select(key, F.col("block").cast("long").alias("block"), "words"))
-    stream = staged(stream.select(key, F.col("pos").cast("long").alias("pos"), "word"))
-    found = staged(anchors(blocks, stream, key))
-    flow = rising_chain(found, key, "block", "est").withColumn("flow", F.lit(True))
-    rows = proven(found.join(blocks, [key, "block"]), stream, key, BEFORE).join(flow, [key, "block"], "left").withColumn("flow", F.coalesce("flow", F.lit(False)))
-    matched = staged(rows.filter(F.col("ratio") >= F.when(F.col("flow"), ON_FLOW).otherwise(OFF_FLOW)).select(key, "block", F.col("est").alias("pos"), "ratio", "flow"))
-    # blocks without a place look between the nearest ones on the flow
-    all_ = blocks.join(matched, [key, "block"], "left")
-    order = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(key).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = all_.select(key, "block", "words", "pos", F.last(F.when(F.col("flow"), F.col("pos") + F.size("words")), True).over(order).alias("prev"), F.last(F.when(F.col("flow"), F.col("pos")), True).over(back).alias("next"))
-    size = stream.groupBy(key).agg((F.max("pos") + 1).alias("m"))
-    gaps = ends.filter("pos is null and (prev is not null or next is not null)").filter(F.size("words") > 0).join(size, key)
-    lo = F.greatest(F.lit(0), F.coalesce("prev", F.col("next") - BLIND) - MARGIN)
-    hi = F.least("m", F.coalesce("next", F.col("prev") + BLIND) + MARGIN)
-    n = F.size("words")
-    tries = gaps.withColumn("lo", lo).withColumn("hi", hi - n).filter("hi >= lo").withColumn("est", F.explode(F.sequence("lo", "hi", F.greatest(F.lit(1), F.floor(n / 2)).cast("long"))))
-    tried = proven(tries.select(key, "block", "words", "est"), stream, key, 0)
-    best = tried.groupBy(key, "block").agg(F.max_by(F.struct("est", "ratio"), F.struct("ratio", -F.col("est"))).alias("b")).filter(F.col("b.ratio") >= RESCUED)
-    return matched.unionByName(best.select(key, "block", F.col("b.est").alias("pos"), "b.ratio", F.lit(None).cast("boolean").alias("flow")))
+    own = blocks.groupBy(key).agg(F.collect_list(F.struct(F.col("block").cast("long").alias("block"), "words")).alias("blocks"))
+    words = stream.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
+    return placed_in_texts(own.join(words, key), key)
