@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import windows as W
+from textloom.sources.staging import staged
 
 from .registry import Tables, query
 
@@ -22,6 +23,8 @@ def quality_report(t: Tables):
 
 #: words of a language by which it is told
 STOPWORDS = 32
+#: listed words that go to every task; more are joined by a shuffle
+MOST_LISTED = 100_000
 
 
 @query(f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT lang AS told, word, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {STOPWORDS}),
@@ -29,14 +32,16 @@ s AS (SELECT doc_id, told, sum(c.n) AS hits FROM c JOIN f USING (word) GROUP BY
 SELECT doc_id, told, round(hits / total, 6) AS share FROM s JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, told) = 1""")
 def stopword_language(t: Tables):
     """The language whose most common words make up most of a text; the word lists come from the labelled documents."""
-    w = t.documents.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("word"))
-    seen = w.filter("lang is not null").groupBy(F.col("lang").alias("told"), "word").agg(F.count("*").alias("n"))
-    lists = W.top(seen, ["told"], [F.desc("n"), F.asc("word")], STOPWORDS).select("told", "word")
-    counts = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    hits = counts.join(lists, "word").groupBy("doc_id", "told").agg(F.sum("n").alias("hits"))
-    best = hits.groupBy("doc_id").agg(F.min_by(F.struct("told", "hits"), F.struct(-F.col("hits"), F.col("told"))).alias("b"))
-    total = counts.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    return best.join(total, "doc_id").select("doc_id", "b.told", F.round(F.col("b.hits") / F.col("total"), 6).alias("share"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("word")
+    seen = t.documents.filter("lang is not null").select(F.col("lang").alias("told"), words).groupBy("told", "word").agg(F.count("*").alias("n"))
+    lists = staged(W.top(seen, ["told"], [F.desc("n"), F.asc("word")], STOPWORDS).groupBy("word").agg(F.collect_list("told").alias("tolds")))
+    # a word meets the lists where its text is read; a row a text and language leaves there
+    lists = F.broadcast(lists) if lists.count() <= MOST_LISTED else lists
+    met = t.documents.filter("doc_id is not null").select("doc_id", words).join(lists, "word", "left").select("doc_id", F.posexplode_outer("tolds").alias("at", "told"))
+    hits = met.groupBy("doc_id", "told").agg(F.count("*").alias("hits"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("words"))
+    named = F.when(F.col("told").isNotNull(), F.struct(-F.col("hits"), F.col("told")))
+    best = hits.groupBy("doc_id").agg(F.min_by(F.struct("told", "hits"), named).alias("b"), F.sum("words").alias("total")).filter("b is not null")
+    return best.select("doc_id", "b.told", F.round(F.col("b.hits") / F.col("total"), 6).alias("share"))
 
 
 @query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT d.source, l.doc_id, regexp_replace(line, '[0-9]+', '#', 'g') AS key FROM l JOIN documents d USING (doc_id) WHERE length(line) BETWEEN 1 AND 80), n AS (SELECT source, count(*) AS docs FROM documents GROUP BY source), c AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k GROUP BY ALL)
