@@ -12,10 +12,13 @@ MOST_LETTERS, LEAST_SHARE, LEAST_SEEN, SIGN_SHARE, SIGN_WORDS = 2, 0.70, 2, 0.80
 WELDED = r"^([a-z]*)([^\p{L}\p{N}\s'’.,;:!?()\[\]\"“”‘«»…/_–—-])([a-z]+)$"
 
 
-def welded(tokens: DataFrame, token: str) -> DataFrame:
-    """(token, prefix, sign, suffix, n): distinct tokens of three letters or more with one sign among them, and how often they occur."""
+def welded(tokens: DataFrame, token: str, n: str | None = None) -> DataFrame:
+    """(token, prefix, sign, suffix, n): distinct tokens of three letters or more with one sign among them, and how often they occur.
+
+    n: the column with how often a row's token occurs, where the rows are counted already.
+    """
     low = F.lower(F.col(token))
-    rows = tokens.select(low.alias("token")).filter(F.col("token").rlike(WELDED)).groupBy("token").agg(F.count("*").alias("n"))
+    rows = tokens.select(low.alias("token"), (F.col(n) if n else F.lit(1)).alias("n")).filter(F.col("token").rlike(WELDED)).groupBy("token").agg(F.sum("n").alias("n"))
     part = lambda k: F.regexp_extract("token", WELDED, k)
     return rows.select("token", part(1).alias("prefix"), part(2).alias("sign"), part(3).alias("suffix"), "n").filter(F.length("prefix") + F.length("suffix") >= 3)
 

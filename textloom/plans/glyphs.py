@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import damage as D
 from textloom.operators import intervals as I
+from textloom.sources.staging import staged
 
 from .registry import Tables, query
 
@@ -35,6 +36,17 @@ def _tokens_sql() -> str:
 v AS (SELECT token AS word, count(*) AS n FROM t WHERE regexp_full_match(token, '[a-z]{{2,}}') GROUP BY token)"""
 
 
+def _tokens(t: Tables):
+    """(token, n): the tokens of the texts as they are read; each form is counted before it is looked at."""
+    text = F.col("text")
+    for letters, sign in READ_AS:
+        text = F.replace(text, F.lit(letters), F.lit(sign))
+    read = F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.col("text"))
+    raw = t.documents.select(F.explode(F.regexp_extract_all(read, F.lit(TOKEN), F.lit(0))).alias("w"))
+    forms = raw.groupBy("w").agg(F.count("*").alias("n"))
+    return forms.select(F.lower(F.regexp_replace("w", r"[.,;:!?()\[\]]+$", "")).alias("token"), "n")
+
+
 _W = D.WELDED.replace("'", "''")
 
 
@@ -48,25 +60,15 @@ h AS (SELECT sign, fill, sum(n) AS n FROM s GROUP BY ALL), q AS (SELECT sign, su
 SELECT sign, fill, CAST(r.n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, words, r.n >= {D.SIGN_SHARE} * total AND words >= {D.SIGN_WORDS} AS sure FROM r JOIN q USING (sign)""")
 def substitution_table(t: Tables):
     """What each sign inside words stands for, by the words that the documents themselves hold."""
-    text = F.col("text")
-    for letters, sign in READ_AS:
-        text = F.replace(text, F.lit(letters), F.lit(sign))
-    read = F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.col("text"))
-    raw = t.documents.select(F.explode(F.regexp_extract_all(read, F.lit(TOKEN), F.lit(0))).alias("w"))
-    tokens = raw.select(F.lower(F.regexp_replace("w", r"[.,;:!?()\[\]]+$", "")).alias("token"))
-    words = tokens.filter(F.col("token").rlike("^[a-z]{2,}$")).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
-    return D.substitutions(words, D.welded(tokens, "token"))
+    tokens = staged(_tokens(t))
+    words = tokens.filter(F.col("token").rlike("^[a-z]{2,}$")).groupBy(F.col("token").alias("word")).agg(F.sum("n").alias("n"))
+    return D.substitutions(staged(words), staged(D.welded(tokens, "token", "n")))
 
 
 @query(rf"""WITH {_tokens_sql()} SELECT regexp_extract(token, '{_W}', 2) AS sign, CASE WHEN regexp_extract(token, '{_W}', 1) = '' THEN 'begin' ELSE 'inside' END AS place, count(*) AS n, count(DISTINCT token) AS words FROM t
 WHERE regexp_matches(token, '{_W}') AND length(regexp_extract(token, '{_W}', 1)) + length(regexp_extract(token, '{_W}', 3)) >= 3 GROUP BY ALL""")
 def welded_signs(t: Tables):
     """Signs at the begin of and inside words, with how often they occur."""
-    text = F.col("text")
-    for letters, sign in READ_AS:
-        text = F.replace(text, F.lit(letters), F.lit(sign))
-    read = F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.col("text"))
-    raw = t.documents.select(F.explode(F.regexp_extract_all(read, F.lit(TOKEN), F.lit(0))).alias("w"))
-    found = D.welded(raw.select(F.regexp_replace("w", r"[.,;:!?()\[\]]+$", "").alias("token")), "token")
+    found = D.welded(_tokens(t), "token", "n")
     place = F.when(F.col("prefix") == "", "begin").otherwise("inside").alias("place")
     return found.groupBy("sign", place).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
