@@ -9,9 +9,11 @@ from __future__ import annotations
 import bisect
 import difflib
 import sys
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +75,23 @@ def pack(lengths: list[int], cap: int, gap: int = 1) -> list[int]:
 
 
 def packed(column: Column, cap: int) -> Column:
-    """Chunk numbers of the pieces of an array<string> column, packed greedily up to cap characters."""
+    """Chunk numbers of the pieces of an array<string> column, packed greedily up to cap characters.
 
-    @F.pandas_udf("array<int>")
-    def find(pieces: pd.Series) -> pd.Series:
-        return pieces.map(lambda v: None if v is None else pack([len(x) for x in v], cap))
+    Only the lengths go to Python, a row's at a time.
+    """
 
-    return find(column)
+    @F.arrow_udf("array<int>")
+    def find(lengths: pa.Array) -> pa.Array:
+        out, ends, valid = array("i"), array("i", [0]), []
+        for row in lengths:
+            if row.is_valid:
+                out.extend(pack(row.as_py(), cap))
+            ends.append(len(out))
+            valid.append(row.is_valid)
+        offsets = pa.array([e if v else None for e, v in zip(ends, [*valid, True], strict=True)], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(memoryview(out), pa.int32()))
+
+    return find(F.transform(column, lambda x: F.length(x)))
 
 
 def word_changes(old: list[str], new: list[str]) -> list[dict]:
