@@ -18,6 +18,7 @@ RULES = {
     "floor_n": lambda q, n: F.least(n - 1, F.floor(n * q)),
     "floor_n1": lambda q, n: F.floor(q * (n - 1)),
     "upper_middle": lambda q, n: F.floor(n / 2),
+    "ceil_n1": lambda q, n: F.ceil(q * (n - 1)),
 }
 
 
@@ -57,6 +58,26 @@ def ranked_value(df: DataFrame, keys: list[str], value: str, quantiles: list[flo
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def interpolated(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """(keys, n, q<percent>...): quantiles between the two values around their place; n counts the values that are there.
+
+    The values are those of ranked_value, so no task holds the distinct values of a group.
+    """
+    low, high = (ranked_value(df, keys, value, quantiles, rule) for rule in ("floor_n1", "ceil_n1"))
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    parts = {"low": low, "high": high, "n": n}
+    names = [f"q{round(q * 100)}" for q in quantiles]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(*keys, *[F.col(c).alias(f"_{side}_{c}") for c in df.columns if c not in keys]) for side, df in parts.items()])
+    one = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rows.columns if c not in keys])
+
+    def between(q: float, name: str) -> Column:
+        at = F.lit(q) * (F.col("_n_n") - 1)
+        a, b = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b).cast("double").alias(name)
+
+    return one.select(*keys, F.col("_n_n").alias("n"), *[between(q, name) for q, name in zip(quantiles, names, strict=True)])
+
+
 def histogram(df: DataFrame, value: Column, edges: list[float], label: str = "bucket") -> DataFrame:
     """Counts by the first edge that is not below the value, all edges present, the rest under 'over'."""
     names = [f"<={e:g}" for e in edges] + ["over"]
