@@ -3,7 +3,15 @@
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from textloom.catalog import QUERIES
+from textloom.operators import damage as D
+from textloom.operators import measures as M
+from textloom.operators import normal as N
+from textloom.operators import sequences as S
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,3 +25,50 @@ def plan(df):
 
 def test_placed_blocks_moves_no_words(spark):
     assert "Exchange" not in plan(QUERIES["placed_blocks"](spark, DATA))
+
+
+def test_token_profile_deals_texts(spark):
+    assert "explode" not in plan(QUERIES["token_profile"](spark, DATA))
+
+
+def test_stopword_language_moves_no_words(spark):
+    shown = plan(QUERIES["stopword_language"](spark, DATA))
+    assert "BroadcastHashJoin" in shown and "hashpartitioning(doc_id" in shown and "hashpartitioning(word" not in shown
+
+
+def test_interpolated(spark):
+    values = {"a": [float(k * k % 101) for k in range(500)], "b": [3.0], "c": [1.0, 2.5], None: [5.0, None, 7.0], "d": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    out = {r["k"]: r for r in M.interpolated(rows, ["k"], "v", [0.5, 0.95]).collect()}
+    assert out.keys() == values.keys() - {"d"}
+    for k, r in out.items():
+        here = [v for v in values[k] if v is not None]
+        assert r["n"] == len(here) and [r["q50"], r["q95"]] == pytest.approx([np.quantile(here, q) for q in (0.5, 0.95)])
+
+
+def test_summary_stats_holds_no_group_of_values(spark):
+    assert "percentile(" not in plan(QUERIES["summary_stats"](spark, DATA))
+
+
+def test_packing_takes_lengths(spark):
+    texts = ["aaaa", "bb", "ccc", "d"] * 3
+    rows = spark.createDataFrame([(1, texts), (2, []), (3, None)], "id int, pieces array<string>")
+    packed = rows.select("id", S.packed(F.col("pieces"), 8).alias("chunks"))
+    assert "transform(" in plan(packed)
+    assert {r["id"]: r["chunks"] for r in packed.collect()} == {1: S.pack([len(x) for x in texts], 8), 2: [], 3: None}
+
+
+def test_placed_words_of_ascii_and_others():
+    for text in ("It's 5 o'clock_now, A-B", "Ça—o’clock ﬁx It's", ""):
+        found = N.placed_words(text)
+        assert [text[a:b].lower().replace("’", "'") for _, a, b in found if text.isascii()] == [w for w, _, _ in found if text.isascii()]
+    assert N.placed_words("Don't x") == [("don't", 0, 5), ("x", 6, 7)]
+
+
+def test_normal_forms_come_back_as_digests(spark):
+    assert "md5(" not in plan(QUERIES["normal_forms"](spark, DATA))
+
+
+def test_tokens_are_counted_before_they_are_looked_at(spark):
+    words = spark.createDataFrame([("h¤llo", 3), ("H¤llo", 2), ("plain", 9)], "token string, n long")
+    assert [(r["token"], r["n"]) for r in D.welded(words, "token", "n").collect()] == [("h¤llo", 5)]

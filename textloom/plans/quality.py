@@ -60,8 +60,13 @@ def word_interior_junk(t: Tables):
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')) AS w FROM documents) SELECT doc_id, count(*) AS tokens, count(*) FILTER (WHERE regexp_matches(w, '@|://|^/|[0-9]+[.][0-9]+[.]')) AS identifiers, count(DISTINCT w) AS forms, round(avg(length(w)), 4) AS mean_length FROM w GROUP BY doc_id""")
 def token_profile(t: Tables):
-    w = t.documents.select("doc_id", F.explode(F.split("text", "[ \t\n\r]+")).alias("w")).filter("w <> ''")
-    return w.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("w").rlike(r"@|://|^/|[0-9]+[.][0-9]+[.]")).alias("identifiers"), F.count_distinct("w").alias("forms"), F.round(F.avg(F.length("w")), 4).alias("mean_length"))
+    # rows of one doc_id are one text: whole texts are dealt, not their words
+    whole = t.documents.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    w = whole.select("doc_id", F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "").alias("w")).filter(F.size("w") > 0)
+    identifiers = F.filter("w", lambda w: w.rlike(r"@|://|^/|[0-9]+[.][0-9]+[.]"))
+    letters = F.aggregate("w", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+    n = F.size("w").cast("long")
+    return w.select("doc_id", n.alias("tokens"), F.size(identifiers).cast("long").alias("identifiers"), F.size(F.array_distinct("w")).cast("long").alias("forms"), F.round(letters / n, 4).alias("mean_length"))
 
 
 @query("""WITH v AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) SELECT word, count(*) AS n FROM v GROUP BY word""")
