@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: fixed values, in the order in which they are replaced: abbreviations that lose their full stops
 ABBREVIATIONS = (
     "U.S. U.K. U.N. E.U. U.S.A. U.S.S.R. Dr. Mr. Mrs. Ms. Prof. Jr. Sr. Rev. Gen. Col. Lt. Sgt. Capt. Gov. Sen. Rep. "
@@ -134,14 +141,109 @@ def compared(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
 
 
+#: windows times 64-character stretches of their quotes that are looked at together
+LANES = 1 << 16
+
+
+def window_likeness(pairs: list[tuple[str, str]]) -> list[float]:
+    """The best likeness of each quote to as many neighbouring words of its text, two more or two less; 0 if there are none.
+
+    A window's distances are those of its begin: one walk over the longest window from a word gives them for all sizes.
+    Columns of the distance table are kept as bits, 64 rows a number, and all windows take a step together.
+    """
+    best, waiting, lanes = [0.0] * len(pairs), {}, {}
+    for i, (quote, text) in enumerate(pairs):
+        size = (len(quote) + 63) // 64
+        waiting.setdefault(size, []).append(i)
+        lanes[size] = lanes.get(size, 0) + size * (text.count(" ") + 1)
+        if lanes[size] >= LANES:
+            _likeness_together(waiting.pop(size), size, pairs, best)
+            lanes[size] = 0
+    for size, rows in waiting.items():
+        _likeness_together(rows, size, pairs, best)
+    return best
+
+
+def _likeness_together(rows: list[int], size: int, pairs: list[tuple[str, str]], best: list[float]) -> None:
+    """best of the rows, whose quotes all take `size` numbers of 64 bits."""
+    points = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    quotes = [points(pairs[i][0]) for i in rows]
+    letters = np.unique(np.concatenate(quotes))
+    text = points("".join(pairs[i][1] for i in rows))
+    at = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+    text = np.where(letters[at] == text, at, len(letters))
+    equal = np.zeros((len(rows), len(letters) + 1, size), np.uint64)  # where a quote has a letter; the last letter is none of them
+    for r, quote in enumerate(quotes):
+        k = np.arange(len(quote))
+        np.bitwise_or.at(equal, (r, np.searchsorted(letters, quote), k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+    owner, begin, longest, marks, base = [], [], [], [], 0
+    for r, i in enumerate(rows):
+        quote, whole = pairs[i]
+        lengths = np.array([len(w) for w in whole.split(" ")])
+        n, m = quote.count(" ") + 1, len(lengths)
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        sizes = np.arange(max(1, n - 2), min(n + 2, m) + 1)
+        if len(sizes):
+            firsts = np.arange(m - sizes[0] + 1)
+            last = firsts[:, None] + sizes[None, :] - 1
+            reach = np.where(last < m, ends[np.minimum(last, m - 1)] - starts[firsts][:, None], 0)
+            owner.append(np.full(len(firsts), r))
+            begin.append(base + starts[firsts])
+            longest.append(reach.max(1))
+            marks.append(np.pad(reach, ((0, 0), (0, 5 - len(sizes)))))
+        base += len(whole)
+    if not owner:
+        return
+    owner, begin, longest, marks = (np.concatenate(x) for x in (owner, begin, longest, marks))
+    order = np.argsort(-longest, kind="stable")
+    owner, begin, longest, marks = owner[order], begin[order], longest[order], marks[order]
+    height = np.array([len(q) for q in quotes])
+    found, score = np.zeros(len(rows)), height[owner]
+    lane, _ = np.nonzero(marks)
+    column = marks[marks > 0]
+    by_column = np.argsort(column, kind="stable")
+    lane, column = lane[by_column], column[by_column]
+    cuts = np.searchsorted(column, np.arange(longest.max() + 2))
+    going = np.searchsorted(-longest, -np.arange(longest.max() + 1), side="left")  # lanes longer than j
+    one, top = np.uint64(1), ((height - 1) % 64).astype(np.uint64)[owner]
+    up = [np.full(len(owner), ~np.uint64(0)) for _ in range(size)]
+    down = [np.zeros(len(owner), np.uint64) for _ in range(size)]
+    for j in range(longest.max()):
+        n = going[j]
+        letter, own = text[begin[:n] + j], owner[:n]
+        plus, minus = one, np.uint64(0)
+        for k in range(size):
+            pv, mv = up[k][:n], down[k][:n]
+            eq = equal[own, letter, k]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            edge = top[:n] if k == size - 1 else np.uint64(63)
+            more, less = (ph >> edge) & one, (mh >> edge) & one
+            ph, mh = (ph << one) | plus, (mh << one) | minus
+            up[k][:n], down[k][:n] = mh | ~(xv | ph), ph & xv
+            plus, minus = more, less
+        score[:n] += plus.astype(np.int64) - minus.astype(np.int64)
+        here = lane[cuts[j + 1] : cuts[j + 2]]
+        if len(here):
+            np.maximum.at(found, owner[here], 1 - score[here] / np.maximum(height[owner[here]], j + 1))
+    for r, i in enumerate(rows):
+        best[i] = float(found[r])
+
+
 def best_words(quote: Column, text: Column) -> Column:
-    """The best likeness of a quote to as many neighbouring words of a text, two more or two less; 0 if there are none."""
-    words, n = F.split(text, " "), F.size(F.split(quote, " "))
-    sizes = F.filter(F.sequence(n - 2, n + 2), lambda k: (k >= 1) & (k <= F.size(words)))
-    starts = lambda k: F.sequence(F.lit(1), F.size(words) - k + 1)
-    alike = lambda w: 1 - F.levenshtein(quote, w) / F.greatest(F.length(quote), F.length(w))
-    each = lambda k: F.array_max(F.transform(starts(k), lambda i: alike(F.array_join(F.slice(words, i, k), " "))))
-    return F.coalesce(F.array_max(F.transform(sizes, each)), F.lit(0.0))
+    """window_likeness of a quote and a text; 0 for a null side."""
+
+    @F.arrow_udf("double")
+    def find(quotes: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = [i for i in range(len(quotes)) if quotes[i].is_valid and texts[i].is_valid]
+        out = np.zeros(len(quotes))
+        out[rows] = window_likeness([(quotes[i].as_py(), texts[i].as_py()) for i in rows])
+        return pa.array(out)
+
+    return find(quote, text)
 
 
 def quote_score(quote: Column, text: Column) -> Column:
@@ -149,7 +251,9 @@ def quote_score(quote: Column, text: Column) -> Column:
     q, t = compared(quote), compared(text)
     held = lambda width: (F.length(F.left(q, F.lit(width))) >= 15) & F.contains(t, F.left(q, F.lit(width)))
     short = (F.length(q) < 3) | (F.length(t) < 3)
-    return F.when(short, 0.0).when(F.contains(t, q), 1.0).when(held(50), 0.96).when(held(25), 0.92).otherwise(best_words(q, t))
+    told = F.when(short, 0.0).when(F.contains(t, q), 1.0).when(held(50), 0.96).when(held(25), 0.92)
+    # a Python function runs for every row: what is told already gives it nothing to look for
+    return F.coalesce(told, best_words(F.when(told.isNull(), q), t))
 
 
 #: fixed values: words that tell nothing about a quote, the score from which it is one, the likeness of two words that
