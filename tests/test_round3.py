@@ -5,11 +5,13 @@ import random
 from contextlib import redirect_stdout
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.catalog import QUERIES
 from textloom.operators import damage as D
+from textloom.operators import graphs as G
 from textloom.operators import measures as M
 from textloom.operators import normal as N
 from textloom.operators import repairs as R
@@ -87,3 +89,26 @@ def test_window_likeness_is_that_of_all_windows(spark):
         w, n = t.split(" "), len(q.split(" "))
         assert found == max((alike(q, " ".join(w[i : i + k])) for k in range(max(1, n - 2), n + 3) for i in range(len(w) - k + 1)), default=0.0)
     assert "levenshtein" not in plan(QUERIES["quote_scores"](spark, DATA))
+
+
+def test_components_of_any_shape_by_stars(spark):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(0, 300)] + [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(60)] + [(5000, 5000 + k) for k in range(1, 200)] + [(9, 9)]
+    ids = [*range(310), *range(1000, 1090), *range(5000, 5205)]
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    rng.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    out = G.components(spark.createDataFrame([(i,) for i in ids], "id long"), frame).collect()
+    assert {r["id"]: r["component"] for r in out} == {i: find(i) for i in ids} and len(out) == len(ids)
+    batch = pa.RecordBatch.from_pydict({"x": [k for k in range(100)], "y": [k + 1 for k in range(100)]})
+    (star,) = G._stars(iter([batch]))
+    assert star.to_pydict() == {"x": list(range(1, 101)), "y": [0] * 100}
