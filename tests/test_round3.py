@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.catalog import QUERIES
 from textloom.operators import damage as D
+from textloom.operators import fitting as T
 from textloom.operators import graphs as G
 from textloom.operators import measures as M
 from textloom.operators import normal as N
@@ -112,3 +113,24 @@ def test_components_of_any_shape_by_stars(spark):
     batch = pa.RecordBatch.from_pydict({"x": [k for k in range(100)], "y": [k + 1 for k in range(100)]})
     (star,) = G._stars(iter([batch]))
     assert star.to_pydict() == {"x": list(range(1, 101)), "y": [0] * 100}
+
+
+def test_linkage_in_rounds_is_that_of_the_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 5)) + np.repeat(rng.normal(size=(15, 5)) * 2, 10, axis=0)
+    x[140:] = x[3]  # copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = T.linkage(x, 0.3)
+    rows = spark.createDataFrame([("b", k, v.tolist()) for k, v in enumerate(x)], "block string, id long, v array<double>")
+    before, T.PART = T.PART, 40
+    try:
+        out = {r["id"]: r["cluster"] for r in T.linked_in_rounds(rows, 0.3).collect()}
+    finally:
+        T.PART = before
+    assert out == {k: int(np.flatnonzero(labels == labels[k])[0]) for k in range(150)} and 5 < len(set(out.values())) < 60
+
+
+def test_a_block_beyond_one_table_is_clustered(spark):
+    rows = spark.createDataFrame([(k % 2, k, [1.0, 0.0] if k % 4 < 2 else [0.0, 1.0]) for k in range(2 * T.MOST_IN_BLOCK + 4)], "b int, i long, v array<double>")
+    out = T.average_linkage(rows, "b", "i", "v", 0.2).groupBy("cluster").count().collect()
+    assert {r["cluster"] for r in out} == {0, 1, 2, 3} and sum(r["count"] for r in out) == 2 * T.MOST_IN_BLOCK + 4

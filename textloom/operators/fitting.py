@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.sources.staging import staged
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: rounds of two-means and of a fit at most
 ROUNDS, FIT_ROUNDS = 20, 8
 #: fixed values: a group's fewest vectors for a score; how far a centre may be from its line while fitting and at the
 #: end, the fewest pairs of a fit, the scales it may take, and the offsets that it starts from
 LEAST_VECTORS, REACH, HIT, LEAST_PAIRS, SCALES, STARTS = 4, 10.0, 6.0, 4, (0.94, 1.06), (0.0, -13.0, 13.0, -26.0, 26.0)
-#: vectors that a block of average_linkage may hold: its distances are a square table of 8 bytes a pair in one task
-MOST_IN_BLOCK = 5000
+#: vectors up to which a block of average_linkage is a square table of 8 bytes a pair in one task; vectors that a task
+#: compares with as many others where it is not
+MOST_IN_BLOCK, PART = 5000, 2000
 
 
 def distance2(a: str, b: str) -> Column:
@@ -147,22 +152,75 @@ def linkage(x: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(parent, return_inverse=True)[1]
 
 
+def _nearest_of_parts(frame: pd.DataFrame) -> pd.DataFrame:
+    """(block, id, d, partner) of each cluster of two parts of a block: the nearest of the other part, of equal ones the smallest id."""
+    out = []
+    frame = frame.sort_values("id")
+    one, two = frame[frame["part"] == frame["i"]], frame[frame["part"] == frame["j"]]
+    means = lambda f: np.array(f["s"].tolist()) / f["n"].to_numpy()[:, None]
+    if len(one) and len(two):
+        d = 1.0 - means(one) @ means(two).T
+        if frame["i"].iloc[0] == frame["j"].iloc[0]:
+            d = np.minimum(d, d.T)
+            np.fill_diagonal(d, np.inf)
+        for own, other, table in ((one, two, d), (two, one, d.T)):
+            near = table.argmin(1)
+            out.append(pd.DataFrame({"block": own["block"].to_numpy(), "id": own["id"].to_numpy(), "d": table[np.arange(len(own)), near], "partner": other["id"].to_numpy()[near]}))
+    frame = pd.concat(out) if out else pd.DataFrame({"block": [], "id": [], "d": [], "partner": []})
+    return frame[np.isfinite(frame["d"].astype(float))].astype({"id": "int64", "partner": "int64"})
+
+
+def linked_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
+    """(block, id, cluster) of unit vectors (block, id, v) as linkage has them, for blocks of any size.
+
+    The mean distance of two clusters is that of their mean vectors, so no table of all pairs is kept. A round looks for
+    the nearest cluster of each, PART against PART vectors a task, and merges those that are nearest to each other; a
+    cluster with none up to `cut` is ready, as no merge of others comes nearer. Equal vectors begin as one. The first
+    round compares all pairs of different vectors of a block, so the time is in proportion to their square.
+    """
+    rows = staged(rows)
+    keys = ["block", "id"]
+    equal = staged(rows.groupBy("block", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    labels = rows.join(equal, ["block", "v"]).select(*keys, F.col("rep").alias("cluster"))
+    labels = staged(labels)
+    live = staged(equal.select("block", F.col("rep").alias("id"), F.transform("v", lambda x: x * F.col("n")).alias("s"), "n"))
+    while True:
+        parts = staged(live.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("k")))
+        dealt = live.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("block", "id", "s", "n", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+        near = met.groupBy("block", "i", "j").applyInPandas(_nearest_of_parts, "block string, id long, d double, partner long")
+        near = staged(near.groupBy(*keys).agg(F.min(F.struct("d", "partner")).alias("m")).filter(F.col("m.d") <= cut).select(*keys, "m.partner"))
+        other = near.select("block", F.col("id").alias("partner"), F.col("partner").alias("id"))
+        gone = staged(near.join(other, [*keys, "partner"]).filter("id < partner").select("block", F.col("partner").alias("id"), F.col("id").alias("into")))
+        if gone.isEmpty():
+            return labels
+        moved = live.join(near.select(*keys), keys, "left_semi").join(gone, keys, "left").withColumn("id", F.coalesce("into", "id"))
+        two = F.collect_list(F.struct("n", "s"))  # a cluster, or the two that are one now
+        live = staged(moved.groupBy(*keys).agg(two.alias("p")).select(*keys, F.aggregate(F.slice("p", 2, 1), F.col("p")[0]["s"], lambda x, y: F.zip_with(x, y["s"], lambda a, b: a + b)).alias("s"), F.aggregate("p", F.lit(0).cast("long"), lambda x, y: x + y["n"]).alias("n")))
+        labels = staged(labels.join(gone.select("block", F.col("id").alias("cluster"), "into"), ["block", "cluster"], "left").select(*keys, F.coalesce("into", "cluster").alias("cluster")))
+
+
 def average_linkage(rows: DataFrame, block: str, id_: str, vector: str, cut: float) -> DataFrame:
     """(block, id, cluster): the smallest id of the cluster that each vector falls in, within its block.
 
-    A block of more than MOST_IN_BLOCK vectors is an error: block by what can't be one cluster first.
+    A block of up to MOST_IN_BLOCK vectors is one task's square table; a larger one goes by linked_in_rounds.
     """
-    rows = rows.filter(F.col(block).isNotNull() & F.col(vector).isNotNull()).select(F.col(block).cast("string").alias("block"), F.col(id_).cast("long").alias("id"), vector)
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
-    sizes = sizes.select("block", F.when(F.col("n") <= MOST_IN_BLOCK, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("too many vectors in block "), "block"))).alias("n"))
+    rows = rows.filter(F.col(block).isNotNull() & F.col(vector).isNotNull()).select(F.col(block).cast("string").alias("block"), F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sizes = staged(rows.groupBy("block").agg(F.count("*").alias("n")))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        x = np.array(frame[vector].tolist(), float)
+        x = np.array(frame["v"].tolist(), float)
         labels = linkage(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), cut)
         ids = frame["id"].to_numpy()
         least = np.full(labels.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, labels, ids)
         return pd.DataFrame({"block": frame["block"], "id": ids, "cluster": least[labels]})
 
-    return rows.join(sizes, "block").filter("n > 0").drop("n").groupBy("block").applyInPandas(cluster, "block string, id long, cluster long")
+    whole = rows.join(sizes.filter(F.col("n") <= MOST_IN_BLOCK).select("block"), "block").groupBy("block").applyInPandas(cluster, "block string, id long, cluster long")
+    large = sizes.filter(F.col("n") > MOST_IN_BLOCK).select("block")
+    if large.isEmpty():
+        return whole
+    norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x * x)), F.lit(1e-12))
+    units = rows.join(large, "block").withColumn("_norm", norm).select("block", "id", F.transform("v", lambda x: x / F.col("_norm")).alias("v"))
+    return whole.unionByName(linked_in_rounds(units, cut))
