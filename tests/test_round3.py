@@ -124,7 +124,7 @@ def test_linkage_in_rounds_is_that_of_the_table(spark):
     rows = spark.createDataFrame([("b", k, v.tolist()) for k, v in enumerate(x)], "block string, id long, v array<double>")
     before, T.PART = T.PART, 40
     try:
-        out = {r["id"]: r["cluster"] for r in T.linked_in_rounds(rows, 0.3).collect()}
+        out = {r["id"]: r["cluster"] for r in T.linked_in_rounds(rows, 0.3, 60).collect()}
     finally:
         T.PART = before
     assert out == {k: int(np.flatnonzero(labels == labels[k])[0]) for k in range(150)} and 5 < len(set(out.values())) < 60

@@ -111,8 +111,8 @@ def nearest_fits(lines: DataFrame, bands: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.min_by(F.struct("a", "b", "votes", F.coalesce("residual", F.lit(99.0)).alias("residual")), order).alias("f")).select(key, "f.*")
 
 
-def linkage(x: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster numbers of unit vectors by average linkage of cosine distances, merged up to `cut`.
+def linkage(x: np.ndarray, cut: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers of unit vectors, or of means of `sizes` unit vectors, by average linkage of cosine distances, merged up to `cut`.
 
     Chains of nearest neighbours: a pair that is nearest to each other merges, and the distances of the merged cluster
     are the means of its parts', weighted by their sizes, written over those of one part. Time in proportion to n squared.
@@ -120,7 +120,7 @@ def linkage(x: np.ndarray, cut: float) -> np.ndarray:
     n = len(x)
     d = 1.0 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, parent, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, parent, alive = np.ones(n) if sizes is None else sizes.astype(float), np.arange(n), np.ones(n, bool)
     merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
@@ -170,14 +170,23 @@ def _nearest_of_parts(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[np.isfinite(frame["d"].astype(float))].astype({"id": "int64", "partner": "int64"})
 
 
-def linked_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
+def linked_in_rounds(rows: DataFrame, cut: float, most: int = MOST_IN_BLOCK) -> DataFrame:
     """(block, id, cluster) of unit vectors (block, id, v) as linkage has them, for blocks of any size.
 
     The mean distance of two clusters is that of their mean vectors, so no table of all pairs is kept. A round looks for
     the nearest cluster of each, PART against PART vectors a task, and merges those that are nearest to each other; a
     cluster with none up to `cut` is ready, as no merge of others comes nearer. Equal vectors begin as one. The first
-    round compares all pairs of different vectors of a block, so the time is in proportion to their square.
+    round compares all pairs of different vectors of a block, so the time is in proportion to their square. When no
+    block has over `most` clusters that may still merge, one table a block does the rest.
     """
+
+    def rest(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        n, ids = frame["n"].to_numpy(), frame["id"].to_numpy()
+        numbers = linkage(np.array(frame["s"].tolist()) / n[:, None], cut, n)
+        first = np.unique(numbers, return_index=True)[1]
+        return pd.DataFrame({"block": frame["block"], "cluster": ids, "into": ids[first][numbers]})
+
     rows = staged(rows)
     keys = ["block", "id"]
     equal = staged(rows.groupBy("block", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
@@ -185,7 +194,10 @@ def linked_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
     labels = staged(labels)
     live = staged(equal.select("block", F.col("rep").alias("id"), F.transform("v", lambda x: x * F.col("n")).alias("s"), "n"))
     while True:
-        parts = staged(live.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("k")))
+        parts = staged(live.groupBy("block").agg(F.count("*").alias("m"), F.ceil(F.count("*") / PART).cast("int").alias("k")))
+        if parts.filter(F.col("m") > most).isEmpty():
+            gone = live.groupBy("block").applyInPandas(rest, "block string, cluster long, into long")
+            return labels.join(gone, ["block", "cluster"], "left").select(*keys, F.coalesce("into", "cluster").alias("cluster"))
         dealt = live.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("block", "id", "s", "n", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
         near = met.groupBy("block", "i", "j").applyInPandas(_nearest_of_parts, "block string, id long, d double, partner long")
