@@ -118,3 +118,28 @@ def test_fits(spark):
             assert out[p][2] == want[2] and out[p][:2] == pytest.approx(want[:2], abs=1e-6)
             near += len(lines) >= 8 and abs(out[p][0] * 350 + out[p][1] - (a * 350 + b)) < 2
     assert near >= 12  # the planted shift is found where there are lines enough
+
+
+def jobs_of(spark, work):
+    """What work returns, and how many jobs Spark ran for it."""
+    spark.sparkContext.setJobGroup("counted", "")
+    out = work()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext._jsc.clearJobGroup()
+    return out, jobs
+
+
+def test_pages_are_fitted_where_they_are_read_or_in_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(p, rng.choice([round(rng.uniform(0, 90), 1), 50.0])) for p in range(40) for _ in range(2 + 3 * p % 70)]
+    rows += [(p, x) for p in (3, 50, 51) for x in (None, float("nan"), float("inf"), float("-inf"), 4.0)] + [(None, 5.0)] * 9
+    lines = spark.createDataFrame(rows, "page string, r double")
+    bands = lines.filter("r is null or r <> 50 or page % 3 = 0").selectExpr("page", "r * 1.01 + 3 as c")
+    frame = lambda: sorted((r["page"], round(r["a"], 6), round(r["b"], 6), r["votes"], round(r["residual"], 6)) for r in G.nearest_fits(lines, bands, "page").collect())
+    found, jobs = jobs_of(spark, frame)
+    assert jobs < 15  # no rounds over tables
+    monkeypatch.setattr(G, "AT_ONCE", 7)
+    assert frame() == found
+    monkeypatch.setattr(G, "MOST_ON_PAGE", 60)
+    assert frame() == found
+    assert {"50", "51"} <= {r[0] for r in found} and all(r[0] is not None for r in found)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textloom.sources.staging import staged
@@ -24,6 +28,8 @@ LEAST_VECTORS, REACH, HIT, LEAST_PAIRS, SCALES, STARTS = 4, 10.0, 6.0, 4, (0.94,
 #: vectors up to which a block of average_linkage is a square table of 8 bytes a pair in one task; vectors that a task
 #: compares with as many others where it is not
 MOST_IN_BLOCK, PART = 5000, 2000
+#: lines and bands up to which a page is fitted in one task; rows that a task fits together
+MOST_ON_PAGE, AT_ONCE = 200_000, 100_000
 
 
 def distance2(a: str, b: str) -> Column:
@@ -65,24 +71,27 @@ def mix_scores(rows: DataFrame, group: str, id_: str, vector: str) -> DataFrame:
 
 
 def _nearest(points: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, ..., y) with `c`, the nearest of targets (keys, c) of the same keys, the smaller of two as near.
+    """points (keys, ..., y) with `c`, the nearest of targets (keys, c) of the same keys, the smaller of two as near; one beyond REACH is any or none.
 
-    Points and targets stand in one order, and a point looks at the last target before it and the first after it.
+    Points and targets stand in one order, and a point looks at the last target before it and the first after it. The
+    order is cut into cells as wide as REACH, so that no task holds all of a key; a cell's first target and its last one
+    stand in the cells beside it too.
     """
-    both = points.withColumn("_at", F.col("y")).withColumn("_c", F.lit(None).cast("double")).unionByName(targets.select(*keys, F.col("c").alias("_at"), F.col("c").alias("_c")), allowMissingColumns=True)
-    up = Window.partitionBy(*keys).orderBy("_at", F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    cell = lambda at: F.floor(at / REACH).cast("double")
+    own = targets.select(*keys, cell(F.col("c")).alias("_cell"), F.col("c").alias("_c")).filter("_c is not null")
+    ends = own.groupBy(*keys, "_cell").agg(F.max("_c").alias("last"), F.min("_c").alias("first"))
+    beside = ends.select(*keys, F.explode(F.array(F.struct((F.col("_cell") + 1).alias("_cell"), F.col("last").alias("_c")), F.struct((F.col("_cell") - 1).alias("_cell"), F.col("first").alias("_c")))).alias("e")).select(*keys, "e.*")
+    own = own.unionByName(beside).withColumn("_at", F.col("_c"))
+    both = points.withColumn("_at", F.col("y")).withColumn("_cell", cell(F.col("y"))).withColumn("_c", F.lit(None).cast("double")).unionByName(own, allowMissingColumns=True)
+    up = Window.partitionBy(*keys, "_cell").orderBy("_at", F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "_cell").orderBy(F.desc("_at"), F.col("_c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_low", F.last("_c", True).over(up)).withColumn("_high", F.last("_c", True).over(down)).filter("_c is null")
     near = F.when(F.col("_low").isNull() | (F.abs(F.col("_high") - F.col("y")) < F.abs(F.col("y") - F.col("_low"))), F.col("_high")).otherwise(F.col("_low"))
-    return both.withColumn("c", near).drop("_at", "_c", "_low", "_high")
+    return both.withColumn("c", near).drop("_at", "_cell", "_c", "_low", "_high")
 
 
-def nearest_fits(lines: DataFrame, bands: DataFrame, key: str) -> DataFrame:
-    """(key, a, b, votes, residual): the scale and offset that bring each page's lines (key, r) onto its bands (key, c).
-
-    Each page tries every start; a round pairs each line with its nearest band and fits a straight line to the pairs,
-    for all pages and starts at once, until none changes. The fit with the most lines and bands in place wins.
-    """
+def fits_in_rounds(lines: DataFrame, bands: DataFrame, key: str) -> DataFrame:
+    """nearest_fits of pages of any size: a round is joins, windows and aggregates over the lines and bands of all pages."""
     lines, bands = staged(lines.select(key, F.col("r").cast("double").alias("r"))), staged(bands.select(key, F.col("c").cast("double").alias("c")))
     enough = lambda df: df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n >= 3").select(key)
     pages = enough(lines).join(enough(bands), key)
@@ -111,6 +120,128 @@ def nearest_fits(lines: DataFrame, bands: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.min_by(F.struct("a", "b", "votes", F.coalesce("residual", F.lit(99.0)).alias("residual")), order).alias("f")).select(key, "f.*")
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges that begin at `first`: the number of the range, and the place, of each of their items."""
+    owner = np.repeat(np.arange(len(first)), size)
+    return owner, np.arange(len(owner)) + (first - np.cumsum(size) + size)[owner]
+
+
+def _in_order(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Groups and values as one array: complex numbers are compared by the real part, then by the imaginary one."""
+    out = np.empty(len(value), complex)
+    out.real, out.imag = group, value
+    return out
+
+
+def _beside(group: np.ndarray, y: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """How far each y is from, and which is, the nearest target of its group, the smaller of two as near; infinite where there is none."""
+    after = np.searchsorted(targets, _in_order(group, y), "right")
+    padded = np.concatenate([[-1], targets, [-1]])
+    low = np.where(padded.real[after] == group, padded.imag[after], -np.inf)
+    high = np.where(padded.real[after + 1] == group, padded.imag[after + 1], np.inf)
+    return np.where(high - y < y - low, high, low)
+
+
+def _fits_of_pages(page: np.ndarray, is_line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pages that have a fit, and their a, b, votes and residual; values ascend inside pages 0, 1, ... of lines and of bands."""
+    n_pages = int(page[-1]) + 1
+    count = lambda some: np.bincount(page[some], minlength=n_pages)
+    pages = np.flatnonzero((count(is_line) >= 3) & (count(~is_line) >= 3))
+    fine = np.isfinite(at)
+    first = lambda n: np.cumsum(n) - n
+    n_r, n_c = count(is_line & fine), count(~is_line & fine)
+    r, c = at[is_line & fine], at[~is_line & fine]
+    on = np.repeat(pages, len(STARTS))
+    first_r, first_c, n_r, n_c, bands = first(n_r)[on], first(n_c)[on], n_r[on], n_c[on], _in_order(page[~is_line & fine], c)
+    a, b, going = np.ones(len(on)), np.tile(STARTS, len(pages)), np.arange(len(on))
+    for _ in range(FIT_ROUNDS):
+        if not len(going):
+            break
+        owner, place = _spread(first_r[going], n_r[going])
+        x = r[place]
+        y = a[going][owner] * x + b[going][owner]
+        near = _beside(on[going][owner], y, bands)
+        kept = np.abs(near - y) <= REACH
+        owner, x, near = owner[kept], x[kept], near[kept]
+        n = np.bincount(owner, minlength=len(going))
+        mean = lambda v: np.bincount(owner, v, len(going)) / np.maximum(n, 1)  # noqa: E731, B023
+        mr, mc = mean(x), mean(near)
+        x -= mr[owner]
+        rr, rc = mean(x * x), mean(x * (near - mc[owner]))
+        wide = rr * n > 1e-6
+        a2 = np.where(wide, np.clip(rc / np.where(wide, rr, 1), *SCALES), a[going])
+        b2 = mc - a2 * mr
+        fitted = n >= LEAST_PAIRS
+        still = fitted & ~((np.abs(a2 - a[going]) < 1e-6) & (np.abs(b2 - b[going]) < 0.05))
+        a[going[fitted]], b[going[fitted]] = a2[fitted], b2[fitted]
+        going = going[still]
+    owner, place = _spread(first_r, n_r)
+    y = a[owner] * r[place] + b[owner]
+    d = np.abs(_beside(on[owner], y, bands) - y)
+    placed = _in_order(owner, y)
+    hit = d <= HIT
+    owner, d = owner[hit], d[hit]
+    n_hit = np.bincount(owner, minlength=len(on))
+    back, place = _spread(first_c, n_c)
+    votes = n_hit + np.bincount(back[np.abs(_beside(back, c[place], placed) - c[place]) <= HIT], minlength=len(on))
+    # medians only where they decide or are told
+    best = votes == np.repeat(votes.reshape(-1, len(STARTS)).max(1), len(STARTS))
+    owner, d = owner[best[owner]], d[best[owner]]
+    d = d[np.lexsort((d, owner))]
+    residual, some = np.where(best, 99.0, np.inf), np.flatnonzero(best & (n_hit > 0))
+    middle = first(n_hit[some])
+    residual[some] = (d[middle + (n_hit[some] - 1) // 2] + d[middle + n_hit[some] // 2]) / 2
+    won = residual.reshape(-1, len(STARTS)).argmin(1) + np.arange(len(pages)) * len(STARTS)
+    return pages, a[won], b[won], votes[won], residual[won]
+
+
+def _fits_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b, votes, residual) of rows (key, line, at) in this order; whole pages of about AT_ONCE rows are fitted together."""
+
+    def fits(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        page = np.zeros(len(rows), np.int64)
+        page[starts] = 1
+        values = [rows.column(k).to_numpy() for k in (1, 2)]
+        pages, *out = _fits_of_pages(np.cumsum(page), values[0].astype(bool), values[1].astype(float))
+        ids = rows.column(0).take(pa.array(np.concatenate([[0], starts])[pages])).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], [rows.column_names[0], "a", "b", "votes", "residual"])
+
+    held, n, wanted = [], 0, AT_ONCE
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += len(batch)
+            if n < wanted:
+                continue
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = rows.column(0)
+            starts = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy()) + 1
+            if batch is None:
+                yield fits(rows, starts)
+            elif len(starts):
+                yield fits(rows[: starts[-1]], starts[:-1])
+                rows = rows[starts[-1] :]
+            held, n, wanted = rows.to_batches(), len(rows), max(AT_ONCE, 2 * len(rows))
+
+
+def nearest_fits(lines: DataFrame, bands: DataFrame, key: str) -> DataFrame:
+    """(key, a, b, votes, residual): the scale and offset that bring each page's lines (key, r) onto its bands (key, c).
+
+    Each page tries every start; a round pairs each line with its nearest band and fits a straight line to the pairs,
+    until none changes. The fit with the most lines and bands in place wins. Lines and bands are shuffled once, sorted by
+    page and value, and all rounds of many pages are taken where they are read; pages of over MOST_ON_PAGE lines and
+    bands go by fits_in_rounds.
+    """
+    rows = lines.select(key, F.lit(True).alias("line"), F.col("r").cast("double").alias("at")).unionByName(bands.select(key, F.lit(False).alias("line"), F.col("c").cast("double").alias("at"))).filter(F.col(key).isNotNull())
+    large = staged(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_ON_PAGE).select(key))
+    some = not large.isEmpty()
+    rows = rows.join(large, key, "left_anti") if some else rows
+    schema = StructType([StructField(key, rows.schema[key].dataType), *(StructField(n, DoubleType()) for n in "ab"), StructField("votes", LongType()), StructField("residual", DoubleType())])
+    out = rows.repartition(key).sortWithinPartitions(key, "line", "at").mapInArrow(_fits_of_rows, schema)
+    return out.unionByName(fits_in_rounds(lines.join(large, key, "left_semi"), bands.join(large, key, "left_semi"), key)) if some else out
+
+
 def linkage(x: np.ndarray, cut: float, sizes: np.ndarray | None = None) -> np.ndarray:
     """Cluster numbers of unit vectors, or of means of `sizes` unit vectors, by average linkage of cosine distances, merged up to `cut`.
 
