@@ -47,6 +47,33 @@ def test_rates_of_resumed_streams(spark, cuts):
     assert sum(r is not None for _, r, _ in want.values()) > 50
 
 
+@pytest.mark.parametrize("cuts", [[], [300, 301], [100, 101, 2500]])
+def test_rates_of_whole_batches(spark, cuts):
+    rng = random.Random(2)
+    rows = [(k, t, 1000 * k + n, rng.choice([0, 0, 1, 2])) for k in range(4) for n, t in enumerate(sorted(rng.choices(range(4000), k=60)))]
+    rows += [(9, 50, 9000, 1), (9, 3000, 9001, 1), (9, 3050, 9002, 3)]  # over before it comes again
+    df = spark.createDataFrame(rows, "k long, t long, i long, s long").withColumn("ts", F.timestamp_seconds("t"))
+    df = df.unionByName(spark.createDataFrame([(None, 1, 1, 1), (1, None, 2, 1)], "k long, t long, i long, s long").withColumn("ts", F.timestamp_seconds("t")))
+    bounds = [-1, *cuts, 10_000]
+    parts = [df.filter((F.col("t") > a) & (F.col("t") <= b)).drop("t") for a, b in zip(bounds, bounds[1:], strict=False)]
+    table = P.RateTable(D.new_folder(spark), "k", "i", "ts", F.col("s"), 10, 600)
+    D.in_runs(parts, lambda s: s, lambda stream, root, conf: D.run_batches(stream, root, table.sink))
+    table.sink(parts[-1], len(cuts))  # run again, as after a stop
+    found = {(r["key"], r["id"]): (r["done"], r["per_minute"], r["eta"]) for r in table.told().collect()}
+    want = observed(rows)
+    assert table.told().count() == len(rows) and found.keys() == want.keys()
+    for k, (done, rate, eta) in want.items():
+        assert found[k][0] == done and found[k][2] == eta and found[k][1] == pytest.approx(rate)
+    assert all(r["at"] >= (max(x[1] for x in rows) - 600) * SECOND for r in table.kept(len(cuts)).collect())
+
+
+def test_anchored_rates_calls_nothing_for_each_key(spark, monkeypatch):
+    from textloom import catalog
+
+    monkeypatch.setattr(P, "rates", None)
+    assert catalog.QUERIES["anchored_rates"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
 def queue_of(spark, rows, fails):
     df = spark.createDataFrame(rows, "id long, server string, at long")
     return df, D.RetryQueue(spark, D.new_folder(spark), df.schema, "server", ["at"], "id", fails)

@@ -56,10 +56,10 @@ r AS (SELECT *, (done - 1) / ((stamped - anchor) / 60e6) AS rate FROM m)
 SELECT user_id, event_id, CAST(done AS BIGINT) AS done, round(rate, 4) AS per_minute, CAST(floor(greatest(0, {TOTAL} - done) / rate * 60 + 0.5) AS BIGINT) AS eta FROM r""")
 def anchored_rates(t: Tables):
     """Rate and remaining time at each event of a user's job, by a stream that is stopped in the middle and started again."""
-    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    root = D.in_runs(D.halves(events, "ts"), lambda s: P.rates(s, "user_id", "event_id", "ts", F.col("event_type").isin(*STEPS), TOTAL, IDLE), D.run_appended, P.STORE)
-    out = t.spark.read.schema(P.OUT).parquet(f"{root}/rows")
-    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "done", F.round("per_minute", 4).alias("per_minute"), "eta")
+    events = t.events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    table = P.RateTable(D.new_folder(t.spark), "user_id", "event_id", "ts", F.col("event_type").isin(*STEPS), TOTAL, IDLE)
+    D.in_runs(D.halves(events, "ts"), lambda s: s, lambda stream, root, conf: D.run_batches(stream, root, table.sink))
+    return table.told().select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "done", F.round("per_minute", 4).alias("per_minute"), "eta")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, round(sum(value), 4) AS seconds, count(*) AS n FROM events GROUP BY ALL")

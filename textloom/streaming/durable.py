@@ -40,6 +40,11 @@ def run_updated(stream: DataFrame, root: str, conf: dict[str, str] | None = None
     _run(stream.writeStream.outputMode("update").foreachBatch(add), root, stream.sparkSession, conf)
 
 
+def run_batches(stream: DataFrame, root: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """The same for a sink that takes batches by their numbers."""
+    _run(stream.writeStream.foreachBatch(sink), root, stream.sparkSession, None)
+
+
 def _run(writer, root: str, spark: SparkSession, conf: dict[str, str] | None) -> None:
     """Settings count for the run alone; a stream keeps those of its first run in its checkpoint."""
     before = {k: spark.conf.get(k, None) for k in conf or {}}

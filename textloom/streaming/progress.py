@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,3 +82,54 @@ def rates(stream: DataFrame, key: str, id_: str, at: str, steps, total: int, idl
     rows = stream.withWatermark(at, late).select(F.col(key).cast("long").alias("key"), F.col(id_).cast("long").alias("id"), F.col(at).alias("event_time"), F.unix_micros(at).alias("at"), F.coalesce(steps.cast("long"), F.lit(0)).alias("steps"))
     rows = rows.filter("key is not null and at is not null")
     return rows.groupBy("key").transformWithStateInPandas(AnchoredRate(total, idle), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+
+
+class RateTable:
+    """The same rates of large batches, for foreachBatch: all jobs of a batch at once by windows, and their state as a table.
+
+    `rates` takes some milliseconds of Python for each key of a batch, whatever its rows; here a key costs what its rows do.
+    A batch goes on from the state that the one before it left, and overwrites what it left itself, so a batch that is run
+    again, after a stop anywhere, changes nothing. No row may arrive in a batch before older ones, and steps are 0 or more.
+    The state of jobs that are over is left out.
+    """
+
+    KEPT = "key long, at long, done long, anchor_at long, anchor_done long, stamped long"
+
+    def __init__(self, root: str, key: str, id_: str, at: str, steps: Column, total: int, idle: int):
+        self.root, self.total, self.idle = root, total, idle
+        self.rows = [F.col(key).cast("long").alias("key"), F.col(id_).cast("long").alias("id"), F.unix_micros(at).alias("at"), F.coalesce(steps.cast("long"), F.lit(0)).alias("steps")]
+
+    def sink(self, batch: DataFrame, number: int) -> None:
+        spark, place = batch.sparkSession, ("new", "at", F.col("id").isNull(), "id")
+        new = batch.select(*self.rows).filter("key is not null and at is not null").withColumn("new", F.lit(True))
+        if number:
+            # a job's state stands before its new rows, as one step of all that was done
+            new = new.unionByName(self.kept(number - 1).withColumnsRenamed({"done": "steps", "anchor_at": "_at", "anchor_done": "_done", "stamped": "_stamped"}).withColumn("new", F.lit(False)), allowMissingColumns=True)
+        else:
+            new = new.withColumns({c: F.lit(None).cast("long") for c in ("_at", "_done", "_stamped")})
+        so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+        told = lambda old, when, value: F.when(F.col("new"), F.when(when, value)).otherwise(F.col(old))
+        gap = F.col("at") - F.lag("at").over(Window.partitionBy("key").orderBy(*place)) > self.idle * 1_000_000
+        rows = new.withColumn("_over", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("_job", F.sum("_over").over(so_far("key")))
+        job = so_far("key", "_job")
+        rows = rows.withColumn("done", F.sum("steps").over(job)).withColumn("anchor_at", F.first(told("_at", F.col("steps") > 0, F.col("at")), True).over(job))
+        rows = rows.withColumn("anchor_done", F.first(told("_done", F.col("steps") > 0, F.col("done")), True).over(job))
+        wide = (F.col("done") > F.col("anchor_done")) & (F.col("at") - F.col("anchor_at") >= LEAST_SECONDS * 1_000_000)
+        rows = rows.withColumn("stamped", F.first(told("_stamped", wide, F.col("at")), True).over(so_far("key", "_job", "done")))
+        rows.select("key", "id", "at", "new", "done", "anchor_at", "anchor_done", "stamped").write.mode("overwrite").parquet(f"{self.root}/rated/_n={number}")
+        rated = spark.read.parquet(f"{self.root}/rated/_n={number}")
+        last = rated.groupBy("key").agg(F.max_by(F.struct("at", "done", "anchor_at", "anchor_done", "stamped"), F.struct(*place)).alias("s")).select("key", "s.*")
+        latest = rated.agg(F.max("at")).first()[0]
+        last.filter(F.col("at") + self.idle * 1_000_000 >= F.lit(latest)).write.mode("overwrite").parquet(f"{self.root}/kept/_n={number}")
+
+    def kept(self, number: int) -> DataFrame:
+        """The state of the jobs that go on after batch `number`."""
+        spark = SparkSession.active()
+        return spark.read.schema(self.KEPT).parquet(f"{self.root}/kept/_n={number}")
+
+    def told(self) -> DataFrame:
+        """OUT for each row of all batches."""
+        rows = SparkSession.active().read.schema(f"id long, new boolean, {self.KEPT}, _n int").option("basePath", f"{self.root}/rated").parquet(f"{self.root}/rated").filter("new")
+        rate = (F.col("done") - F.col("anchor_done")) / ((F.col("stamped") - F.col("anchor_at")) / F.lit(60e6))
+        eta = F.floor(F.greatest(F.lit(0), self.total - F.col("done")) / F.col("per_minute") * 60 + 0.5).cast("long")
+        return rows.withColumn("per_minute", rate).select("key", "id", "done", "per_minute", eta.alias("eta"))
