@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.operators import drift as D
 
@@ -27,16 +26,9 @@ a AS (SELECT doc_id, sent, start, off, CASE WHEN n < 3 THEN 'short' WHEN found I
 
 def read_out(t: Tables) -> DataFrame:
     """The cues of all documents, audited."""
-    # texts are dealt once, into so many parts that their words can be sorted there: windows and joins are all inside a text
+    # dealt once, so that all tasks have texts whatever the files are; after that a text is a row
     docs = t.documents.filter(F.length("text") > 0).select("doc_id", "text").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    heard = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word")).withColumn("at", F.col("pos") / RATE)
-    pieces = docs.select("doc_id", F.length("text").alias("n_chars"), F.size(words(F.col("text"))).alias("n_words"), F.posexplode(F.split("text", "[.!?]")).alias("sent", "piece"))
-    # the pieces of one text, which stood in one row
-    upto = F.sum(F.length("piece") + 1).over(Window.partitionBy("doc_id").orderBy("sent"))
-    begun = (upto - F.length("piece") - 1) / F.col("n_chars") * (F.col("n_words") / RATE)
-    sents = pieces.select("doc_id", "sent", begun.alias("start"), words(F.col("piece")).alias("words"))
-    return D.audited(sents, heard, "doc_id", RATE)
+    return D.audited_texts(docs, "doc_id", RATE)
 
 
 @query(_AUDIT + "SELECT doc_id, sent, status, round(off, 3) + 0.0 AS off, round(moved_to, 3) + 0.0 AS moved_to FROM a")
