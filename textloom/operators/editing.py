@@ -1,59 +1,152 @@
-"""Edit lists as rows: differences of two texts word by word, the edits that carry one into the other, guarded repairs.
+"""Edit lists: differences of two texts word by word, the edits that carry one into the other, guarded repairs.
 
 Texts are split at single spaces, so joining the words gives them back. The k-th occurrence of a word in the old text
-meets its k-th in the new one by an equi-join; a pair that no other pair crosses is a fixed point. Between fixed points
-next to each other lie the runs that differ. Windows over one text pair find them, so a pair's rows meet in one task
-and no other work is done there than sorting them. The pairs are dealt by their keys once, as texts; words and edits
-stay where their pair is.
+meets its k-th in the new one; a pair that no other pair crosses is a fixed point. Between fixed points next to each
+other lie the runs that differ. A text pair is one row, and its words never leave it: words are compared by their codes,
+thousands of pairs at a time, and what is made of the runs are functions of the row. Pairs are dealt by their keys once,
+where they are dealt at all.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: fixed values: characters an anchor may have, equal characters that part two edits, the share and the number of
 #: characters that a list of edits may touch, and edits of one word that a guard accepts
 LONGEST_ANCHOR, GAP, SHARE, ALWAYS, WORD_EDITS = 80, 6, 0.25, 12, 2
 #: words that an anchor may gain on each side: any more are over LONGEST_ANCHOR characters
 WIDEST = LONGEST_ANCHOR // 2
+#: bytes of text whose words are compared together, which bounds a task's memory
+BYTES_AT_ONCE = 1 << 22
 #: fixed values: marks that are the same in another font
 SAME_MARK = ("‘’‚‛′“”„‟″‐‑‒–—−", "'''''\"\"\"\"\"------")
 
 
 def dealt(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """The pairs by their keys: windows, joins and aggregates by these and more need no other exchange.
+    """Texts or pairs by their keys, so that all tasks have some whatever the files are.
 
-    The count of partitions is given, as a small exchange of texts would be merged for what are many rows of words.
+    The count of partitions is given, as a small exchange of texts would be merged for what is much work.
     """
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def fixed_points(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j): words of `old` and `new` that stand for each other, and one row at the end of each pair."""
-    pairs = pairs.filter("old is not null and new is not null")
-
-    def words(side: str, place: str) -> DataFrame:
-        # the end is a word that no text holds
-        rows = pairs.select(*keys, F.posexplode(F.array_append(F.split(side, " ", -1), F.lit(" "))).alias(place, "word"))
-        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "word").orderBy(place)))
-
-    met = words("old", "i").join(words("new", "j"), [*keys, "word", "nth"]).select(*keys, "i", "j")
-    # what follows is what stands before in the other order, which a window reads once
-    before, after = (Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("i"), F.desc("i")))
-    uncrossed = (F.col("j") > F.coalesce(F.max("j").over(before), F.lit(-1))) & (F.col("j") < F.coalesce(F.min("j").over(after), F.lit(1 << 30)))
-    return met.withColumn("_kept", uncrossed).filter("_kept").drop("_kept")
+def _met(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two lists of (text, word): the k-th of a word in a text with the k-th of that word in that text."""
+
+    def groups(texts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        kind = texts * codes + words
+        order = np.argsort(kind, kind="stable")
+        return order, *np.unique(kind[order], return_index=True, return_counts=True)
+
+    a, kinds_a, first_a, many_a = groups(*old)
+    b, kinds_b, first_b, many_b = groups(*new)
+    _, x, y = np.intersect1d(kinds_a, kinds_b, assume_unique=True, return_indices=True)
+    many = np.minimum(many_a[x], many_b[y])
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    i, j = a[np.repeat(first_a[x], many) + nth], b[np.repeat(first_b[y], many) + nth]
+    order = np.argsort(i)
+    return i[order], j[order]
+
+
+def found_runs(ow: pa.ListArray, nw: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(pair, i0, i1, j0, j1) of all runs of pairs of word lists, in order."""
+    many, pairs = [pc.list_value_length(w).to_numpy().astype(np.int64) for w in (ow, nw)], np.arange(len(ow))
+    own = [np.repeat(pairs, n) for n in many]
+    words = pc.dictionary_encode(pa.concat_arrays([ow.flatten(), nw.flatten()]))
+    codes = words.indices.to_numpy().astype(np.int64)
+    i, j = _met((own[0], codes[: len(own[0])]), (own[1], codes[len(own[0]) :]), max(1, len(words.dictionary)))
+    # a place more at the end of each text: the ends stand for each other
+    end_i, end_j = (np.cumsum(n + 1) - 1 for n in many)
+    i, j = i + own[0][i], j + own[0][i]
+    # pairs follow each other on both sides, so only words of one pair can cross
+    before = np.concatenate([[-1], np.maximum.accumulate(j)[:-1]])[: len(j)]
+    after = np.concatenate([np.minimum.accumulate(j[::-1])[::-1][1:], [1 << 62]])[: len(j)]
+    kept = (j > before) & (j < after)
+    i, j = np.concatenate([i[kept], end_i]), np.concatenate([j[kept], end_j])
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    i0, j0 = (np.concatenate([[0], x[:-1] + 1])[: len(x)] for x in (i, j))
+    apart = (i0 < i) | (j0 < j)
+    pair = np.searchsorted(end_i, i[apart])
+    low_i, low_j = (end_i - many[0])[pair], (end_j - many[1])[pair]
+    return pair, i0[apart] - low_i, i[apart] - low_i, j0[apart] - low_j, j[apart] - low_j
+
+
+def found_edits(ow: pa.ListArray, nw: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(pair, i0, i1, j0, j1, left, right): runs with at most GAP equal characters between them made one, and how many
+    equal words stand on either side of each."""
+    pair, i0, i1, j0, j1 = found_runs(ow, nw)
+    many = pc.list_value_length(ow).to_numpy().astype(np.int64)
+    low = np.cumsum(many) - many
+    upto = np.concatenate([[0], np.cumsum(pc.utf8_length(ow.flatten()).to_numpy().astype(np.int64))])
+    # characters of the first words of a text, joined
+    joined = lambda i: upto[low[pair] + i] - upto[low[pair]] + np.maximum(i - 1, 0)
+    first = np.ones(len(pair), bool)
+    first[1:] = (pair[1:] != pair[:-1]) | (joined(i0)[1:] - joined(i1)[:-1] > GAP)
+    last = np.append(first[1:], True)[: len(first)]
+    pair, i0, i1, j0, j1 = pair[first], i0[first], i1[last], j0[first], j1[last]
+    same = pair[1:] == pair[:-1]
+    left, right = i0.copy(), many[pair] - i1
+    between = i0[1:] - i1[:-1]
+    left[1:][same], right[:-1][same] = between[same], between[same]
+    return pair, i0, i1, j0, j1, left, right
+
+
+def _listed(find: Callable[..., tuple[np.ndarray, ...]], names: list[str], old: Column, new: Column) -> Column:
+    """What find makes of the words of each row's two texts, array<struct<names: int>>; null where a text is null."""
+
+    def parts(old: pa.Array, new: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+        upto = np.cumsum(pc.binary_length(old).to_numpy().astype(np.int64) + pc.binary_length(new).to_numpy())
+        at = 0
+        while at < len(old):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+            yield old.slice(at, to - at), new.slice(at, to - at)
+            at = to
+
+    @F.arrow_udf(f"array<struct<{','.join(f'{x}:int' for x in names)}>>")
+    def run(old: pa.Array, new: pa.Array) -> pa.Array:
+        valid = pc.and_(old.is_valid(), new.is_valid())
+        old, new = (pc.if_else(valid, x, pa.scalar("", x.type)) for x in (old, new))
+        many, columns = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in names]
+        for a, b in parts(old, new):
+            pair, *values = find(pc.split_pattern(a, " "), pc.split_pattern(b, " "))
+            many.append(np.bincount(pair, minlength=len(a)))
+            for column, v in zip(columns, values, strict=True):
+                column.append(v)
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int32)) for c in columns], names)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(many))]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, rows, mask=pc.invert(valid))
+
+    return run(old, new)
+
+
+def _of_pairs(find: Callable[..., tuple[np.ndarray, ...]], names: list[str], keys: list[str]) -> Column:
+    """find for `old` and `new`; a pair with a null key has none."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return _listed(find, names, F.when(known, F.col("old")), F.col("new"))
+
+
+RUN = ["i0", "i1", "j0", "j1"]
 
 
 def runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i0, i1, j0, j1): stretches of words that differ, one row for each; a pair of equal texts has none.
 
-    pairs that are dealt stay where they are.
+    pairs stay where they are.
     """
-    by_place = Window.partitionBy(*keys).orderBy("i")
-    found = fixed_points(pairs, keys).withColumn("i0", F.lag("i", 1, -1).over(by_place) + 1).withColumn("j0", F.lag("j", 1, -1).over(by_place) + 1)
-    return found.filter("i0 < i or j0 < j").select(*keys, "i0", F.col("i").alias("i1"), "j0", F.col("j").alias("j1"))
+    return pairs.select(*keys, _of_pairs(found_runs, RUN, keys).alias("_runs")).select(*keys, F.inline("_runs"))
 
 
 def tag(i0: Column, i1: Column, j0: Column, j1: Column) -> Column:
@@ -66,39 +159,45 @@ def _span(words: str, first, end) -> Column:
 
 
 def derived(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """`with_edits` of the pairs dealt by their keys."""
+    return with_edits(dealt(pairs, keys), keys)
+
+
+def with_edits(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs with `edits`, array<struct<before, after>>, that carry old into new; null where there is no safe list.
 
     Runs with at most GAP equal characters between them are one edit. An edit takes in equal words on both sides, one
     at a time, until its text stands once in the old text. Edits that overlap, that are too long, hold a line break or
-    an arrow (the mark of a written edit), or together touch too much, make the whole list unsafe.
+    an arrow (the mark of a written edit), or together touch too much, make the whole list unsafe. pairs stay where
+    they are.
     """
-    pairs = dealt(pairs, keys)
-    texts = pairs.filter("old is not null and new is not null").select(*keys, "old", "new", F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
-    by_place = Window.partitionBy(*keys).orderBy("i0", "i1")
-    rows = runs(pairs, keys).join(texts, keys)
-    begins = lambda i: F.length(F.array_join(F.slice("ow", F.lit(1), F.col(i)), " "))
-    rows = rows.withColumn("from_", begins("i0")).withColumn("to_", begins("i1"))
-    apart = F.coalesce(F.col("from_") - F.lag("to_").over(by_place) > GAP, F.lit(True))
-    rows = rows.withColumn("edit", F.sum(apart.cast("int")).over(by_place))
-    bounds = rows.groupBy(*keys, "edit").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.min("j0").alias("j0"), F.max("j1").alias("j1"))
-    by_edit = Window.partitionBy(*keys).orderBy("edit")
-    bounds = bounds.withColumn("left_", F.col("i0") - F.lag("i1", 1, 0).over(by_edit)).withColumn("right_", F.lead("i0").over(by_edit) - F.col("i1"))
-    rows = bounds.join(texts, keys).withColumn("right_", F.coalesce("right_", F.size("ow") - F.col("i1")))
-
-    def widened(k: Column) -> Column:
-        left, right = F.least(k, F.col("left_")), F.least(k, F.col("right_"))
-        before, after = _span("ow", F.col("i0") - left, F.col("i1") + right), _span("nw", F.col("j0") - left, F.col("j1") + right)
+    kind = "struct<before:string,after:string>"
+    rows = pairs.withColumn("_bounds", _of_pairs(found_edits, [*RUN, "left", "right"], keys))
+    rows = rows.withColumns({"_ow": F.split("old", " ", -1), "_nw": F.split("new", " ", -1)})
+
+    def widened(b: Column, k: Column) -> Column:
+        left, right = F.least(k, b["left"]), F.least(k, b["right"])
+        before, after = _span("_ow", b["i0"] - left, b["i1"] + right), _span("_nw", b["j0"] - left, b["j1"] + right)
         return F.struct(before.alias("before"), after.alias("after"))
 
     once = lambda e: (F.position(e["before"], F.col("old")) > 0) & (F.position(e["before"], F.col("old"), F.position(e["before"], F.col("old")) + 1) == 0)
     safe = lambda e: (e["before"] != "") & (F.length(e["before"]) <= LONGEST_ANCHOR) & once(e) & ~F.concat(e["before"], e["after"]).rlike("[\r\n→]|->")
-    rows = rows.withColumn("e", F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(WIDEST)), widened), safe), F.lit(0)))
-    listed = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("edit", "e"))), lambda x: x["e"]).alias("edits"), F.count_if(F.col("e").isNull()).alias("unsafe"))
-    out = pairs.join(listed, keys, "left")
-    edits = F.when(F.col("old") == F.col("new"), F.array().cast("array<struct<before:string,after:string>>")).when(F.col("unsafe") == 0, F.col("edits"))
-    done = applied(out.withColumn("edits", edits), "old", "edits")
+    # a text that is too long stays so when it takes in more
+    tried = lambda e: F.struct(F.when(safe(e), e).alias("e"), (F.length(e["before"]) > LONGEST_ANCHOR).alias("over"))
+
+    def first_safe(b: Column) -> Column:
+        # the array of one names a text that stands several times in what follows, so that it is worked out once
+        step = lambda acc, k: F.when(acc["e"].isNotNull() | acc["over"], acc).otherwise(F.get(F.transform(F.array(widened(b, k)), tried), F.lit(0)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(WIDEST)), F.struct(F.lit(None).cast(kind).alias("e"), F.lit(False).alias("over")), step)["e"]
+
+    rows = rows.withColumn("_list", F.transform("_bounds", first_safe))
+    touched = F.aggregate("_list", F.lit(0), lambda n, e: n + F.greatest(F.length(e["before"]), F.length(e["after"])))
+    # a list that touches too much is not made
+    sound = ~F.exists("_list", lambda e: e.isNull()) & ((touched <= ALWAYS) | (touched <= F.length("old") * SHARE))
+    edits = F.when(F.col("old") == F.col("new"), F.array().cast(f"array<{kind}>")).when(sound, F.col("_list"))
+    done = applied(rows.withColumn("edits", edits).drop("_bounds", "_ow", "_nw", "_list"), "old", "edits")
     held = (F.col("done.text") == F.col("new")) & (F.size("done.rejected") == 0)
-    return done.withColumn("edits", F.when(held, F.col("edits"))).drop("unsafe", "done")
+    return done.withColumn("edits", F.when(held, F.col("edits"))).drop("done")
 
 
 def applied(rows: DataFrame, text: str, edits: str) -> DataFrame:
