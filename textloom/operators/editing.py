@@ -250,14 +250,24 @@ def plausible(gone: Column, new: Column, most: int = WORD_EDITS) -> Column:
 
 
 def guarded(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, accepted, rejected, per_run): changed runs by whether they are plausible, and old with those that are."""
-    pairs = dealt(pairs, keys)
-    texts = pairs.filter("old is not null and new is not null").select(*keys, F.split("old", " ", -1).alias("ow"), F.split("new", " ", -1).alias("nw"))
-    rows = runs(pairs, keys).join(texts, keys)
-    gone, new = (F.slice(w, F.col(a) + 1, F.col(b) - F.col(a)) for w, a, b in (("ow", "i0", "i1"), ("nw", "j0", "j1")))
-    rows = rows.select(*keys, "i0", "i1", plausible(gone, new).alias("fine"), F.when(plausible(gone, new), new).otherwise(gone).alias("put"))
-    listed = rows.groupBy(*keys).agg(F.count_if("fine").alias("accepted"), F.count_if(~F.col("fine")).alias("rejected"), F.array_sort(F.collect_list(F.struct("i0", "i1", "put"))).alias("runs"))
-    empty = F.array().cast("array<string>")
-    step = lambda acc, r: F.struct(F.concat(acc["out"], F.slice("ow", acc["at"] + 1, r["i0"] - acc["at"]), r["put"]).alias("out"), r["i1"].alias("at"))
-    text = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<i0:int,i1:int,put:array<string>>>")), F.struct(empty.alias("out"), F.lit(0).alias("at")), step, lambda acc: F.array_join(F.concat(acc["out"], F.slice("ow", acc["at"] + 1, F.size("ow"))), " "))
-    return texts.join(listed, keys, "left").select(*keys, F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"), text.alias("per_run"))
+    """`with_guard` of the pairs dealt by their keys."""
+    return with_guard(dealt(pairs, keys), keys)
+
+
+def with_guard(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs of two texts with accepted, rejected and per_run: changed runs by whether they are plausible, and old with those that are.
+
+    pairs stay where they are.
+    """
+    rows = pairs.filter("old is not null and new is not null").withColumn("_runs", _of_pairs(found_runs, RUN, keys))
+    rows = rows.withColumns({"_ow": F.split("old", " ", -1), "_nw": F.split("new", " ", -1)})
+    part = lambda words, a, b: F.slice(words, a + 1, b - a)
+    changed = F.transform("_runs", lambda r: F.struct(r["i0"], r["i1"], part("_ow", r["i0"], r["i1"]).alias("gone"), part("_nw", r["j0"], r["j1"]).alias("new")))
+    judged = F.transform("_changed", lambda c: F.struct(c["i0"], c["i1"], plausible(c["gone"], c["new"]).alias("fine"), c["gone"], c["new"]))
+    rows = rows.withColumn("_changed", F.coalesce(changed, F.array())).withColumn("_judged", judged)
+    past = lambda k: F.coalesce(F.get("_judged", k - 1)["i1"], F.lit(0))
+    put = F.transform("_judged", lambda c, k: F.concat(part("_ow", past(k), c["i0"]), F.when(c["fine"], c["new"]).otherwise(c["gone"])))
+    end = past(F.size("_judged"))
+    text = F.array_join(F.concat(F.flatten(put), part("_ow", end, F.size("_ow"))), " ")
+    fine, not_fine = (F.size(F.filter("_judged", lambda c: c["fine"] == x)).cast("long") for x in (True, False))  # noqa: B023
+    return rows.select(*pairs.columns, fine.alias("accepted"), not_fine.alias("rejected"), text.alias("per_run"))
