@@ -95,6 +95,12 @@ def test_words_of_lines_stay_in_their_row(spark, lines, name):
     assert all("Exchange hashpartitioning" in line for line in found) and len(found) <= 2
 
 
+@pytest.mark.parametrize("name", EDITS)
+def test_runs_are_found_once(spark, lines, name):
+    plan = catalog.QUERIES[name](spark, lines[1])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_runs_of_parts_of_a_batch(spark, lines, monkeypatch):
     """Texts are taken in parts of a batch, and rows without a key or a text have no runs."""
     found = []

@@ -146,7 +146,9 @@ def runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     pairs stay where they are.
     """
-    return pairs.select(*keys, _of_pairs(found_runs, RUN, keys).alias("_runs")).select(*keys, F.inline("_runs"))
+    listed = pairs.select(*keys, _of_pairs(found_runs, RUN, keys).alias("_runs"))
+    # the outer form, as Spark puts a filter below the other one that would find all runs a second time
+    return listed.select(*keys, F.inline_outer("_runs")).filter("i0 is not null")
 
 
 def tag(i0: Column, i1: Column, j0: Column, j1: Column) -> Column:
